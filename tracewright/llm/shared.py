@@ -7,6 +7,7 @@ import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +82,10 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.memmap(t.name, dtype=dtype, mode="r") if t.tell() else np.empty(0, dtype)
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Hash ranges for packed shuffles: a few for each shuffle partition, so that the setting with
-    which users size their shuffles also bounds what one group holds. Odd, to suit ``pmod`` of ids."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
+def n_buckets(spark: SparkSession, per: int = 4) -> int:
+    """Groups of a packed shuffle: ``per`` for each shuffle partition, so that the setting with which
+    users size their shuffles also bounds what one group holds. Odd, to suit ``pmod`` of ids."""
+    return max(64, per * int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
 
 
 # ---------------------------------------------------------------- hashing
@@ -210,6 +211,19 @@ def spread(starts: np.ndarray, total: int) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, total)))
 
 
+STEP = 4 << 20  # bytes of text that a task handles at a time
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of bytes in one text column (one row at least)."""
+    _, offsets = buffers(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 # ---------------------------------------------------------------- components
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label): for each node of ``edges`` the smallest node that links reach. Minimum labels with

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, cuts, hash_spans, n_buckets, pack, runs, spread, unpack, windows, word_spans
+from .shared import buffers, cuts, hash_spans, n_buckets, pack, runs, slices, spread, unpack, windows, word_spans
 
 FLUSH = 2_000_000  # windows that a task holds before it passes them on
 BLOBS = pa.schema([("target", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary())])
@@ -39,7 +39,7 @@ def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, BLOBS)
 
 
-def ask(size: int, buckets: int):
+def ask(size: int, buckets: int, blocks: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -52,7 +52,7 @@ def ask(size: int, buckets: int):
             least = np.minimum.reduceat(d, first)
             late = d > np.repeat(least, np.diff(np.append(first, len(h))))
             # within these documents the answer is known; only the smallest asks on for each window
-            rows = list(by_doc(d[late], h[late], buckets)) if late.any() else []
+            rows = list(by_doc(d[late], h[late], blocks)) if late.any() else []
             keys, edge = h[first], cuts(h[first], buckets)
             for k in np.flatnonzero(np.diff(edge)):
                 a, b = edge[k], edge[k + 1]
@@ -60,12 +60,12 @@ def ask(size: int, buckets: int):
             return to_batch(rows)
 
         for batch in batches:
-            ids = batch.column(0)
-            docs = np.asarray(ids.fill_null(0), np.int64)
-            *_, doc, hashes, at = doc_windows(batch.column(1), size)
-            held.append((hashes, docs[doc[at]]))
-            if sum(len(h) for h, _ in held) >= FLUSH:
-                yield flush()
+            for part in slices(batch, 1):
+                docs = np.asarray(part.column(0), np.int64)
+                *_, doc, hashes, at = doc_windows(part.column(1), size)
+                held.append((hashes, docs[doc[at]]))
+                if sum(len(h) for h, _ in held) >= FLUSH:
+                    yield flush()
         if sum(len(h) for h, _ in held):
             yield flush()
 
@@ -139,7 +139,7 @@ def cut(size: int):
     return group
 
 
-def cut_repeats(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """Adds ``n_words, n_removed, kept_text, removed`` to ``docs`` (doc_id long, text string, others kept).
 
     A window is ``size`` consecutive words of one document; every word that a window covers goes if the
@@ -155,11 +155,11 @@ def cut_repeats(docs: DataFrame, size: int = 13, buckets: int | None = None) ->
     arrays by range of hash, Spark shuffles the arrays, and answers go back by document. Windows count
     as equal by 64-bit hashes: among 10**8 distinct windows a false match has a chance below 0.001.
     """
-    blocks = buckets or n_buckets(docs.sparkSession)
+    buckets, blocks = n_buckets(docs.sparkSession, 1), n_buckets(docs.sparkSession, 2)
     extra = ("n_words", "n_removed", "kept_text", "removed", "target")
     docs = docs.select(*[c for c in docs.columns if c not in extra])
     known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    asked = known.mapInArrow(ask(size, blocks), BLOB_TYPE)
+    asked = known.mapInArrow(ask(size, buckets, blocks), BLOB_TYPE)
     answers = asked.groupBy("target").applyInArrow(answer(blocks), BLOB_TYPE)
     # rows without doc_id go anywhere; they ask and are answered nothing
     target = F.pmod(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(blocks)).cast("long")
