@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .edit_fingerprint import half_edits
+from .itq_links import link_vectors
+from .kneser_ney import perplexity
 from .mixing import mix_sources
+from .sentencepiece_bpe import encode_pieces
 from .substring_dedup import cut_repeats
 from .url_filters import judge_urls
+from .warc import archive_round_trip
+from .weighted_minhash import near_duplicates
 
 RULES = "VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')"
 
@@ -23,6 +30,44 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def piece_model() -> str:
+    """The path of the public SentencePiece model: a parameter of the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "component_id", "kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).filter("kind in ('response', 'revisit')")
+    return rows.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return half_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,10 +77,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_itq_links": op2_itq_links,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
+    "op7_edit_fingerprint": op7_edit_fingerprint,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLES: dict[str, str] = {
@@ -51,6 +108,16 @@ ORACLES: dict[str, str] = {
             SELECT p.*, r.rule, r.action, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(r.rule) DESC NULLS LAST) AS k
             FROM p LEFT JOIN r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp))
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM j WHERE k = 1""",
+    "op2_itq_links": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id))::BIGINT AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op9_substring_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         w AS (SELECT doc_id, i, ws[i:i + 12] AS win FROM t, unnest(range(1, greatest(1, len(ws) - 11))) AS u(i)),
