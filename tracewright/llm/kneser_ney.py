@@ -25,6 +25,7 @@ class Model(NamedTuple):
 
     path: str
     buckets: int
+    ranges: int  # of token ids, by which left and right neighbours are kept
     bases: np.ndarray  # first token id of each range of word hashes, and the number of types
     tokens: int
     discounts: np.ndarray  # of bigrams seen once, twice, more often
@@ -157,14 +158,14 @@ def _read(rows: pa.Table, width: int, kind: int = 0, dtype=np.uint64) -> tuple[n
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def _join_pairs(path: str, types: int, buckets: int):
+def _join_pairs(path: str, types: int, ranges: int):
     def group(rows: pa.Table) -> pa.Table:
         keys, counts = _summed(*_read(rows, 1))
         counts = counts[:, 0]
         k = rows.column("bucket")[0].as_py()
         put_file(f"{path}/pairs-{k}", keys.astype("<u8").tobytes())
         put_file(f"{path}/paircounts-{k}", counts.astype("<u4").tobytes())
-        step = -(-(types + 1) // buckets)
+        step = -(-(types + 1) // ranges)
         left = (keys >> HIGH).astype(np.uint32)
         prev, stats = _summed(left, np.stack([counts, counts == 1, counts == 2, counts > 2], 1).astype(np.int64))
         word, near = _summed((keys & LOW).astype(np.uint32), np.ones((len(keys), 1), np.int64))
@@ -175,13 +176,13 @@ def _join_pairs(path: str, types: int, buckets: int):
     return group
 
 
-def _join_stats(path: str, types: int, buckets: int):
+def _join_stats(path: str, types: int, ranges: int):
     def group(rows: pa.Table) -> pa.Table:
         k = rows.column("bucket")[0].as_py()
         if k < 0:
             n = sum(np.frombuffer(c, np.int64) for c in rows.column("counts").to_pylist())
             return pa.table({"kind": pa.array([3], pa.int32()), "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
-        step = -(-(types + 1) // buckets)
+        step = -(-(types + 1) // ranges)
         ids, stats = _summed(*_read(rows, 4, 1, np.uint32))
         full = np.zeros((min(step, types + 1 - k * step), 4), np.int64)
         full[ids - k * step] = stats
@@ -212,7 +213,8 @@ def train(texts: DataFrame, buckets: int | None = None) -> Model:
     neighbour counts are packed by task and summed by Spark, range by range; each range is written to
     the shared folder as sorted arrays. The driver gets three numbers for each range."""
     spark = texts.sparkSession
-    buckets = buckets or n_buckets(spark)
+    buckets = buckets or n_buckets(spark, 1)
+    ranges = max(16, buckets // 4)
     path = shared_dir(spark, "bigrams")
     texts = texts.select("text")
     got = texts.mapInArrow(_counted(Words(buckets)), PART_TYPE).groupBy("bucket").applyInArrow(_join_words(path), "bucket long, types long, tokens long").collect()
@@ -223,20 +225,20 @@ def train(texts: DataFrame, buckets: int | None = None) -> Model:
     types = int(bases[-1])
     if types >= 2**32 - 1:
         raise ValueError("more than 2**32 types")
-    pairs = texts.mapInArrow(_counted(Pairs(path, buckets, bases)), PART_TYPE).groupBy("bucket").applyInArrow(_join_pairs(path, types, buckets), PART_TYPE)
-    stats = pairs.groupBy("bucket").applyInArrow(_join_stats(path, types, buckets), "kind int, n array<long>").collect()
+    pairs = texts.mapInArrow(_counted(Pairs(path, buckets, bases)), PART_TYPE).groupBy("bucket").applyInArrow(_join_pairs(path, types, ranges), PART_TYPE)
+    stats = pairs.groupBy("bucket").applyInArrow(_join_stats(path, types, ranges), "kind int, n array<long>").collect()
     seen = np.sum([r.n for r in stats if r.kind == 3] or [[0] * 4], axis=0)
     low = np.sum([r.n for r in stats if r.kind == 1] or [[0] * 6], axis=0)
     d, e = discounts(seen), discounts(low[1:5])
     gamma = float(e[0] * low[1] + e[1] * low[2] + e[2] * low[5]) / low[0] if low[0] else 1.0
-    return Model(path, buckets, bases, sum(r.tokens for r in got), d, e, int(low[0]), gamma)
+    return Model(path, buckets, ranges, bases, sum(r.tokens for r in got), d, e, int(low[0]), gamma)
 
 
 def _take(m: Model, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
     """Rows of an array kept in ranges of token ids; ``ids`` rise."""
     types = int(m.bases[-1])
-    step = -(-(types + 1) // m.buckets)
-    edge = np.searchsorted(ids, np.arange(m.buckets + 1) * step)
+    step = -(-(types + 1) // m.ranges)
+    edge = np.searchsorted(ids, np.arange(m.ranges + 1) * step)
     out = np.zeros((len(ids), width), np.int64)
     for k in np.flatnonzero(np.diff(edge)):
         try:
