@@ -74,8 +74,9 @@ def symbols(text: Column) -> Column:
 
 def first_spellings(items: Column) -> Column:
     """Without repeats in other case; the first spelling stays."""
-    lowered = F.transform(items, lambda s: F.lower(s))
-    return F.filter(items, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
+    # bound as one element, so that the list is computed once and not again for each of its items
+    bound = F.transform(F.array(items), lambda it: F.filter(it, lambda s, i: F.array_position(F.transform(it, F.lower), F.lower(s)) == i + 1))
+    return bound[0]
 
 
 def merge_symbols(found: Column, extra: Column) -> Column:

@@ -55,7 +55,10 @@ def parse_conflicts(answers: DataFrame, counts: DataFrame) -> DataFrame:
     outside 1 to n (``counts``: selection_id, n) and repeats are dropped."""
     pair = "array<struct<a:string,b:string>>"
     read = answers.select("selection_id", F.from_json("json", f"struct<conflicts:{pair},supersedes:{pair}>").alias("v"))
-    kinds = F.concat(*[F.transform(F.coalesce(f"v.{k}", F.array().cast(pair)), lambda p, n=n: F.struct(F.lit(n).alias("kind"), p["a"].alias("a"), p["b"].alias("b"))) for k, n in (("conflicts", "conflict"), ("supersedes", "supersede"))])
+    def named(kind: str):
+        return lambda p: F.struct(F.lit(kind).alias("kind"), p["a"].alias("a"), p["b"].alias("b"))
+
+    kinds = F.concat(*[F.transform(F.coalesce(f"v.{k}", F.array().cast(pair)), named(n)) for k, n in (("conflicts", "conflict"), ("supersedes", "supersede"))])
     rows = read.select("selection_id", F.posexplode(kinds).alias("place", "p")).select("selection_id", "place", F.col("p.a").try_cast("int").alias("a"), F.col("p.b").try_cast("int").alias("b"), "p.kind")
     good = rows.join(counts, "selection_id").filter("a is not null and b is not null and a <> b and a between 1 and n and b between 1 and n")
     rn = F.row_number().over(Window.partitionBy("selection_id", "a", "b", "kind").orderBy("place"))

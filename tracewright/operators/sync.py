@@ -65,8 +65,9 @@ def incremental(messages: DataFrame, index: DataFrame, checkpoint: DataFrame, su
     """(index, changed documents, checkpoint) after messages newer than the checkpoint: units that they
     touch are built again whole. The checkpoint is the last new message of each channel."""
     new = new_messages(messages, checkpoint)
-    pool = dedupe_messages(affected_threads(messages, new).unionByName(affected_bursts(messages, new, settings)))
-    docs = build_documents(segment(pool, settings), summaries, settings=settings)
+    # both are read more than once below
+    pool = dedupe_messages(affected_threads(messages, new).unionByName(affected_bursts(messages, new, settings))).persist()
+    docs = build_documents(segment(pool, settings), summaries, settings=settings).persist()
     return upsert(index, docs), docs, advance(checkpoint, new.groupBy("channel_name").agg(F.max("ts_us").alias("last_us")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import to_messages
 from ..functions.extract import code_symbols
+from ..operators.documents import build_documents
 from ..operators.segment import segment, unit_messages
 from ..schemas import REACTIONS
 from ..settings import DEFAULTS
@@ -57,7 +58,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_messages(raw_messages(spark, sf_dir), users(spark, sf_dir))
+    """Persisted (memory, then disk): jobs read them several times, as they would read a table."""
+    return to_messages(raw_messages(spark, sf_dir), users(spark, sf_dir)).persist()
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(messages(spark, sf_dir))
+    return segment(messages(spark, sf_dir)).persist()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_documents(units(spark, sf_dir)).persist()
 
 
 def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +83,7 @@ def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Fix it (#"), n, F.lit(")"))).when(F.col("l_returnflag") == "N", F.concat(F.lit("Merge pull request #"), n, F.lit(" from x"))).otherwise(F.lit("misc"))
     rows = li.select(F.col("l_partkey").alias("selection_id"), sha.alias("sha"), F.col("l_quantity").cast("long").alias("lines"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_line"),
         F.concat(F.lit("user"), F.col("l_suppkey").cast("string")).alias("author"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"), subject.alias("summary"))
-    return rows.groupBy("selection_id", "sha").agg(F.sum("lines").alias("lines"), F.min("first_line").alias("first_line"), F.min_by("author", "first_line").alias("author"), F.min_by("ts", "first_line").alias("ts"), F.min_by("summary", "first_line").alias("summary"))
+    return rows.groupBy("selection_id", "sha").agg(F.sum("lines").alias("lines"), F.min("first_line").alias("first_line"), F.min_by("author", "first_line").alias("author"), F.min_by("ts", "first_line").alias("ts"), F.min_by("summary", "first_line").alias("summary")).persist()
 
 
 def prs(spark: SparkSession, sf_dir: str) -> DataFrame:

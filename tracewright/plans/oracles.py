@@ -178,7 +178,7 @@ ranked AS (SELECT *, CASE WHEN match_type = 'exact' THEN 0 ELSE 1 END AS tier, r
 planes AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY tier, r, plane) AS citation FROM ranked)"""
 
 ORACLES: dict[str, str] = {
-    "clean_messages": f"WITH {MESSAGES} SELECT channel_id, channel_tier, user_id, user_name, text, ts_us, thread_us, array_to_string(reactions, '|') AS reactions FROM messages",
+    "clean_messages": f"WITH {MESSAGES} SELECT channel_id, channel_tier, user_id, user_name, text, ts_us, thread_us::VARCHAR AS thread_us, array_to_string(reactions, '|') AS reactions FROM messages",
     "harvested_names": f"""WITH {MESSAGES}, ids AS (
         SELECT CASE WHEN bot THEN 'B' || (user_id % 5) ELSE 'U' || user_id END AS id, CASE WHEN bot THEN 'bot' || (user_id % 5) WHEN user_id::VARCHAR LIKE '%7' THEN 'U' || user_id ELSE 'user' || user_id END AS name FROM raw
         UNION SELECT 'U' || user_id, CASE WHEN user_id::VARCHAR LIKE '%7' THEN 'U' || user_id ELSE 'user' || user_id END FROM raw WHERE event_id % 12 = 8)
@@ -187,7 +187,7 @@ ORACLES: dict[str, str] = {
     "tiers": f"WITH {MESSAGES} SELECT channel_name, CASE channel_name WHEN 'ch0' THEN 3 WHEN 'ch1' THEN 2 WHEN 'ch2' THEN 1 ELSE 2 END::INT AS channel_tier, count(*) AS n FROM messages GROUP BY 1",
     "shared_plane": f"WITH {MESSAGES} SELECT channel_id, count(*) AS n FROM messages WHERE channel_tier <> 2 AND channel_id NOT IN ('C0', 'C3') GROUP BY 1",
     "allowed_channels": f"WITH {MESSAGES} SELECT channel_id, count(*) AS n FROM messages WHERE channel_id IN ('C1', 'C4') GROUP BY 1",
-    "parsed_permalinks": f"""WITH {MESSAGES} SELECT 'https://acme.slack.com/archives/' || channel_id || '/p' || ts_us || CASE WHEN thread_us IS NULL THEN '' ELSE '?thread_ts=' || (thread_us // 1000000) || '.' || lpad((thread_us % 1000000)::VARCHAR, 6, '0') END AS url, channel_id, ts_us, thread_us FROM messages""",
+    "parsed_permalinks": f"""WITH {MESSAGES} SELECT 'https://acme.slack.com/archives/' || channel_id || '/p' || ts_us || CASE WHEN thread_us IS NULL THEN '' ELSE '?thread_ts=' || (thread_us // 1000000) || '.' || lpad((thread_us % 1000000)::VARCHAR, 6, '0') END AS url, channel_id, ts_us, thread_us::VARCHAR AS thread_us FROM messages""",
     "bursts": f"WITH {UNITS} SELECT channel_name, root_us, count(*) AS n, max(ts_us) AS end_us FROM burst GROUP BY 1, 2",
     "thread_sizes": f"WITH {MESSAGES} SELECT channel_name, thread_us AS root_us, count(*) AS n FROM messages WHERE thread_us IS NOT NULL GROUP BY 1, 2",
     "kept_units": f"WITH {UNITS} SELECT channel_name, kind, thread_id, start_us, end_us, message_count, len(people)::BIGINT AS n_participants, is_bookmarked, permalink, sha256(raw_text) AS text_sha256 FROM units",
@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
     "parsed_summaries": r"""SELECT doc_id, sha256(CASE doc_id % 4 WHEN 1 THEN 'Summary ' || doc_id WHEN 3 THEN 'Only text' ELSE substring(coalesce(text, ''), 1, 600) END) AS summary_sha256, CASE WHEN doc_id % 4 = 1 THEN 'a_b|C' ELSE '' END AS symbols FROM documents""",
     "document_hashes": f"WITH {UNITS} SELECT channel_name, thread_id, sha256(raw_text) AS content_hash, sha256('p|T|' || channel_id || '|' || thread_id)[1:40] AS private_id, ts_start, ts_end, substring(raw_text, 1, 40) AS summary FROM units",
     "new_messages": f"WITH {MESSAGES}{CHECKPOINT} SELECT m.channel_name, count(*) AS n, min(ts_us) AS first_us FROM messages m LEFT JOIN checkpoint c USING (channel_name) WHERE ts_us > coalesce(last_us, 0) GROUP BY 1",
-    "read_bound": f"WITH {MESSAGES}{CHECKPOINT} SELECT greatest(coalesce(min(last_us) - (2700 + 14 * 86400) * 1000000, 0), 0)::BIGINT AS from_us FROM checkpoint",
+    "read_bound": f"WITH {MESSAGES}{CHECKPOINT} SELECT greatest(coalesce(min(last_us) - (2700 + 14 * 86400) * 1000000::BIGINT, 0), 0)::BIGINT AS from_us FROM checkpoint",
     "affected": f"""WITH {UNITS}{CHECKPOINT}, nw AS (SELECT m.* FROM messages m LEFT JOIN checkpoint c USING (channel_name) WHERE ts_us > coalesce(last_us, 0)),
         b AS (SELECT * FROM burst SEMI JOIN (SELECT DISTINCT channel_name, root_us FROM burst SEMI JOIN nw USING (channel_name, ts_us)) USING (channel_name, root_us)),
         a AS (SELECT channel_name, thread_us, ts_us FROM b UNION ALL SELECT channel_name, thread_us, ts_us FROM messages SEMI JOIN nw USING (channel_name, thread_us) WHERE thread_us IS NOT NULL)
@@ -231,9 +231,9 @@ ORACLES: dict[str, str] = {
     "after_deletes": f"WITH {UNITS} SELECT channel_name, count(*) AS n FROM units WHERE ts_start % 4 <> 0 AND channel_name <> 'ch2' GROUP BY 1",
     "status": f"WITH {UNITS}{CHECKPOINT} SELECT channel_name, count(*) AS documents, (SELECT count(*) FROM units) AS total, (SELECT min(last_us) FROM checkpoint) AS covered_us, (SELECT count(*) = 0 FROM checkpoint) AS never_run FROM units GROUP BY 1",
     "blame_dump": f"WITH {BLAME} SELECT selection_id, sha, lines, author, ts, summary FROM owned WHERE lines > 0",
-    "dominant_commits": f"WITH {BLAME} SELECT selection_id, sha7, lines, uncommitted, CASE WHEN summary = 'misc' THEN NULL ELSE regexp_extract(summary, '#(\\d+)', 1)::INT END AS pr_number FROM commits0 WHERE rank = 1",
+    "dominant_commits": f"WITH {BLAME} SELECT selection_id, sha7, lines, uncommitted, CASE WHEN summary = 'misc' THEN NULL ELSE regexp_extract(summary, '#(\\d+)', 1)::INT::VARCHAR END AS pr_number FROM commits0 WHERE rank = 1",
     "forge_prs": f"WITH {BLAME} SELECT sha, forge_pr FROM forge",
-    "blame_summaries": f"WITH {BLAME} SELECT selection_id, len(list_distinct(authors0))::BIGINT AS n_authors, dominant_sha, n_commits, pr_number, coalesce(array_to_string({firsts('prs0')}, '|'), '') AS pr_numbers, commit_date, uncommitted FROM blame",
+    "blame_summaries": f"WITH {BLAME} SELECT selection_id, len(list_distinct(authors0))::BIGINT AS n_authors, dominant_sha, n_commits, pr_number::VARCHAR AS pr_number, coalesce(array_to_string({firsts('prs0')}, '|'), '') AS pr_numbers, commit_date, uncommitted FROM blame",
     "exact_hits": f"WITH {REFS},{BLAME}{SELECTIONS} SELECT selection_id, rank::INT AS rank, strength::INT AS strength, ts_end, channel_name, thread_id FROM exact",
     "nearest": f"WITH {QUERYSET} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM knn",
     "unit_vectors": "WITH v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]])) AS n FROM embeddings) SELECT doc_id, round(list_sum([(x / n) ** 2 FOR x IN v]), 6) AS norm, round(v[1] / n, 6) AS first FROM v",
@@ -273,7 +273,7 @@ ORACLES: dict[str, str] = {
     "plane_counts": f"WITH {PLANES} SELECT selection_id, sum((plane = 0)::BIGINT)::BIGINT AS workspace, sum((plane = 1)::BIGINT)::BIGINT AS private FROM planes GROUP BY 1",
     "marker_ranks": f"""WITH {WORDS}, wanted AS (SELECT item_id * 100 AS case_id, upper(split_part(text, ' ', 1)) AS marker FROM benchmark),
         r AS (SELECT h.selection_id AS case_id, marker, min(citation) AS rank FROM hits h JOIN documents d USING (doc_id) JOIN wanted w ON w.case_id = h.selection_id WHERE d.source = 'src3' AND contains(lower(' ' || d.text), lower(marker)) GROUP BY 1, 2)
-        SELECT w.case_id, w.marker, rank, rank IS NOT NULL AS passed FROM wanted w LEFT JOIN r USING (case_id, marker)""",
+        SELECT w.case_id, w.marker, rank::VARCHAR AS rank, rank IS NOT NULL AS passed FROM wanted w LEFT JOIN r USING (case_id, marker)""",
     "calibration": f"""WITH {WORDS}, c AS (SELECT max(CASE WHEN selection_id % 300 = 0 THEN best_dense END) AS best_null, min(CASE WHEN selection_id % 300 <> 0 THEN best_dense END) AS worst_hit FROM gate)
         SELECT best_null, worst_hit, CASE WHEN best_null < worst_hit THEN (best_null + worst_hit) / 2 END AS threshold FROM c""",
 }

@@ -30,7 +30,7 @@ def joined(*names: str):
 @query
 def clean_messages(spark, d):
     m = h.messages(spark, d)
-    return m.select("channel_id", "channel_tier", "user_id", "user_name", "text", "ts_us", "thread_us", *joined("reactions"))
+    return m.select("channel_id", "channel_tier", "user_id", "user_name", "text", "ts_us", F.col("thread_us").cast("string").alias("thread_us"), *joined("reactions"))
 
 
 @query
@@ -74,7 +74,7 @@ def parsed_permalinks(spark, d):
     thread = F.when(F.col("thread_us").isNotNull(), F.concat(F.lit("?thread_ts="), segment.seconds_text(F.col("thread_us")))).otherwise("")
     url = F.concat(segment.permalink("acme", F.col("channel_id"), segment.seconds_text(F.col("ts_us"))), thread)
     c, own, root = clean.parse_permalink(url)
-    return m.select(url.alias("url"), c.alias("channel_id"), own.alias("ts_us"), root.alias("thread_us"))
+    return m.select(url.alias("url"), c.alias("channel_id"), own.alias("ts_us"), root.cast("string").alias("thread_us"))
 
 
 @query
@@ -151,7 +151,7 @@ def parsed_summaries(spark, d):
 
 @query
 def document_hashes(spark, d):
-    docs = build_documents(h.units(spark, d))
+    docs = h.documents(spark, d)
     team = F.lit("T")
     return docs.select("channel_name", "thread_id", "content_hash", identity.private_doc_id(F.lit("p"), team, F.col("channel_id"), F.col("thread_id")).alias("private_id"), "ts_start", "ts_end", F.substring("summary", 1, 40).alias("summary"))
 
@@ -163,7 +163,7 @@ def checkpoint(spark, d):
 
 def changed_index(spark, d):
     """An index as it might have been left: some documents missing, some changed, some stale."""
-    docs = build_documents(h.units(spark, d))
+    docs = h.documents(spark, d)
     n = F.pmod(F.col("ts_start"), F.lit(10))
     kept = docs.filter(n != 0).withColumn("content_hash", F.when(n == 1, F.lit("old")).otherwise(F.col("content_hash")))
     return kept.unionByName(docs.filter(n == 2).withColumn("doc_id", F.concat(F.lit("stale-"), "doc_id")))
@@ -210,26 +210,26 @@ def incremental_sync(spark, d):
 
 @query
 def reconcile_report(spark, d):
-    return sync.reconcile(build_documents(h.units(spark, d)), changed_index(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return sync.reconcile(h.documents(spark, d), changed_index(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
 def reconciled(spark, d):
-    source, index = build_documents(h.units(spark, d)), changed_index(spark, d)
+    source, index = h.documents(spark, d), changed_index(spark, d)
     after = sync.apply_reconcile(index, source, sync.reconcile(source, index))
     return sync.reconcile(source, after).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
 def channel_documents(spark, d):
-    docs = sync.documents_in(build_documents(h.units(spark, d)), "ch1", 1705000000)
+    docs = sync.documents_in(h.documents(spark, d), "ch1", 1705000000)
     return docs.select("thread_id", "ts_start", "message_count")
 
 
 @query
 def requested_units(spark, d):
     m = h.messages(spark, d)
-    docs = build_documents(h.units(spark, d))
+    docs = h.documents(spark, d)
     asked = m.filter("pmod(ts_us, 50) = 0").select("channel_id", "ts_us")
     _, written = sync.index_requested(m, asked, docs)
     return written.groupBy("channel_name", "is_bookmarked").agg(F.count("*").alias("n"), F.sum("message_count").alias("messages"))
@@ -244,14 +244,14 @@ def found_units(spark, d):
 
 @query
 def upserted(spark, d):
-    docs = build_documents(h.units(spark, d))
+    docs = h.documents(spark, d)
     fresh = docs.filter("pmod(ts_start, 3) = 0").withColumn("summary", F.lit("new"))
     return sync.upsert(docs, fresh).groupBy("channel_name").agg(F.count("*").alias("n"), F.sum((F.col("summary") == "new").cast("long")).alias("fresh"))
 
 
 @query
 def after_deletes(spark, d):
-    docs = build_documents(h.units(spark, d))
+    docs = h.documents(spark, d)
     left = delete_documents(docs, docs.filter("pmod(ts_start, 4) = 0"))
     left, _ = delete_channel(left, checkpoint(spark, d), "ch2")
     return left.groupBy("channel_name").agg(F.count("*").alias("n"))
@@ -259,13 +259,13 @@ def after_deletes(spark, d):
 
 @query
 def status(spark, d):
-    return index_status(build_documents(h.units(spark, d)), checkpoint(spark, d))
+    return index_status(h.documents(spark, d), checkpoint(spark, d))
 
 
 # ------------------------------------------------------------------ code history
 def blame(spark, d):
     commits = history.resolve_prs(history.blame_commits(h.owned_lines(spark, d)), None, history.pr_from_forge(h.owned_lines(spark, d), h.prs(spark, d)))
-    return commits, history.blame_summary(commits)
+    return commits, history.blame_summary(commits).persist()
 
 
 @query
@@ -282,7 +282,7 @@ def blame_dump(spark, d):
 @query
 def dominant_commits(spark, d):
     c = history.blame_commits(h.owned_lines(spark, d)).filter("dominant")
-    return c.select("selection_id", "sha7", "lines", "uncommitted", history.pr_from_subject(F.col("summary")).alias("pr_number"))
+    return c.select("selection_id", "sha7", "lines", "uncommitted", history.pr_from_subject(F.col("summary")).cast("string").alias("pr_number"))
 
 
 @query
@@ -292,15 +292,15 @@ def forge_prs(spark, d):
 
 @query
 def blame_summaries(spark, d):
-    return blame(spark, d)[1].select("selection_id", F.size("authors").cast("long").alias("n_authors"), "dominant_sha", F.size("all_shas").cast("long").alias("n_commits"), "pr_number", *joined("pr_numbers"), "commit_date", "uncommitted")
+    return blame(spark, d)[1].select("selection_id", F.size("authors").cast("long").alias("n_authors"), "dominant_sha", F.size("all_shas").cast("long").alias("n_commits"), F.col("pr_number").cast("string").alias("pr_number"), *joined("pr_numbers"), "commit_date", "uncommitted")
 
 
 # ------------------------------------------------------------------ retrieval
 def exact(spark, d):
     _, b = blame(spark, d)
     asked = h.selections(spark, d).join(b.select("selection_id", "pr_numbers", "all_shas"), "selection_id", "left")
-    docs = build_documents(h.units(spark, d))
-    return retrieve.exact_tier(retrieve.selection_terms(asked), retrieve.postings(docs)), docs
+    docs = h.documents(spark, d)
+    return retrieve.exact_tier(retrieve.selection_terms(asked), retrieve.postings(docs)).persist(), docs
 
 
 @query
@@ -322,11 +322,11 @@ def unit_vectors(spark, d):
 
 
 def dense(spark, d):
-    return retrieve.knn(h.query_vectors(spark, d), h.vectors(spark, d))
+    return retrieve.knn(h.query_vectors(spark, d), h.vectors(spark, d)).persist()
 
 
 def lexical(spark, d):
-    return retrieve.bm25(h.query_texts(spark, d), h.lexical_docs(spark, d), (("raw_text", 1.0), ("summary", 2.0)))
+    return retrieve.bm25(h.query_texts(spark, d), h.lexical_docs(spark, d), (("raw_text", 1.0), ("summary", 2.0))).persist()
 
 
 @query
@@ -497,7 +497,7 @@ def plane_counts(spark, d):
 def marker_ranks(spark, d):
     rows = all_hits(spark, d).join(h.lexical_docs(spark, d).select("doc_id", "raw_text", F.col("summary").alias("channel_name")), "doc_id").select(F.col("selection_id").alias("case_id"), F.col("citation").alias("rank"), "channel_name", F.lit("").alias("summary"), "raw_text")
     wanted = h.query_texts(spark, d).select(F.col("query_id").alias("case_id"), F.lit("src3").alias("channel_name"), F.upper(F.split("text", " ")[0]).alias("marker"))
-    return evaluate.eval_ranks(rows, wanted).select("case_id", "marker", F.col("rank").cast("long").alias("rank"), "passed")
+    return evaluate.eval_ranks(rows, wanted).select("case_id", "marker", F.col("rank").cast("string").alias("rank"), "passed")
 
 
 @query
