@@ -211,7 +211,7 @@ def spread(starts: np.ndarray, total: int) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, total)))
 
 
-STEP = 4 << 20  # bytes of text that a task handles at a time
+STEP = 2 << 20  # bytes of text that a task handles at a time
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
