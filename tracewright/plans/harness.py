@@ -83,7 +83,7 @@ def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Fix it (#"), n, F.lit(")"))).when(F.col("l_returnflag") == "N", F.concat(F.lit("Merge pull request #"), n, F.lit(" from x"))).otherwise(F.lit("misc"))
     rows = li.select(F.col("l_partkey").alias("selection_id"), sha.alias("sha"), F.col("l_quantity").cast("long").alias("lines"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_line"),
         F.concat(F.lit("user"), F.col("l_suppkey").cast("string")).alias("author"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"), subject.alias("summary"))
-    return rows.groupBy("selection_id", "sha").agg(F.sum("lines").alias("lines"), F.min("first_line").alias("first_line"), F.min_by("author", "first_line").alias("author"), F.min_by("ts", "first_line").alias("ts"), F.min_by("summary", "first_line").alias("summary")).persist()
+    return rows.groupBy("selection_id", "sha").agg(F.sum("lines").alias("lines"), *[F.min(c).alias(c) for c in ("first_line", "author", "ts", "summary")]).persist()
 
 
 def prs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ BLAME = r"""
 li AS (SELECT l_partkey AS selection_id, CASE WHEN l_orderkey % 20 = 3 AND l_linenumber = 2 THEN repeat('0', 40) ELSE sha1(l_orderkey || '-' || l_linenumber) END AS sha, l_quantity::BIGINT AS lines,
               l_orderkey * 10 + l_linenumber AS first_line, 'user' || l_suppkey AS author, epoch(l_shipdate)::DOUBLE AS ts,
               CASE l_returnflag WHEN 'A' THEN 'Fix it (#' || (l_orderkey % 700) || ')' WHEN 'N' THEN 'Merge pull request #' || (l_orderkey % 700) || ' from x' ELSE 'misc' END AS summary FROM lineitem),
-owned AS (SELECT selection_id, sha, sum(lines)::BIGINT AS lines, min(first_line) AS first_line, arg_min(author, first_line) AS author, arg_min(ts, first_line) AS ts, arg_min(summary, first_line) AS summary FROM li GROUP BY 1, 2),
+owned AS (SELECT selection_id, sha, sum(lines)::BIGINT AS lines, min(first_line) AS first_line, min(author) AS author, min(ts) AS ts, min(summary) AS summary FROM li GROUP BY 1, 2),
 flagged AS (SELECT *, max((sha = repeat('0', 40))::INT) OVER (PARTITION BY selection_id) = 1 AS uncommitted FROM owned),
 commits0 AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY lines DESC, first_line) AS rank, sha[1:7] AS sha7 FROM flagged WHERE sha <> repeat('0', 40)),
 prs AS (SELECT o_orderkey::INT AS number, 'user' || o_custkey AS author, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS merged_at, CASE WHEN o_orderkey % 2 = 0 THEN sha1(o_orderkey || '-1')[1:7] ELSE sha1(o_orderkey || '-1') END AS listed,
@@ -253,8 +253,8 @@ ORACLES: dict[str, str] = {
     "verdicts": f"""WITH {WORDS}, v(citation, ord, rel, said) AS (VALUES (3, 0, true, 'good'), (2, 1, false, ''), (99, 2, true, ''), (1, 3, true, 'first')),
         h AS (SELECT h.*, floor(h.selection_id / 100)::BIGINT % 4 <> 3 AS readable FROM hits h),
         j AS (SELECT h.*, v.ord, coalesce(v.rel, true) AS rel, coalesce(v.said, '') AS said FROM h LEFT JOIN v ON h.readable AND h.citation = v.citation),
-        o AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY (match_type <> 'exact')::INT, CASE WHEN match_type = 'exact' THEN -exact_strength ELSE 0 END, CASE WHEN match_type = 'exact' THEN 0 ELSE coalesce(ord, 1000000) END, citation) AS place FROM j WHERE match_type = 'exact' OR rel)
-        SELECT selection_id, place, doc_id, CASE WHEN match_type = 'exact' THEN ['Names an identifier used in these lines', 'Names this file', 'Discusses the file these lines are in', 'References the commit that introduced these lines', 'References the pull request that introduced these lines'][exact_strength] ELSE said END AS why FROM o WHERE place <= 5""",
+        o AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY (match_type <> 'exact')::INT, CASE WHEN match_type = 'exact' THEN -exact_strength ELSE 0 END, CASE WHEN match_type = 'exact' THEN 0 ELSE coalesce(ord, 1000000) END, citation) AS pos FROM j WHERE match_type = 'exact' OR rel)
+        SELECT selection_id, pos AS place, doc_id, CASE WHEN match_type = 'exact' THEN ['Names an identifier used in these lines', 'Names this file', 'Discusses the file these lines are in', 'References the commit that introduced these lines', 'References the pull request that introduced these lines'][exact_strength] ELSE said END AS why FROM o WHERE pos <= 5""",
     "conflict_pairs": f"WITH {WORDS}, n AS (SELECT selection_id, count(*) AS n FROM hits GROUP BY 1 HAVING count(*) >= 2) SELECT selection_id, 1 AS a, 2 AS b, 'conflict' AS kind FROM n UNION ALL SELECT selection_id, 2, 1, 'supersede' FROM n",
     "prompts": f"""WITH {WORDS} SELECT selection_id, sha256(string_agg('[' || citation || '] #' || coalesce(source, '?') || ' ' || strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') || chr(10) || '    ' || substring(coalesce(lang, ''), 1, 500), chr(10) ORDER BY citation)) AS sha256 FROM hits JOIN facts USING (doc_id) GROUP BY 1""",
     "graph_edges": f"WITH {GRAPH} SELECT type, confidence, count(*) AS n FROM edges GROUP BY 1, 2",

@@ -16,7 +16,9 @@ def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.schema(RAW_MESSAGE).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{path}/*/*.json")
     rows = rows.withColumn("path", F.col("_metadata.file_path"))
     rows = rows.withColumn("channel_name", F.url_decode(F.element_at(F.split("path", "/"), -2)))
-    bad = rows.filter("_corrupt_record is not null").select("path", "channel_name").distinct()
+    # Spark reads the corrupt column only beside another one
+    per_file = rows.groupBy("path", "channel_name").agg(F.max("_corrupt_record").alias("broken"), F.count("ts").alias("n"))
+    bad = per_file.filter("broken is not null or n < 0").select("path", "channel_name", "n")
     return rows.join(bad.select("path"), "path", "left_anti").drop("_corrupt_record", "path"), bad
 
 
