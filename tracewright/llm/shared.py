@@ -3,6 +3,8 @@ buffers, packed hash columns that Spark shuffles, and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
 import tempfile
@@ -214,6 +216,13 @@ def spread(starts: np.ndarray, total: int) -> np.ndarray:
 STEP = 2 << 20  # bytes of text that a task handles at a time
 
 
+def trim() -> None:
+    """Gives freed memory back, so that Python workers that wait don't hold what a task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of bytes in one text column (one row at least)."""
     _, offsets = buffers(batch.column(column))
@@ -222,6 +231,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+    trim()
 
 
 # ---------------------------------------------------------------- components
