@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..settings import DEFAULTS, Settings
 
 # Line formats of the dumps and subject conventions.
@@ -77,13 +78,13 @@ def pr_from_forge(commits: DataFrame, prs: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, sha): all that each seed reaches along (sha, parent), itself included. A fixpoint of joins; each
     round follows only what was new, and is checkpointed, so that plans stay small."""
-    seen = seeds.select(F.col("seed"), F.col("seed").alias("sha")).distinct().checkpoint()
+    seen = checkpointed(seeds.select(F.col("seed"), F.col("seed").alias("sha")).distinct())
     front = seen
     while True:
-        step = front.join(edges, "sha").select("seed", F.col("parent").alias("sha")).distinct().join(seen, ["seed", "sha"], "left_anti").checkpoint()
+        step = checkpointed(front.join(edges, "sha").select("seed", F.col("parent").alias("sha")).distinct().join(seen, ["seed", "sha"], "left_anti"))
         if step.isEmpty():
             return seen
-        seen, front = seen.unionByName(step).checkpoint(), step
+        seen, front = checkpointed(seen.unionByName(step)), step
 
 
 def pr_from_merges(commits: DataFrame, edges: DataFrame, history: DataFrame) -> DataFrame:

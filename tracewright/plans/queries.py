@@ -434,7 +434,8 @@ def graph_hits(spark, d):
 
 def whole_graph(spark, d):
     _, b = blame(spark, d)
-    return graph.resolve_graph(b, graph_hits(spark, d), h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d))
+    nodes, edges = graph.resolve_graph(b, graph_hits(spark, d), h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d))
+    return nodes.persist(), edges.persist()
 
 
 @query
@@ -452,13 +453,11 @@ def commit_chains(spark, d):
     return graph.commit_chain(blame(spark, d)[1], h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query
 def unlinked_nodes(spark, d):
     nodes, edges = whole_graph(spark, d)
     return graph.reachable(nodes, edges).groupBy("type", "linked").agg(F.count("*").alias("n"))
 
 
-@query
 def timelines(spark, d):
     rows, links = graph.timeline_rows(*whole_graph(spark, d))
     return rows.groupBy("selection_id").agg(F.count("*").alias("rows"), F.min("row_ts").alias("first_ts")).join(links.groupBy("selection_id").agg(F.count("*").alias("links")), "selection_id", "left")

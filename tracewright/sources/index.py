@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..schemas import CHECKPOINT, DOCUMENTS
 
 
@@ -38,7 +39,7 @@ def write_documents(docs: DataFrame, path: str, parts: int = 64) -> None:
     touched = old.join(docs.select("part").distinct(), "part", "left_semi").join(docs.select("doc_id"), "doc_id", "left_anti")
     merged = touched.select(*docs.columns).unionByName(docs)
     # read and written folders are the same, so the new version is set down first
-    merged.checkpoint().repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    checkpointed(merged).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def delete_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def write_checkpoint(checkpoint: DataFrame, path: str) -> None:
     """Written after the documents; a channel's time never goes back."""
     old = read_checkpoint(checkpoint.sparkSession, path)
     merged = old.unionByName(checkpoint.select("channel_name", "last_us")).groupBy("channel_name").agg(F.max("last_us").alias("last_us"))
-    merged.checkpoint().coalesce(1).write.mode("overwrite").parquet(path)
+    checkpointed(merged).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def stamp(spark: SparkSession, embedder: str, dimension: int, source: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..checkpoints import checkpointed
 from ..operators.sync import affected_bursts, affected_threads, dedupe_messages
 from ..operators.documents import build_documents
 from ..operators.segment import segment
@@ -25,7 +26,7 @@ def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, se
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = dedupe_messages(batch.select(*NAMES)).checkpoint()
+        new = checkpointed(dedupe_messages(batch.select(*NAMES)))
         old = read_table(spark, store, MESSAGES)
         new.join(old.select("channel_id", "ts_us"), ["channel_id", "ts_us"], "left_anti").select(*NAMES).write.mode("append").parquet(store)
         pool = read_table(spark, store, MESSAGES)
