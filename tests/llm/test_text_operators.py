@@ -249,6 +249,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_that_share_nothing(spark):
+    rows = [" ".join(f"{k}w{j}" for j in range(12)) for k in range(5)]
+    assert all(r.kept for r in near_duplicates(table(spark, rows, False)).collect())
+
+
 def test_rest_of_a_bucket_is_compared_exactly():
     """A chain whose ends are unlike: what leaders don't confirm is still linked through the middle."""
     def feature(lo):
