@@ -66,25 +66,39 @@ def matrix(features: np.ndarray, doc: np.ndarray, h: np.ndarray, count: np.ndarr
     return doc[at], spot[at], values(count[at], n_words[doc[at]])
 
 
-def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
+class Rows(NamedTuple):
+    """Sparse rows: the elements of row k are those from ``edges[k]`` to ``edges[k + 1]``."""
+
+    edges: np.ndarray
+    columns: np.ndarray
+    vals: np.ndarray
+
+    def pick(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``chosen``, column, value) of the elements of the chosen rows."""
+        n = self.edges[chosen + 1] - self.edges[chosen]
+        at = np.repeat(self.edges[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(chosen)), n), self.columns[at], self.vals[at]
+
+
+def nn_pu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, width: int, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier with logistic loss that minimises the non-negative
     positive-unlabelled risk: prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)). While the bracket is
-    negative a step goes the other way on it. Adam over random batches of both samples."""
+    negative a step goes the other way on it. Adam over random batches of both samples, given as numbers
+    of rows of ``x``."""
     rng = np.random.RandomState(seed)
-    w, b = np.zeros(xp.shape[1]), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, b = np.zeros(width), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, rounds + 1):
-        p = xp[rng.randint(0, len(xp), min(len(xp), 1024))]
-        u = xu[rng.randint(0, len(xu), min(len(xu), 4096))]
-        fp, fu = p @ w + b, u @ w + b
+        n_p, n_u = min(len(positive), 1024), min(len(unlabelled), 4096)
+        drawn = np.concatenate([positive[rng.randint(0, len(positive), n_p)], unlabelled[rng.randint(0, len(unlabelled), n_u)]])
+        row, col, val = x.pick(drawn)
+        f = np.bincount(row, w[col] * val, minlength=n_p + n_u) + b
+        fp, fu = f[:n_p], f[n_p:]
         gap = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp_plus, gp_minus, gu = -sigmoid(-fp) / len(p), sigmoid(fp) / len(p), sigmoid(fu) / len(u)
-        if gap >= 0:
-            left, right = prior * (gp_plus - gp_minus), gu
-        else:
-            left, right = prior * gp_minus, -gu
-        g = np.append(left @ p + right @ u + decay * w, left.sum() + right.sum())
+        gp_plus, gp_minus, gu = -sigmoid(-fp) / n_p, sigmoid(fp) / n_p, sigmoid(fu) / n_u
+        pull = np.concatenate([prior * (gp_plus - gp_minus), gu] if gap >= 0 else [prior * gp_minus, -gu])
+        g = np.append(np.bincount(col, pull[row] * val, minlength=width) + decay * w, pull.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -142,11 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["side", "columns", "vals"])
 
     got = sample.mapInArrow(rows, "side int, columns array<int>, vals array<float>").toArrow()
-    x = np.zeros((got.num_rows, len(features)), np.float32)
-    cols = got.column("columns").combine_chunks()
-    x[np.repeat(np.arange(got.num_rows), np.asarray(cols.value_lengths())), np.asarray(cols.flatten())] = np.asarray(got.column("vals").combine_chunks().flatten())
+    cols, vals = got.column("columns").combine_chunks(), got.column("vals").combine_chunks()
+    x = Rows(np.append(0, np.cumsum(np.asarray(cols.value_lengths(), np.int64))), np.asarray(cols.flatten()), np.asarray(vals.flatten()))
     side = np.asarray(got.column("side"))
-    w, b = nn_pu(x[side == 1], x[side == 0], prior)
+    w, b = nn_pu(x, np.flatnonzero(side == 1), np.flatnonzero(side == 0), len(features), prior)
     return Model(features, w, b, prior)
 
 
