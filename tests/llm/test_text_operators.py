@@ -271,6 +271,24 @@ def test_rest_of_a_bucket_is_compared_exactly():
     assert {tuple(sorted(r.values())) for r in got} == {(1, 2), (2, 3)}
 
 
+def test_one_bridge_joins_two_families(spark):
+    """Each family is confirmed by a leader of its own; the only pair that joins them has the largest ids."""
+    rows, of = [], {}
+    for g in range(5):
+        head = [f"g{g}h{k}" for k in range(300)]
+        for bridge in (False, True):
+            for m in range(1 if bridge else 12):
+                for side in "ab":
+                    tail = [f"g{g}{side}{k}" for k in range(28)] + [f"g{g}{side}{m}z{k}" for k in range(0 if bridge else 8)]
+                    of[len(rows) + (1000 if bridge else 0)] = g
+                    rows.append((len(rows) + (1000 if bridge else 0), " ".join([*head, *tail])))
+    rows += [(5000 + k, " ".join(f"f{k}w{j}" for j in range(8))) for k in range(200)]
+    _, similar = jaccard_by_hand(rows)
+    assert similar(24 + 1000, 25 + 1000) > 0.8 and similar(0, 1) < 0.78 and similar(24 + 1000, 1) < 0.795 and similar(0, 2) > 0.85
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 5000").collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: min(j for j in of if of[j] == g) for k, g in of.items()}
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.RandomState(0)
     keys = rng.randint(0, 2**62, 400).astype(np.uint64)

@@ -239,15 +239,17 @@ def confirm(pairs: DataFrame, feats: DataFrame, floor: float) -> DataFrame:
 
 
 def rest_links(floor: float):
-    """Links among documents of one group of buckets: those that no leader confirmed against all others,
-    each pair in its first common band, pairs already joined left out; returns links that join."""
+    """Links among documents of one group of buckets: each of ``half`` 0 against all of ``half`` 1 of another
+    component, each pair in its first common band, pairs already joined left out; returns links that join.
+    A ``part`` other than 0 marks a document of ``half`` 1 that asks itself: such a pair meets once."""
 
     def group(table: pa.Table) -> pa.Table:
         ids, part, mine = (np.asarray(table.column(c), np.int64) for c in ("doc_id", "part", "component"))
         bucket, half, band = (np.asarray(table.column(c), np.int64) for c in ("bucket", "half", "band"))
         bands = np.asarray(table.column("bands").combine_chunks().flatten(), np.int64).reshape(-1, BANDS)
         feats = [_feature(*x) for x in zip(*(table.column(c).to_pylist() for c in ("keys", "weights", "private")), strict=True)]
-        del part
+        shared = np.array([w.sum() for _, w, _ in feats])
+        whole = shared + np.array([p for *_, p in feats])
         order = np.argsort(bucket, kind="stable")
         first = runs(bucket[order])
         root: dict[int, int] = {}
@@ -264,7 +266,10 @@ def rest_links(floor: float):
             asks, others = at[half[at] == 0], at[half[at] == 1]
             for i in asks:
                 same = bands[others] == bands[i]
-                near = others[(same.argmax(axis=1) == band[i]) & (ids[others] != ids[i])]
+                near = others[(same.argmax(axis=1) == band[i]) & (mine[others] != mine[i]) & (ids[others] != ids[i]) & ((part[others] == 0) | (ids[others] > ids[i]))]
+                # what the two weigh together bounds how much of it they can share
+                most = np.minimum(shared[near], shared[i])
+                near = near[most >= (floor - 1e-9) * (whole[near] + whole[i] - most)]
                 for j in near:
                     x, y = find(int(mine[i])), find(int(mine[j]))
                     if x != y and weighted_jaccard(feats[i], feats[j]) >= floor:
@@ -289,8 +294,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     on, and digests join the others. Document frequencies are counted by ranges of shingle hashes; answers
     come only for shingles that several documents have. Classes sample 64 elements and meet in 16 bands of
     4, where a pair at the floor is missed with a chance below 0.001. Each band's bucket compares its documents with its smallest, twice over;
-    what a leader doesn't confirm is then compared with all others of its bucket in blocks, so that large
-    buckets cost one comparison a document, unlinked ones are settled exactly and no group is held whole.
+    then each document outside its bucket's largest component is compared with all others of another
+    component in blocks, each pair in its first common band, so that large buckets of one family cost one
+    comparison a document, all others are settled exactly and no group is held whole.
     """
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in ("component_id", "kept")])
@@ -311,27 +317,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     # a second leader: the smallest of those that the first didn't confirm
     linked = links.withColumn("linked", F.lit(True))
     open_ = slots.join(linked, ["doc_id", "leader"], "left").filter("linked is null and doc_id <> leader").select("bucket", "band", "doc_id", F.col("leader").alias("first"))
-    open_ = settle(open_, "open")
     second = open_.groupBy("bucket").agg(F.min("doc_id").alias("leader"))
     pairs = slots.select("bucket", "doc_id", F.col("leader").alias("first")).join(second, "bucket").filter("doc_id <> leader and doc_id <> first")
     more = settle(confirm(pairs.select("doc_id", "leader").distinct(), feats, floor), "links")
-    done = more.withColumn("linked", F.lit(True))
-    left = open_.join(second, "bucket").filter("doc_id <> leader").join(done, ["doc_id", "leader"], "left").filter("linked is null").select("bucket", "band", "doc_id")
-    left = settle(left, "left")
     joined = components(links.unionByName(more), "doc_id", "leader")
 
-    # what is left: each against all others of its bucket but the two leaders, in blocks
-    others = slots.select("bucket", "band", "doc_id", "crowd", F.col("leader").alias("first")).join(second.withColumnRenamed("leader", "second"), "bucket").filter("doc_id <> first and doc_id <> second")
-    asks = left.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("ask_parts"))
-    others = others.join(asks, "bucket").withColumn("parts", F.ceil(F.col("crowd") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    sizes = others.select("bucket", "ask_parts", "parts").distinct()
-    sent = left.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("ask_parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", "band", "doc_id", "mine", "other", "parts", "ask_parts", F.lit(0).alias("half"))
-    seen = others.withColumn("mine", F.explode(F.expr("sequence(0, ask_parts - 1)"))).select("bucket", "band", "doc_id", "mine", F.col("part").alias("other"), "parts", "ask_parts", F.lit(1).alias("half"))
+    # what is left: each outside its bucket's largest component against all others of another, in blocks
+    member = slots.select("bucket", "band", "doc_id", "crowd").join(joined.withColumnRenamed("id", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    member = settle(member, "members")
+    parts_of = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = parts_of.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"), F.sum("n").alias("crowd"), F.max("n").alias("most")).filter("components > 1")
+    split = split.select("bucket", "largest", F.ceil((F.col("crowd") - F.col("most")) / CHUNK).cast("int").alias("ask_parts"), F.ceil(F.col("crowd") / CHUNK).cast("int").alias("parts"))
+    others = member.drop("crowd").join(split, "bucket").withColumn("outside", (F.col("component") != F.col("largest")).cast("long"))
+    cols = ["bucket", "band", "doc_id", "component", "outside", "parts", "ask_parts"]
+    sent = others.filter("outside = 1").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("ask_parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(*cols, "mine", "other", F.lit(0).alias("half"))
+    seen = others.withColumn("other", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("mine", F.explode(F.expr("sequence(0, ask_parts - 1)"))).select(*cols, "mine", "other", F.lit(1).alias("half"))
     small = F.pmod("bucket", F.lit(n_buckets(spark))).cast("string")
     group = F.when((F.col("parts") == 1) & (F.col("ask_parts") == 1), small).otherwise(F.concat_ws("|", "bucket", "mine", "other"))
-    met = sent.unionByName(seen).withColumn("group", group).join(feats, "doc_id").join(joined.withColumnRenamed("id", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left")
-    met = met.select("group", "bucket", "band", "doc_id", "half", F.col("other").cast("long").alias("part"), F.coalesce("component", "doc_id").alias("component"), "keys", "weights", "private", "bands")
+    met = sent.unionByName(seen).withColumn("group", group).join(feats, "doc_id")
+    met = met.select("group", "bucket", "band", "doc_id", "half", F.col("outside").alias("part"), "component", "keys", "weights", "private", "bands")
     rest = settle(met.groupBy("group").applyInArrow(rest_links(floor), "doc_id long, leader long"), "rest")
 
     parts = components(links.unionByName(more).unionByName(rest).distinct(), "doc_id", "leader").select(F.col("id").alias("head"), "label")
