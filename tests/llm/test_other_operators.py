@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tracewright.llm import queries, toxicity, warc
-from tracewright.llm.itq_links import link_vectors
+from tracewright.llm.itq_links import link_vectors, table_count
 from tracewright.llm.mixing import mix_sources, source_targets
 from tracewright.llm.url_filters import judge_urls
 
@@ -71,6 +71,21 @@ def test_vector_links_equal_brute_force(spark):
     assert link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rows = [(k, [float(k % 7 == j) + 0.5 for j in range(8)], 1) for k in range(300)]
+    long = [(1000 + k, [1.0] * 9, 1) for k in range(2)]
+    got = {r.vec_id: r for r in link_vectors(spark.createDataFrame([*rows, *long], "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[k].n_links == sum(j % 7 == k % 7 for j in range(300)) - 1 and got[k].component_id == k % 7 for k in range(300))
+    assert all(r.n_links == 1 and r.component_id == 1000 for k, r in got.items() if k >= 1000)
+
+
+def test_tables_hold_the_chance_of_a_miss():
+    for width in (8, 16, 24):
+        used, tables = table_count(width, 0.98)
+        assert used == width and (1 - (1 - np.arccos(0.98) / np.pi) ** used) ** tables <= 1e-6
+    assert table_count(24, 0.5)[0] < 24 and table_count(24, 1.0) == (24, 1)
+
+
 def toxic_rows(n=900, seed=3):
     rng = random.Random(seed)
     words, bad = [f"w{k}" for k in range(400)], ["nasty", "vile", "grim"]

@@ -14,6 +14,8 @@ from .shared import components, mix, n_buckets, runs, settle
 
 FIT_ROWS = 20_000  # the sample that learns the rotations
 CHUNK = 2048  # vectors of one table's bucket that meet at a time
+FIT_LEAST = 256  # a length of fewer vectors has no codes: all of a label meet
+MISS, MOST = 1e-6, 64  # the chance to miss a link at the floor, and tables at most
 HITS = "vec_id long, n long, other long"
 
 
@@ -24,6 +26,19 @@ class Codes(NamedTuple):
     tables: int
 
 
+def table_count(width: int, floor: float) -> tuple[int, int]:
+    """(width, tables): so many tables that the chance to miss a link at ``floor`` is at most ``MISS``;
+    where that takes more than ``MOST``, keys are narrower."""
+    agree = 1 - np.arccos(np.clip(floor, -1, 1)) / np.pi
+    while width:
+        p = agree**width
+        tables = 1 if p >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-p))) if p > 0 else MOST + 1
+        if tables <= MOST:
+            return width, tables
+        width -= 1
+    return 0, 1
+
+
 def fit_itq(sample: np.ndarray, rotations: int, width: int, tables: int, rounds: int = 30, seed: int = 5) -> Codes:
     """Learns ``rotations`` orthogonal rotations for balanced binary codes: centred unit vectors, principal
     axes, then alternately the nearest binary codes and the rotation that fits them best (Procrustes)."""
@@ -92,37 +107,45 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
     least ``floor``. Null, zero and non-finite vectors and rows with a null vec_id link with nothing; repeated rows
     of one vec_id count as that vector once and get the same result.
 
-    Rotations are fitted on at most ``fit_rows`` vectors, the first by hash of their id; every vector is
-    indexed. Equal vectors of a label are one node that carries its number, so that a hot vector is one
+    Vectors link within their length. Rotations are fitted for each length of ``FIT_LEAST`` vectors or more,
+    on at most ``fit_rows`` of them, the first by hash of their id; every vector is indexed. Equal vectors of a label are one node that carries its number, so that a hot vector is one
     row. A node goes into each table under (label, table, key); keys widen with the logarithm of the
     number of rows, so that buckets stay small. Nodes of one bucket meet in blocks of ``CHUNK``; a bucket
     of several blocks becomes a group for each pair of blocks, so that no task holds a whole hot bucket.
     A pair counts in the first table where its keys agree; a task returns each node's number of links
     and one link for each part of a block that links join, never all pairs. The chance to miss a link
-    at the floor is (1 - p)^tables with p = (1 - angle / pi)^width: at 16 tables below 0.002.
+    at the floor is (1 - p)^tables with p = (1 - angle / pi)^width for independent bits; the number of
+    tables follows from the width, so that it is at most ``MISS`` at any number of rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding")
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    dim = max(1, size.dim or 1)
-    width = int(min(24, max(8, np.ceil(np.log2(max(2, size.n))) - 2)))
-    tables = 12 + width // 2
-    sample = rows.filter("embedding is not null").select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(fit_rows).select("embedding").toArrow()
-    unit, ok = as_matrix(sample.column(0), dim)
-    codes = fit_itq(unit[ok], max(1, -(-width * tables // dim)), width, tables, seed=seed)
+    codes: dict[int, Codes] = {}
+    for dim, n in rows.filter("size(embedding) > 0").groupBy(F.size("embedding")).count().collect():
+        if n < FIT_LEAST:
+            codes[dim] = Codes(np.zeros(dim), np.zeros((1, dim, 0)), 0, 1)
+            continue
+        width, tables = table_count(int(min(24, max(8, np.ceil(np.log2(n)) - 2))), floor)
+        sample = rows.filter(F.size("embedding") == dim).select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(fit_rows).select("embedding").toArrow()
+        unit, ok = as_matrix(sample.column(0), dim)
+        codes[dim] = fit_itq(unit[ok], max(1, -(-width * tables // dim)), width, tables, seed=seed)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, ok = as_matrix(batch.column(2), dim)
-            ok &= np.asarray(batch.column(0).is_valid()) & np.asarray(batch.column(1).is_valid())
-            keep = np.flatnonzero(ok)
-            unit = unit[keep]
-            keys = table_keys(codes, unit)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * tables, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            raw = pa.array([u.tobytes() for u in unit], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), lists, raw], ["vec_id", "label", "keys", "unit"])
+            sizes = np.asarray(batch.column(2).value_lengths().fill_null(0))
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                unit, ok = as_matrix(part.column(2), dim)
+                ok &= np.asarray(part.column(0).is_valid()) & np.asarray(part.column(1).is_valid())
+                keep = np.flatnonzero(ok)
+                unit = unit[keep]
+                keys = table_keys(codes[dim], unit)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                raw = pa.array([u.tobytes() for u in unit], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep)), lists, raw], ["vec_id", "label", "keys", "unit"])
 
     coded = settle(rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(encode, "vec_id long, label string, keys array<long>, unit binary"), "codes")
+    # vectors of different lengths are of different labels
+    coded = coded.withColumn("label", F.concat_ws(":", F.length("unit"), "label"))
     member = coded.select("vec_id", "label", F.sha2("unit", 256).alias("same")).distinct()
     node = member.groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     heads = coded.join(node.select(F.col("node").alias("vec_id"), "label", "copies"), ["vec_id", "label"]).dropDuplicates(["vec_id", "label"])
@@ -139,6 +162,10 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
     full = asked.join(heads.select(F.col("vec_id"), "label", "keys", "unit", "copies"), ["vec_id", "label"])
 
     def meet(table: pa.Table) -> pa.Table:
+        size = np.array([len(u) for u in table.column("unit").to_pylist()], np.int64)
+        return pa.concat_tables([meet_length(table.take(pa.array(np.flatnonzero(size == n))), int(n) // 8) for n in np.unique(size)])
+
+    def meet_length(table: pa.Table, dim: int) -> pa.Table:
         t = np.asarray(table.column("t"), np.int64)
         labels = np.unique(np.asarray(table.column("label").to_pylist(), object).astype(str), return_inverse=True)[1]
         bucket = mix(mix(np.asarray(table.column("key"), np.int64).astype(np.uint64)) + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + labels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -146,7 +173,7 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
         first = runs(bucket[order])
         ids = np.asarray(table.column("vec_id"), np.int64)
         half, parts, part, copies = (np.asarray(table.column(c), np.int64) for c in ("half", "parts", "part", "copies"))
-        keys = np.asarray(table.column("keys").combine_chunks().flatten(), np.int64).reshape(-1, tables)
+        keys = np.asarray(table.column("keys").combine_chunks().flatten(), np.int64).reshape(table.num_rows, -1)
         unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(first, np.append(first[1:], len(order)), strict=True):
