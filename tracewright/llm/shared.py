@@ -23,10 +23,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's ``spark.checkpoint.dir``; where that is unset (tests, one
-    machine) a temporary folder is set as the checkpoint folder first."""
+    """A fresh path below the cluster's ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    serves on one machine (a local master, as in tests); on a cluster, whose executors don't share such a
+    folder, this refuses to go on."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():
@@ -84,12 +87,61 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.memmap(t.name, dtype=dtype, mode="r") if t.tell() else np.empty(0, dtype)
 
 
+def get_file(path: str) -> bytes:
+    """The content of a file of the shared folder."""
+    local = local_path(path)
+    if local:
+        with open(local, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner) as f:
+        return f.read()
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a settled table that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+GROUP_BYTES = 16 << 20  # text that stands behind one group of a packed shuffle
+
+
 def n_buckets(spark: SparkSession, per: int = 4) -> int:
-    """Groups of a packed shuffle: ``per`` for each shuffle partition, so that the setting with which
-    users size their shuffles also bounds what one group holds. Odd, to suit ``pmod`` of ids."""
+    """Groups for rows that are few beside the input: ``per`` for each shuffle partition. Odd, to suit
+    ``pmod`` of ids."""
     return max(64, per * int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
 
 
+def n_groups(spark: SparkSession, texts: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    """Groups of a packed shuffle: one for each ``group_bytes`` of the column ``text``, at least one for
+    each core, so that what a group or a task holds doesn't grow with the input. One scan of the text
+    column. Odd, to suit ``pmod`` of ids."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-total // group_bytes)) | 1
+
+
+def dealt(df: DataFrame, groups: int, key: str = "target") -> DataFrame:
+    """``df`` in as many partitions as it has groups; grouping by ``key`` then needs no other shuffle."""
+    return df.repartition(groups, key)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
@@ -247,6 +299,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hop = labels.select(F.col("id").alias("hid"), F.col("label").alias("hop"))
         step = step.join(hop, step.label == hop.hid).select("id", F.least("label", "hop").alias("label"), "was")
         step = settle(step, "labels")
+        discard(labels)
         if not step.filter("label <> was").limit(1).count():
+            discard(both)
             return step.select("id", "label")
         labels = step.select("id", "label")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, cuts, hash_spans, n_buckets, pack, runs, slices, spread, unpack, windows, word_spans
+from .shared import buffers, cuts, dealt, fresh, hash_spans, n_groups, pack, runs, slices, spread, unpack, windows, word_spans
 
 FLUSH = 2_000_000  # windows that a task holds before it passes them on
 BLOBS = pa.schema([("target", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary())])
@@ -96,7 +96,7 @@ def spans_of(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def cut(size: int):
+def cut(size: int, target: str):
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         docs, keys = np.empty(0, np.int64), np.empty(0, np.uint64)
         if right.num_rows:
@@ -130,7 +130,7 @@ def cut(size: int):
             n_removed.append(sum(b - a for a, b in gone))
             kept.append(b" ".join(words).decode("utf-8"))
             spans.append([{"first": a, "past": b} for a, b in gone])
-        out = left.drop_columns(["target"])
+        out = left.drop_columns([target])
         span = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
         for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept_text", kept, pa.string()), ("removed", spans, span)):
             out = out.append_column(name, pa.array(values, kind))
@@ -154,14 +154,18 @@ def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     documents hold costs one entry for each couple of million windows. The entries are packed into
     arrays by range of hash, Spark shuffles the arrays, and answers go back by document. Windows count
     as equal by 64-bit hashes: among 10**8 distinct windows a false match has a chance below 0.001.
+    Ranges of hashes and blocks of documents follow the bytes of text, so that none grows with the input.
+    Columns of ``docs`` named like the added ones are replaced; empty tables give no rows.
     """
-    buckets, blocks = n_buckets(docs.sparkSession, 1), n_buckets(docs.sparkSession, 2)
-    extra = ("n_words", "n_removed", "kept_text", "removed", "target")
+    extra = ("n_words", "n_removed", "kept_text", "removed")
     docs = docs.select(*[c for c in docs.columns if c not in extra])
     known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    buckets = blocks = n_groups(docs.sparkSession, docs)
     asked = known.mapInArrow(ask(size, buckets, blocks), BLOB_TYPE)
-    answers = asked.groupBy("target").applyInArrow(answer(blocks), BLOB_TYPE)
+    answers = dealt(asked, buckets).groupBy("target").applyInArrow(answer(blocks), BLOB_TYPE)
     # rows without doc_id go anywhere; they ask and are answered nothing
-    target = F.pmod(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(blocks)).cast("long")
+    (target,) = fresh(docs, "target")
+    block = F.pmod(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(blocks)).cast("long")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept_text string, removed array<struct<first:int,past:int>>"
-    return docs.withColumn("target", target).groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(cut(size), out)
+    left = dealt(docs.withColumn(target, block), blocks, target).groupBy(target)
+    return left.cogroup(dealt(answers, blocks).groupBy("target")).applyInArrow(cut(size, target), out)

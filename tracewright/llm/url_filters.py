@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 SPACE = 8  # hex digits of a digest that the equi-join compares first
 
 
@@ -58,7 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     hits = grown.join(known, (F.col("xk") == F.col("rk")) & (F.col("xd") == F.col("rd")))
     rank = F.struct(F.length("rule").alias("n"), F.length("rh").alias("hn"), F.col("action").alias("action"), F.col("rule").alias("rule"))
+    bh, bp = fresh(judged, "best_host", "best_path")
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best")).select(
-        F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
-    out = judged.join(best, (judged.host == best.bh) & (judged.path == best.bp), "left").drop("bh", "bp")
+        F.col("host").alias(bh), F.col("path").alias(bp), F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
+    out = judged.join(best, (judged["host"] == best[bh]) & (judged["path"] == best[bp]), "left").drop(bh, bp)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
