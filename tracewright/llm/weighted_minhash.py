@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, components, cuts, hash_spans, mix, n_buckets, pack, runs, settle, slices, spread, trim, unpack, windows, word_spans
+from .shared import buffers, components, cuts, dealt, fresh, hash_spans, mix, n_buckets, n_groups, pack, runs, settle, slices, spread, trim, unpack, windows, word_spans
 
 BANDS, ROWS = 16, 4
 FLUSH = 1_000_000  # shingles that a task holds before it passes them on
@@ -47,11 +47,17 @@ def digest_rows(size: int):
             for part in slices(batch, 1):
                 _, d, one, two = shingles(part.column(1), size)
                 n = np.bincount(d, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n, pa.int64())], ["doc_id", "d1", "d2", "n"])
+                own = apart(np.asarray(part.column(0), np.int64), one, two)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.view(np.int64)) for x in (one, two)), pa.array(n, pa.int64()), pa.array(own)], ["doc_id", "d1", "d2", "n", "own"])
 
     return task
 
 
+def apart(ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Numbers for rows whose doc_id stands for several texts: negative hashes of id and text."""
+    return (mix(ids.view(np.uint64) ^ mix(one + mix(two))) | np.uint64(1 << 63)).view(np.int64)
+
+
 def postings(size: int, buckets: int):
     """Packed (shingle, document, term frequency, number of copies) by range of hash. Copies that a task
     holds at once are one document, the smallest, with their number."""
@@ -77,8 +83,9 @@ def postings(size: int, buckets: int):
 
         for batch in batches:
             for part in slices(batch, 1):
-                ids = np.asarray(part.column(0), np.int64).tolist()
                 h, d, one, two = shingles(part.column(1), size)
+                ids, several = np.asarray(part.column(0), np.int64), np.asarray(part.column(2).cast(pa.int8())) > 0
+                ids = np.where(several, apart(ids, one, two), ids).tolist()
                 place = np.full(part.num_rows, -1, np.int64)
                 for i, same in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
                     if same == (0, 0):
@@ -288,7 +295,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     that have it)) + 1, counted over all documents. ``component_id`` is the smallest doc_id that links
     reach, ``kept`` whether it is the row's own. Texts of fewer words are one shingle; null and empty
     texts link with nothing, and rows with a null doc_id are kept without a component. Rows that share a
-    doc_id stay or go together.
+    doc_id are one document with all their texts: each text links by itself, and they stay or go together.
+    Columns of ``docs`` named like the added ones are replaced; empty tables give no rows.
 
     Equal texts are one class from the start: a task joins the copies it holds before it passes anything
     on, and digests join the others. Document frequencies are counted by ranges of shingle hashes; answers
@@ -301,14 +309,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in ("component_id", "kept")])
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    buckets, blocks = n_buckets(spark, 2), n_buckets(spark, 2)
-    rows = settle(known.mapInArrow(digest_rows(size), "doc_id long, d1 long, d2 long, n long").filter("n > 0"), "digests")
+    buckets = blocks = n_groups(spark, docs)
+    rows = settle(known.mapInArrow(digest_rows(size), "doc_id long, d1 long, d2 long, n long, own long").filter("n > 0"), "digests")
     total = rows.count()
-    classes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    # ids that stand for several texts: their rows get numbers of their own, and a link between them
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("z")).filter("a <> z").select(F.col("doc_id").alias("several_id"))
+    several = settle(several, "several")
+    shared_ids = several.limit(1).count() > 0
+    if shared_ids:
+        known = known.join(several, known.doc_id == several.several_id, "left").select("doc_id", "text", F.col("several_id").isNotNull().alias("several"))
+        rows = rows.join(several, rows.doc_id == several.several_id, "left").withColumn("row_id", F.when(F.col("several_id").isNotNull(), F.col("own")).otherwise(F.col("doc_id")))
+    else:
+        known, rows = known.withColumn("several", F.lit(False)), rows.withColumn("row_id", F.col("doc_id"))
+    classes = rows.groupBy("d1", "d2").agg(F.min("row_id").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     target = F.pmod("doc_id", F.lit(blocks)).cast("long")
-    answers = known.mapInArrow(postings(size, buckets), POST_TYPE).groupBy("target").applyInArrow(count(blocks), POST_TYPE)
-    meta = classes.select(target.alias("target"), "doc_id", "n", "copies")
-    feats = settle(meta.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(features(total), FEATURES), "features")
+    answers = dealt(known.select("doc_id", "text", "several").mapInArrow(postings(size, buckets), POST_TYPE), buckets).groupBy("target").applyInArrow(count(blocks), POST_TYPE)
+    meta = dealt(classes.select(target.alias("target"), "doc_id", "n", "copies"), blocks).groupBy("target")
+    feats = settle(meta.cogroup(dealt(answers, blocks).groupBy("target")).applyInArrow(features(total), FEATURES), "features")
 
     slots = feats.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     crowd = slots.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("doc_id").alias("leader")).filter("crowd > 1")
@@ -338,9 +355,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     met = met.select("group", "bucket", "band", "doc_id", "half", F.col("outside").alias("part"), "component", "keys", "weights", "private", "bands")
     rest = settle(met.groupBy("group").applyInArrow(rest_links(floor), "doc_id long, leader long"), "rest")
 
-    parts = components(links.unionByName(more).unionByName(rest).distinct(), "doc_id", "leader").select(F.col("id").alias("head"), "label")
-    of_class = classes.select("d1", "d2", F.col("doc_id").alias("head")).join(parts, "head", "left").select("d1", "d2", F.coalesce("label", "head").alias("component_id"))
-    of_doc = rows.join(of_class, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).select(F.col("doc_id").alias("found_id"), "component_id")
-    out = docs.join(of_doc, docs.doc_id == of_doc.found_id, "left").drop("found_id")
+    all_links = links.unionByName(more).unionByName(rest)
+    if shared_ids:
+        heads = rows.filter("several_id is not null").select("doc_id", "d1", "d2").join(classes.select("d1", "d2", F.col("doc_id").alias("head")), ["d1", "d2"]).select("doc_id", "head").distinct()
+        one = heads.groupBy("doc_id").agg(F.min("head").alias("leader"))
+        all_links = all_links.unionByName(heads.join(one, "doc_id").filter("head <> leader").select(F.col("head").alias("doc_id"), "leader"))
+    parts = components(all_links.distinct(), "doc_id", "leader").select(F.col("id").alias("head"), "label")
+    of_class = classes.select("d1", "d2", "least", F.col("doc_id").alias("head")).join(parts, "head", "left").select("d1", "d2", "least", F.coalesce("label", "head").alias("component_id"))
+    if shared_ids:  # labels may be numbers of rows: the smallest doc_id of each stands for it
+        least = of_class.groupBy("component_id").agg(F.min("least").alias("named"))
+        of_class = of_class.join(least, "component_id").select("d1", "d2", F.col("named").alias("component_id"))
+    (found_id,) = fresh(docs, "found_id")
+    of_doc = rows.select("doc_id", "d1", "d2").join(of_class.select("d1", "d2", "component_id"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).select(F.col("doc_id").alias(found_id), "component_id")
+    out = docs.join(of_doc, docs["doc_id"] == of_doc[found_id], "left").drop(found_id)
     out = out.withColumn("component_id", F.coalesce("component_id", F.col("doc_id").cast("long")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
