@@ -15,7 +15,8 @@ from .shared import components, mix, n_buckets, runs, settle
 FIT_ROWS = 20_000  # the sample that learns the rotations
 CHUNK = 2048  # vectors of one table's bucket that meet at a time
 FIT_LEAST = 256  # a length of fewer vectors has no codes: all of a label meet
-MISS, MOST = 1e-6, 64  # the chance to miss a link at the floor, and tables at most
+MISS, MOST = 1e-4, 64  # the share of links at the floor that tables miss, and tables at most
+TRIAL = 4_000  # vectors of the sample on which that share is measured
 HITS = "vec_id long, n long, other long"
 
 
@@ -26,36 +27,69 @@ class Codes(NamedTuple):
     tables: int
 
 
-def table_count(width: int, floor: float) -> tuple[int, int]:
-    """(width, tables): so many tables that the chance to miss a link at ``floor`` is at most ``MISS``;
-    where that takes more than ``MOST``, keys are narrower."""
-    agree = 1 - np.arccos(np.clip(floor, -1, 1)) / np.pi
-    while width:
-        p = agree**width
-        tables = 1 if p >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-p))) if p > 0 else MOST + 1
-        if tables <= MOST:
-            return width, tables
-        width -= 1
-    return 0, 1
-
-
-def fit_itq(sample: np.ndarray, rotations: int, width: int, tables: int, rounds: int = 30, seed: int = 5) -> Codes:
-    """Learns ``rotations`` orthogonal rotations for balanced binary codes: centred unit vectors, principal
-    axes, then alternately the nearest binary codes and the rotation that fits them best (Procrustes)."""
+def rotations_of(sample: np.ndarray, mean: np.ndarray, number: int, rounds: int = 30, seed: int = 5) -> np.ndarray:
+    """Learns orthogonal rotations for balanced binary codes: centred unit vectors, principal axes, then
+    alternately the nearest binary codes and the rotation that fits them best (Procrustes)."""
     dim = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     centred = sample - mean
     axes = np.linalg.svd(centred.T @ centred)[0] if len(sample) else np.eye(dim)
     rng = np.random.RandomState(seed)
     out = []
-    for _ in range(rotations):
+    for _ in range(number):
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         v = centred @ axes
         for _ in range(rounds if len(sample) else 0):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return Codes(mean, np.stack(out), width, tables)
+    return np.stack(out)
+
+
+def at_floor(units: np.ndarray, floor: float, seed: int) -> np.ndarray:
+    """For each unit vector another at cosine ``floor``, in a random direction."""
+    u = np.random.RandomState(seed).standard_normal(units.shape)
+    u -= (u * units).sum(axis=1, keepdims=True) * units
+    return floor * units + np.sqrt(max(0.0, 1 - floor * floor)) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+
+
+def tables_for(agree: np.ndarray, width: int) -> int:
+    """How many tables of keys of ``width`` bits leave at most ``MISS`` of the pairs whose bits agree in the
+    given shares without a common key; ``MOST + 1`` where that many don't do."""
+    miss = 1 - agree**width
+    for tables in range(1, MOST + 1):
+        if (miss**tables).mean() <= MISS:
+            return tables
+    return MOST + 1
+
+
+def fit_itq(sample: np.ndarray, width: int, floor: float, seed: int = 5) -> Codes:
+    """Codes whose tables find the links at ``floor``. Pairs at the floor made from the sample show how often
+    bits agree: vectors far from the origin lie in a narrow cone, where centred codes differ more than
+    the cosine says. Keys get narrower until at most ``MOST`` tables leave ``MISS`` of the pairs; then
+    tables are fitted and the share of pairs that they find is measured, and keys narrow on while it is
+    below 1 - 10 * MISS. A key of no bits compares all vectors of a label, which misses nothing."""
+    dim = sample.shape[1]
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
+    some = sample[:TRIAL]
+    other = at_floor(some, floor, seed)
+    first = rotations_of(sample, mean, max(2, -(-128 // dim)), seed=seed)
+    bits = lambda rs, v: np.concatenate([(v - mean) @ r >= 0 for r in rs], axis=1)
+    agree = (bits(first, some) == bits(first, other)).mean(axis=1) if len(some) else np.ones(1)
+    while width and len(some):
+        tables = tables_for(agree, width)
+        if tables <= MOST:
+            need = -(-width * tables // dim)
+            rotations = first[:need] if need <= len(first) else np.concatenate([first, rotations_of(sample, mean, need - len(first), seed=seed + 1)])
+            codes = Codes(mean, rotations, width, tables)
+            if recall(codes, some, other) >= 1 - 10 * MISS:
+                return codes
+        width -= 1
+    return Codes(mean, np.zeros((1, dim, 0)), 0, 1)
+
+
+def recall(c: Codes, one: np.ndarray, two: np.ndarray) -> float:
+    """Share of pairs (rows of ``one`` and ``two``) that meet in a table."""
+    return float((table_keys(c, one) == table_keys(c, two)).any(axis=1).mean())
 
 
 def table_keys(c: Codes, units: np.ndarray) -> np.ndarray:
@@ -63,7 +97,7 @@ def table_keys(c: Codes, units: np.ndarray) -> np.ndarray:
     bits = np.concatenate([(units - c.mean) @ r >= 0 for r in c.rotations], axis=1)
     n = bits.shape[1]
     keys = np.zeros((len(units), c.tables), np.int64)
-    for t in range(c.tables):
+    for t in range(c.tables if n else 0):
         pick = (t * c.width + np.arange(c.width)) % n
         keys[:, t] = bits[:, pick] @ (1 << np.arange(c.width, dtype=np.int64))
     return keys
@@ -113,9 +147,10 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
     number of rows, so that buckets stay small. Nodes of one bucket meet in blocks of ``CHUNK``; a bucket
     of several blocks becomes a group for each pair of blocks, so that no task holds a whole hot bucket.
     A pair counts in the first table where its keys agree; a task returns each node's number of links
-    and one link for each part of a block that links join, never all pairs. The chance to miss a link
-    at the floor is (1 - p)^tables with p = (1 - angle / pi)^width for independent bits; the number of
-    tables follows from the width, so that it is at most ``MISS`` at any number of rows.
+    and one link for each part of a block that links join, never all pairs. Width and number of tables
+    are those with which made pairs at the floor, measured on the sample, are found (see ``fit_itq``).
+    Repeated rows, ties and empty tables need no care: equal vectors are one node, the smallest vec_id
+    names a component, and no rows give none.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding")
@@ -124,10 +159,10 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
         if n < FIT_LEAST:
             codes[dim] = Codes(np.zeros(dim), np.zeros((1, dim, 0)), 0, 1)
             continue
-        width, tables = table_count(int(min(24, max(8, np.ceil(np.log2(n)) - 2))), floor)
+        width = int(min(24, max(8, np.ceil(np.log2(n)) - 2)))
         sample = rows.filter(F.size("embedding") == dim).select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(fit_rows).select("embedding").toArrow()
         unit, ok = as_matrix(sample.column(0), dim)
-        codes[dim] = fit_itq(unit[ok], max(1, -(-width * tables // dim)), width, tables, seed=seed)
+        codes[dim] = fit_itq(unit[ok], width, floor, seed)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
