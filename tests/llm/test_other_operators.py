@@ -11,8 +11,8 @@ import pytest
 
 import corpus_pipeline
 from tracewright.llm import queries, toxicity, warc
-from tracewright.llm.itq_links import link_vectors, table_count
-from tracewright.llm.mixing import mix_sources, source_targets
+from tracewright.llm.itq_links import at_floor, fit_itq, link_vectors, recall
+from tracewright.llm.mixing import apportion, mix_sources, source_targets
 from tracewright.llm.url_filters import judge_urls
 
 
@@ -79,11 +79,34 @@ def test_vectors_of_each_length_link_among_themselves(spark):
     assert all(r.n_links == 1 and r.component_id == 1000 for k, r in got.items() if k >= 1000)
 
 
-def test_tables_hold_the_chance_of_a_miss():
-    for width in (8, 16, 24):
-        used, tables = table_count(width, 0.98)
-        assert used == width and (1 - (1 - np.arccos(0.98) / np.pi) ** used) ** tables <= 1e-6
-    assert table_count(24, 0.5)[0] < 24 and table_count(24, 1.0) == (24, 1)
+def cone(n, dim, mean_cosine, rng):
+    """Unit vectors whose cosine with one direction is about the root of ``mean_cosine``."""
+    v = rng.standard_normal((n, dim)) * np.sqrt((1 - mean_cosine) / dim)
+    v[:, 0] += np.sqrt(mean_cosine)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_tables_find_links_on_and_off_centre():
+    rng = np.random.RandomState(6)
+    for mean_cosine in (0.0, 0.5, 0.8, 0.9, 0.97):
+        codes = fit_itq(cone(6000, 64, mean_cosine, rng), 14, 0.98)
+        fresh = cone(3000, 64, mean_cosine, rng)
+        assert recall(codes, fresh, at_floor(fresh, 0.98, 9)) >= 0.99, mean_cosine
+    assert fit_itq(np.zeros((0, 4)), 8, 0.98).width == 0
+
+
+def test_links_off_centre_equal_brute_force(spark):
+    rng = np.random.RandomState(7)
+    base = cone(300, 16, 0.9, rng)
+    v = np.concatenate([base, at_floor(base, 0.981, 1), at_floor(base, 0.985, 2)]).astype(np.float32)
+    label = np.tile(np.arange(300) % 4, 3)
+    rows = [(k, x.tolist(), int(y)) for k, (x, y) in enumerate(zip(v, label, strict=True))]
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    found = sum(got.values())
+    assert near.sum() >= found >= 0.99 * near.sum() and all(got[k] <= near[k].sum() for k in got)
 
 
 def toxic_rows(n=900, seed=3):
@@ -247,3 +270,18 @@ def test_oracles_parse():
     for name in queries.ORACLES:
         assert name in queries.QUERIES
     del c
+
+
+def test_seats_are_those_of_the_highest_quotients(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(12):
+        m, seats = rng.randrange(1, 9), rng.choice([0, 1, 2, 7, 40, 1000])
+        weights = [rng.choice([0.0, 1.0, 1.0, 2.5, rng.random() * 100]) for _ in range(m)]
+        bids = sorted((-w / (2 * k + 1), i, k) for i, w in enumerate(weights) if w for k in range(seats))[:seats]
+        for i, w in enumerate(weights):
+            rows.append((g, i, w, seats))
+            if w:
+                want[g, i] = sum(j == i for _, j, _ in bids)
+    got = apportion(spark.createDataFrame(rows, "g int, i int, w double, seats long"), ["g"], ["i"], "w", "seats").collect()
+    assert {(r.g, r.i): r.won for r in got} == want

@@ -14,6 +14,7 @@ import pytest
 from tracewright.llm import sentencepiece_bpe, shared, weighted_minhash
 from tracewright.llm.edit_fingerprint import fingerprint_texts, half_edits, similar_texts
 from tracewright.llm.kneser_ney import perplexity
+from tracewright.llm.mixing import mix_sources
 from tracewright.llm.sentencepiece_bpe import encode_pieces
 from tracewright.llm.substring_dedup import cut_repeats
 from tracewright.llm.weighted_minhash import near_duplicates
@@ -295,3 +296,23 @@ def test_samples_agree_as_often_as_the_similarity():
     a, b = rng.rand(400) + 0.1, rng.rand(400) + 0.1
     got = weighted_minhash.icws(np.concatenate([keys, keys]), np.concatenate([a, b]), np.array([0, 400]), 2000)
     assert (got[0] == got[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+
+
+def test_rows_that_share_an_id_link_by_each_text(spark):
+    a, b = (" ".join(f"{s}{k}" for k in range(60)) for s in "ab")
+    for ids in ((1, 1), (1, 5)):
+        rows = [(ids[0], a), (ids[1], b), (2, f"{a} z"), (3, f"{b} z"), *((k, " ".join(f"f{k}w{j}" for j in range(9))) for k in range(10, 60))]
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 10").collect()
+        want = {1: 1, 2: 1, 3: 1} if ids == (1, 1) else {1: 1, 2: 1, 3: 3, 5: 3}
+        assert {(r.doc_id, r.component_id) for r in got} == set(want.items()) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_columns_named_like_helpers_survive(spark):
+    names = ["target", "target_", "found_id", "several", "own", "n", "d1", "head", "label", "place", "shard", "quota", "cell_size", "q_shard", "shards", "upto", "Seats", "s_source", "times", "block", "key"]
+    rows = [(k, f"{t} {k}", "s", *(f"{c}{k}" for c in names)) for k, t in enumerate(["a b c d e f"] * 3 + ["g " * 20] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for made in (cut_repeats(df), near_duplicates(df), mix_sources(df), perplexity(df), fingerprint_texts(df)):
+        got = made.collect()
+        mine = [c for c in names if c != "target" or made.columns[-1] != "taken"]  # a column that the mix adds
+        assert len(got) == len(rows) and [c for c in made.columns if c in df.columns and (c in mine or c not in names)] == [c for c in df.columns if c in mine or c not in names]
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in mine)

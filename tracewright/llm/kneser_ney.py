@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, cuts, hash_spans, mapped, mix, n_buckets, pack, put_file, runs, shared_dir, slices, unpack, word_spans
+from .shared import buffers, cuts, dealt, hash_spans, mapped, mix, n_groups, pack, put_file, runs, shared_dir, slices, unpack, word_spans
 
 END = np.uint64(0x5E17A2C9D3B4F681)  # the end token's place among word hashes
 FLUSH = 1_500_000
@@ -26,6 +26,7 @@ class Model(NamedTuple):
     path: str
     buckets: int
     ranges: int  # of token ids, by which left and right neighbours are kept
+    written: frozenset[str]  # the arrays that were written; of others nothing was counted
     bases: np.ndarray  # first token id of each range of word hashes, and the number of types
     tokens: int
     discounts: np.ndarray  # of bigrams seen once, twice, more often
@@ -170,6 +171,7 @@ def _join_pairs(path: str, types: int, ranges: int):
         prev, stats = _summed(left, np.stack([counts, counts == 1, counts == 2, counts > 2], 1).astype(np.int64))
         word, near = _summed((keys & LOW).astype(np.uint32), np.ones((len(keys), 1), np.int64))
         out = _rows(prev, stats.astype(np.uint32), (prev // step).astype(np.int32), 1) + _rows(word, near.astype(np.uint32), (word // step).astype(np.int32), 2)
+        out.append({"bucket": -1, "kind": 4, "keys": b"", "counts": np.array([k], np.int64).tobytes()})
         out.append({"bucket": -1, "kind": 3, "keys": b"", "counts": np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64).tobytes()})
         return pa.Table.from_pylist(out, PARTS)
 
@@ -180,8 +182,9 @@ def _join_stats(path: str, types: int, ranges: int):
     def group(rows: pa.Table) -> pa.Table:
         k = rows.column("bucket")[0].as_py()
         if k < 0:
-            n = sum(np.frombuffer(c, np.int64) for c in rows.column("counts").to_pylist())
-            return pa.table({"kind": pa.array([3], pa.int32()), "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
+            got = [(kd, np.frombuffer(c, np.int64)) for kd, c in zip(rows.column("kind").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+            n, made = sum(c for kd, c in got if kd == 3), sorted(int(c[0]) for kd, c in got if kd == 4)
+            return pa.table({"kind": pa.array([3, 4], pa.int32()), "k": pa.array([-1, -1], pa.int64()), "n": pa.array([n.tolist(), made], pa.list_(pa.int64()))})
         step = -(-(types + 1) // ranges)
         ids, stats = _summed(*_read(rows, 4, 1, np.uint32))
         full = np.zeros((min(step, types + 1 - k * step), 4), np.int64)
@@ -192,7 +195,7 @@ def _join_stats(path: str, types: int, ranges: int):
         put_file(f"{path}/next-{k}", full.astype("<i8").tobytes())
         put_file(f"{path}/left-{k}", left.astype("<i8").tobytes())
         n = [int(left.sum()), *np.bincount(np.minimum(left, 5), minlength=6)[1:5].tolist(), int((left > 2).sum())]
-        return pa.table({"kind": pa.array([1], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
+        return pa.table({"kind": pa.array([1], pa.int32()), "k": pa.array([k], pa.int64()), "n": pa.array([n], pa.list_(pa.int64()))})
 
     return group
 
@@ -211,13 +214,16 @@ def discounts(n: list[int]) -> np.ndarray:
 def train(texts: DataFrame, buckets: int | None = None) -> Model:
     """Counts the model of the column ``text`` of ``texts`` (null: empty). Word counts, pair counts and
     neighbour counts are packed by task and summed by Spark, range by range; each range is written to
-    the shared folder as sorted arrays. The driver gets three numbers for each range."""
+    the shared folder as sorted arrays. The driver gets a few numbers for each range. Ranges follow the
+    bytes of text, so that none grows with the corpus. Which arrays were written is part of the model:
+    one that is missing later is an error, never taken for counts of 0. Repeated texts count each time;
+    an empty table gives a model that has seen nothing."""
     spark = texts.sparkSession
-    buckets = buckets or n_buckets(spark, 1)
+    buckets = buckets or max(16, n_groups(spark, texts))
     ranges = max(16, buckets // 4)
     path = shared_dir(spark, "bigrams")
     texts = texts.select("text")
-    got = texts.mapInArrow(_counted(Words(buckets)), PART_TYPE).groupBy("bucket").applyInArrow(_join_words(path), "bucket long, types long, tokens long").collect()
+    got = dealt(texts.mapInArrow(_counted(Words(buckets)), PART_TYPE), buckets, "bucket").groupBy("bucket").applyInArrow(_join_words(path), "bucket long, types long, tokens long").collect()
     sizes = np.zeros(buckets, np.int64)
     for r in got:
         sizes[r.bucket] = r.types
@@ -225,13 +231,14 @@ def train(texts: DataFrame, buckets: int | None = None) -> Model:
     types = int(bases[-1])
     if types >= 2**32 - 1:
         raise ValueError("more than 2**32 types")
-    pairs = texts.mapInArrow(_counted(Pairs(path, buckets, bases)), PART_TYPE).groupBy("bucket").applyInArrow(_join_pairs(path, types, ranges), PART_TYPE)
-    stats = pairs.groupBy("bucket").applyInArrow(_join_stats(path, types, ranges), "kind int, n array<long>").collect()
+    pairs = dealt(texts.mapInArrow(_counted(Pairs(path, buckets, bases)), PART_TYPE), buckets, "bucket").groupBy("bucket").applyInArrow(_join_pairs(path, types, ranges), PART_TYPE)
+    stats = dealt(pairs, ranges, "bucket").groupBy("bucket").applyInArrow(_join_stats(path, types, ranges), "kind int, k long, n array<long>").collect()
+    written = frozenset([f"pairs-{k}" for r in stats if r.kind == 4 for k in r.n] + [f"{name}-{r.k}" for r in stats if r.kind == 1 for name in ("next", "left")])
     seen = np.sum([r.n for r in stats if r.kind == 3] or [[0] * 4], axis=0)
     low = np.sum([r.n for r in stats if r.kind == 1] or [[0] * 6], axis=0)
     d, e = discounts(seen), discounts(low[1:5])
     gamma = float(e[0] * low[1] + e[1] * low[2] + e[2] * low[5]) / low[0] if low[0] else 1.0
-    return Model(path, buckets, ranges, bases, sum(r.tokens for r in got), d, e, int(low[0]), gamma)
+    return Model(path, buckets, ranges, written, bases, sum(r.tokens for r in got), d, e, int(low[0]), gamma)
 
 
 def _take(m: Model, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
@@ -241,10 +248,8 @@ def _take(m: Model, name: str, dtype: str, ids: np.ndarray, width: int = 1) -> n
     edge = np.searchsorted(ids, np.arange(m.ranges + 1) * step)
     out = np.zeros((len(ids), width), np.int64)
     for k in np.flatnonzero(np.diff(edge)):
-        try:
+        if f"{name}-{k}" in m.written:
             out[edge[k] : edge[k + 1]] = mapped(f"{m.path}/{name}-{k}", dtype).reshape(-1, width)[ids[edge[k] : edge[k + 1]] - k * step]
-        except FileNotFoundError:  # nothing was counted in this range, as after training on no rows
-            continue
     return out
 
 
@@ -283,10 +288,9 @@ def score_batch(m: Model, text: pa.Array) -> dict[str, np.ndarray]:
     edge = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
     for k in np.flatnonzero(np.diff(edge)):
         at = order[edge[k] : edge[k + 1]]
-        try:
-            have = mapped(f"{m.path}/pairs-{k}", "<u8")
-        except FileNotFoundError:  # no training pair in this range
+        if f"pairs-{k}" not in m.written:
             continue
+        have = mapped(f"{m.path}/pairs-{k}", "<u8")
         spot = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
         found[at] = np.where(have[spot] == keys[at], mapped(f"{m.path}/paircounts-{k}", "<u4")[spot], 0)
     pair = np.zeros(len(ids))
