@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import put_file, settle, shared_dir
+from .shared import get_file, put_file, settle, shared_dir
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,14 +42,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, winner: int | N
     return z.compress("\r\n".join([*head, "", ""]).encode("utf-8") + block + b"\r\n\r\n") + z.flush()
 
 
-def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> list[str]:
-    """Writes one record for each row of ``pages`` (page_id, url, html) and returns the files' paths.
+def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Writes one record for each row of ``pages`` (page_id, url, html; others are not written) and
+    returns a table of the files' paths (``path``); no rows give no files.
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of ``min_bytes`` or more
     the one with the largest page_id is a response and the others revisit it; smaller payloads are all
     responses. Repeated rows that share the largest id are all responses, as are rows with a null id.
-    Payloads meet their response by digest: the largest id of each digest comes from a pre-aggregated
-    count of (digest, page_id) alone. Files are closed at ``roll_bytes``; a repeated task writes files
+    The largest id of each digest that repeats comes from a pre-aggregated count of (digest, page_id)
+    alone; pages meet it by digest, and stay where they are if Spark sees that these are few. Files are closed at ``roll_bytes``; a repeated task writes files
     of other names, and only those of tasks that ended well are returned.
     """
     spark = pages.sparkSession
@@ -57,6 +58,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 16 << 20,
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), (F.octet_length(html) >= min_bytes).alias("large"))
     winners = rows.filter("large and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("w_digest"), "winner")
+    winners = settle(winners, "winners")
     joined = rows.join(winners, (F.col("digest") == F.col("w_digest")) & F.col("large"), "left").select("page_id", "url", "html", "winner")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 16 << 20,
             close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    return sorted(r.path for r in settle(joined.mapInArrow(task, "path string"), "warc-files").collect())
+    return settle(joined.mapInArrow(task, "path string"), "warc-files")
 
 
 class Damaged(Exception):
@@ -113,8 +115,9 @@ def _parse(raw: bytes, at: int, end: int) -> tuple[int, dict[bytes, bytes], byte
     return past + 4, head, block
 
 
-def _member(raw: bytes, at: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at ``at``; its length and CRC are checked by zlib."""
+def _inflate(raw: bytes, at: int) -> tuple[int, bytes, str]:
+    """(end, content, damage) of the gzip member at ``at``; its length and CRC are checked by zlib. A damaged
+    member gives what could be inflated before the damage, and no end."""
     z, out, k = zlib.decompressobj(31), [], at
     view = memoryview(raw)
     try:
@@ -123,36 +126,71 @@ def _member(raw: bytes, at: int) -> tuple[int, bytes]:
             out.append(z.decompress(step))
             k += len(step)
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from e
+        return -1, b"".join([*out, _rest(raw, at, k, sum(map(len, out)))]), f"gzip: {e}"
     if not z.eof:
-        raise Damaged("gzip member is cut short")
-    return k - len(z.unused_data), b"".join(out)
+        return -1, b"".join(out), "gzip member is cut short"
+    return k - len(z.unused_data), b"".join(out), ""
 
 
-def _at(raw: bytes, at: int) -> tuple[int, list[tuple[dict[bytes, bytes], bytes]]]:
-    """(end, records) of the member or plain record at ``at``."""
-    if raw.startswith(GZIP, at):
-        end, content = _member(raw, at)
-        records, k = [], 0
-        while k < len(content):
-            k, head, block = _parse(content, k, len(content))
+def _rest(raw: bytes, at: int, upto: int, known: int) -> bytes:
+    """What a member that fails between ``upto`` and 65536 bytes later still gives beyond ``known`` bytes:
+    inflated again up to there, then byte by byte."""
+    z = zlib.decompressobj(31)
+    size, out = len(z.decompress(raw[at:upto])) if upto > at else 0, []
+    try:
+        for k in range(upto, min(upto + 65536, len(raw))):
+            out.append(z.decompress(raw[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)[known - size :]
+
+
+def _inside(content: bytes, sure: bool) -> tuple[list[tuple[dict[bytes, bytes], bytes]], str]:
+    """(records, reason of the first gap) of a member's content. After a failed check the search goes on at
+    the next version line. Content that isn't ``sure`` gives only records whose block digest can be checked and
+    that another record follows: the damage may lie in the last one."""
+    records, reason, at = [], "", 0
+    while at < len(content):
+        try:
+            past, head, block = _parse(content, at, len(content))
+            if not sure and not (head.get(b"warc-block-digest", b"").startswith(b"sha1:") and content.startswith(VERSION, past)):
+                raise Damaged("not to be trusted in a damaged member")
             records.append((head, block))
-        return end, records
+            at = past
+        except Damaged as e:
+            reason = reason or str(e)
+            at = content.find(VERSION, at + 1)
+            if at < 0:
+                break
+    return records, reason
+
+
+def _at(raw: bytes, at: int) -> tuple[int, list[tuple[dict[bytes, bytes], bytes]], str]:
+    """(end, records, reason) of the member or plain record at ``at``; with a reason, something of it is
+    lost, and with an end of -1 it isn't known where it ends."""
+    if raw.startswith(GZIP, at):
+        end, content, damage = _inflate(raw, at)
+        records, reason = _inside(content, not damage)
+        if (damage or reason) and not records:
+            raise Damaged(damage or reason)
+        return end, records, damage or reason
     end, head, block = _parse(raw, at, len(raw))
-    return end, [(head, block)]
+    return end, [(head, block)], ""
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, str, list]]:
-    """(offset, length, reason, records) of a file's parts in order; a part without records is a gap that
-    is quarantined: after a failed check the search goes on from the next byte to the next member or
-    version line that passes all checks."""
+    """(offset, length, reason, records) of a file's parts in order. A part with a reason is quarantined as
+    a gap; its records are those that pass all checks in a damaged member. After a failed check
+    the search goes on from the next byte to the next member or version line that holds good records."""
     at = 0
     while at < len(raw):
+        records: list = []
         try:
-            end, records = _at(raw, at)
-            yield at, end - at, "", records
-            at = end
-            continue
+            end, records, reason = _at(raw, at)
+            if end >= 0:
+                yield at, end - at, reason, records
+                at = end
+                continue
         except Damaged as e:
             reason = str(e)
         look, begin = at + 1, at
@@ -167,7 +205,7 @@ def salvage(raw: bytes) -> Iterator[tuple[int, int, str, list]]:
                 break
             except Damaged:
                 look = min(found) + 1
-        yield begin, at - begin, reason, []
+        yield begin, at - begin, reason, records
 
 
 def _row(path: str, offset: int, length: int, head: dict[bytes, bytes], block: bytes) -> dict:
@@ -187,35 +225,39 @@ def _row(path: str, offset: int, length: int, head: dict[bytes, bytes], block: b
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Records of WARC files (``path, content`` as Spark's binaryFile source gives them), gzip members or
-    plain, with the path, offset and length of each; ``kind`` is the record's type, or ``gap`` with a
-    ``reason`` for quarantined bytes. Empty files have no rows. A file's records don't depend on other files."""
+    """Records of WARC files, gzip members or plain, with the path, offset and length of the part that
+    holds each; ``kind`` is the record's type, or ``gap`` with a ``reason`` for quarantined bytes. Records of a
+    damaged part say so in ``reason``: their blocks passed their digests, their headers have no such check.
+    ``files`` has ``path`` alone (files of the shared folder, which tasks open) or with ``content``, as
+    Spark's binaryFile source gives them. Empty and null files have no rows, no files give none; a file
+    listed twice is read twice. A file's records don't depend on other files."""
+    held = "content" in files.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in ROWS.split(", "))])
         for batch in batches:
-            for path, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, *content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = content[0] if held else get_file(path)
                 rows = []
                 for offset, length, reason, records in salvage(raw or b""):
-                    if not records:
+                    if reason:
                         rows.append({"path": path, "offset": offset, "length": length, "kind": "gap", "reason": reason})
-                    rows += [_row(path, offset, length, head, block) for head, block in records]
+                    found = [_row(path, offset, length, head, block) for head, block in records]
+                    rows += [r | {"reason": r["reason"] or f"beside damage: {reason}"} for r in found] if reason else found
                     if len(rows) >= 500:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInArrow(task, ROWS)
+    return files.select("path", "content").mapInArrow(task, ROWS) if held else files.select("path").filter("path is not null").mapInArrow(task, ROWS)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` and reads the archives back: the rows of :func:`read_warc` with ``page_id`` and
-    ``refers_to`` as numbers. No pages, no rows."""
-    spark = pages.sparkSession
+    ``refers_to`` as numbers. No pages, no rows. Paths stay a table; a task reads about four files."""
     paths = write_warc(pages, min_bytes)
-    if not paths:
-        return spark.createDataFrame([], ROWS).withColumn("page_id", F.lit(None).cast("long")).withColumn("refers_to", F.lit(None).cast("long"))
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-paths.count() // 4))
     number = lambda c: F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
-    rows = read_warc(spark.read.format("binaryFile").load(paths))
+    rows = read_warc(paths.repartition(tasks))
     return rows.withColumn("page_id", number(F.col("record_id"))).withColumn("refers_to", number(F.col("refers_to")))
