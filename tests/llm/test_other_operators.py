@@ -203,6 +203,21 @@ def test_salvage_recovers_later_records():
     assert gaps == [(len(made[0]), len(broken)), (len(made[0]) + len(broken) + len(made[2]), 4), (len(raw) - len(made[5]) - len(made[4]) + 9, len(made[4]) - 9)]
     plain = gzip.decompress(made[0]) + b"WARC/1.1\r\nbad" + gzip.decompress(made[2])
     assert [len(r) for *_, r in warc.salvage(plain)] == [1, 0, 1]
+    # one member with many records: a bad one, bytes that can't be inflated, a cut end
+    inner = [gzip.decompress(m) for m in made]
+    bad = inner[1].replace(b"payload 1", b"payload x", 1)
+    id_of = lambda got: [warc.RECORD.search(h[b"warc-record-id"])[1] for h, _ in got]
+    whole = gzip.compress(b"".join([inner[0], bad, inner[2]])) + made[3]
+    assert [(r, id_of(got)) for _, _, r, got in warc.salvage(whole)] == [("block digest differs", [b"0", b"2"]), ("", [b"3"])]
+    rng = random.Random(1)
+    noise = [gzip.decompress(warc.record(k, "u", rng.randbytes(40_000), None, "x", "d")) for k in range(6)]
+    one = gzip.compress(b"".join(noise))
+    hit = bytearray(one)
+    hit[len(one) // 2] ^= 0xFF
+    for raw in (bytes(hit), one[: len(one) // 2 + 9]):
+        got = list(warc.salvage(raw + made[3]))
+        assert id_of(got[0][3])[:2] == [b"0", b"1"] and got[0][2] and id_of(got[-1][3]) == [b"3"]
+        assert sum(n for _, n, *_ in got) == len(raw) + len(made[3])
     assert list(warc.salvage(b"")) == [] and [r for *_, r in warc.salvage(b"nothing here")] == [[]]
 
 

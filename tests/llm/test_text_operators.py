@@ -93,7 +93,7 @@ def test_pieces_equal_the_library(spark, model):
     processor = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=model)
     rng = random.Random(2)
     odd = ["".join(rng.choice("ab eé ▁\n\t字ñ😀ß.,1aaaa   \u0000Ω") for _ in range(rng.randrange(50))) for _ in range(200)]
-    rows = [*texts(), *odd, " ", "   ", "a" * 500, "<s></s><0x0A><unk>", "abcabc" * 50, "▁▁ x"]
+    rows = [*texts(), *odd, " ", "   ", "a" * 500, "<s></s><0x0A><unk>", "abcabc" * 50, "▁▁ x", "th" * 1500, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(6000)), "".join(rng.choice("ethaonr") for _ in range(3000)), "ааа" * 100, "é߀😀\U00020000" * 30]
     got = {(r.doc_id, r.text): r for r in encode_pieces(table(spark, rows, False), model).collect()}
     for k, t in enumerate(rows):
         want = processor.encode(t or "")

@@ -32,6 +32,7 @@ class Bpe(NamedTuple):
     byte_id: np.ndarray
     piece_bytes: np.ndarray
     piece_start: np.ndarray
+    inner: np.ndarray  # sorted first << 32 | second of the neighbouring code points that occur inside pieces
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -108,16 +109,25 @@ def load_model(raw: bytes) -> Bpe:
     singles = sorted((ord(p), i) for p, i in symbol.items() if len(p) == 1)
     shown = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
     return Bpe(len(pieces), np.array([c for c, _ in singles], np.int64), np.array([i for _, i in singles], np.int64), keys[by_key], made[by_key], rank, best[: len(pieces)] <= rank, n, byte_id,
-               np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in shown])]))
+               np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in shown])]),
+               np.array(sorted({ord(a) << 32 | ord(b) for p in known for a, b in zip(p, p[1:], strict=False)}), np.int64))
+
+
+def pair_pieces(m: Bpe, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, rank) that neighbouring symbols make; rank ``NONE`` where they make none (also: symbol -1)."""
+    key = np.where((left >= 0) & (right >= 0), left * m.n_symbols + right, -1)
+    spot = np.minimum(np.searchsorted(m.pair_key, key), len(m.pair_key) - 1)
+    made = m.pair_piece[spot]
+    return made, np.where(m.pair_key[spot] == key, m.rank[made], NONE)
 
 
 def merge_rounds(m: Bpe, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges the symbols of each word until no pair of neighbours is a piece.
 
     ``sym``: symbol or -1 of each character, ``word``: its word, rising. In each round every word merges
-    all leftmost, non-overlapping places of its best-ranked pair at once; if the new piece could itself
-    merge at the same or a better rank, only the leftmost place, so that the outcome is that of merging
-    one pair at a time. Words without a pair leave. Returns (symbol, index of its first character, word).
+    all leftmost, non-overlapping places of its best-ranked pair at once, up to the first place whose new
+    piece could merge on with a neighbour at the same or a better rank, so that the outcome is that of
+    merging one pair at a time. Words without a pair leave. Returns (symbol, index of its first character, word).
     """
     at = np.arange(len(sym))
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -125,11 +135,7 @@ def merge_rounds(m: Bpe, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray,
         first = runs(word)
         dense = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-        key = np.where((word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0), sym[:-1] * m.n_symbols + sym[1:], -1)
-        spot = np.minimum(np.searchsorted(m.pair_key, key), len(m.pair_key) - 1)
-        hit = np.flatnonzero(m.pair_key[spot] == key)
-        made[hit] = m.pair_piece[spot[hit]]
-        rank[hit] = m.rank[made[hit]]
+        made[:-1], rank[:-1] = pair_pieces(m, np.where(word[:-1] == word[1:], sym[:-1], -1), sym[1:])
         least = np.minimum.reduceat(rank, first)
         over = least[dense] == NONE
         if over.any():
@@ -143,13 +149,23 @@ def merge_rounds(m: Bpe, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray,
         # every second place of a run of overlapping places
         begin = np.concatenate([[True], np.diff(places) != 1])
         start = places[np.maximum.accumulate(np.where(begin, np.arange(len(places)), 0))]
-        take = (places - start) % 2 == 0
-        risky = m.unsafe[made[places]]
-        if risky.any():
-            w = dense[places]
-            alone = np.isin(w, w[risky])
-            take = np.where(alone, np.concatenate([[True], w[1:] != w[:-1]]), take)
-        places = places[take]
+        places = places[(places - start) % 2 == 0]
+        again = np.flatnonzero(m.unsafe[made[places]])
+        if len(again):
+            p = places[again]
+            w, piece = dense[p], made[p]
+            merged = np.zeros(len(sym) + 2, bool)
+            merged[places] = True
+            # to the left stands what the place before it became, to the right what is there before later merges
+            left = np.where(merged[p - 2] & (p >= 2), made[p - 2], sym[p - 1])
+            left = np.where((p >= 1) & (dense[p - 1] == w), left, -1)
+            next_ = np.minimum(p + 2, len(sym) - 1)
+            right = np.where((p + 2 < len(sym)) & (dense[next_] == w), sym[next_], -1)
+            risky = np.minimum(pair_pieces(m, left, piece)[1], pair_pieces(m, piece, right)[1]) <= least[w]
+            if risky.any():
+                stop = np.full(len(least), len(sym))
+                np.minimum.at(stop, w[risky], p[risky])
+                places = places[places <= stop[dense[places]]]
         sym = sym.copy()
         sym[places] = made[places]
         keep = np.ones(len(sym), bool)
@@ -184,15 +200,20 @@ def encode_batch(m: Bpe, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     head[1:] &= ~gap[:-1]
     head[starts] = True
     unit = np.flatnonzero(head)
-    # equal units are encoded once
+    # equal units (by 64-bit hash; a part of a batch has some 10**5 of them) are encoded once
     size = np.diff(np.append(unit, len(points)))
     h = _hash_units(points, unit, size)
     _, chosen, which = np.unique(h, return_index=True, return_inverse=True)
     chars = gather(unit[chosen], size[chosen])
     word = np.repeat(np.arange(len(chosen)), size[chosen])
     code = points[chars]
+    # no piece reaches over neighbours that occur inside none: words fall into parts there
+    pair = code[:-1] << 32 | code[1:]
+    near = np.minimum(np.searchsorted(m.inner, pair), len(m.inner) - 1)
+    part = np.cumsum(np.concatenate([[True], (word[1:] != word[:-1]) | (m.inner[near] != pair)])) - 1
     spot = np.minimum(np.searchsorted(m.chars, code), len(m.chars) - 1)
-    sym, at, word = merge_rounds(m, np.where(m.chars[spot] == code, m.char_symbol[spot], -1), word)
+    sym, at, _ = merge_rounds(m, np.where(m.chars[spot] == code, m.char_symbol[spot], -1), part)
+    word = word[at]
     # symbols that are no pieces fall back to the bytes of their character
     plain = (sym >= 0) & (sym < m.n_pieces)
     lost = np.flatnonzero(~plain)
@@ -201,8 +222,11 @@ def encode_batch(m: Bpe, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     count[lost] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
     begin = np.cumsum(count) - count
     ids = np.repeat(sym, count)
-    for k, (p, cp) in enumerate(zip(begin[lost], c, strict=True)):
-        ids[p : p + count[lost[k]]] = m.byte_id[list(chr(cp).encode("utf-8"))]
+    for n, mark in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        at_n, c_n = begin[lost][count[lost] == n], c[count[lost] == n]
+        for k in range(n):
+            low = c_n >> 6 * (n - 1 - k)
+            ids[at_n + k] = m.byte_id[mark | low if k == 0 else 0x80 | low & 0x3F]
     per_word = np.bincount(word, count, minlength=len(chosen)).astype(np.int64)
     from_word = np.cumsum(per_word) - per_word
     out = ids[gather(from_word[which], per_word[which])].astype(np.int32)
@@ -242,6 +266,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool
     ``model`` is the path of a SentencePiece BPE model, read on the driver (its vocabulary is bounded)
     and sent with the tasks. No begin or end ids, no sampling. Null and empty texts have no ids and
     decode to an empty text. Texts of any length are encoded whole; each task holds one part of a batch.
+    Repeated rows are encoded alike, empty tables give no rows.
     Other columns are kept; columns named ``ids`` or ``decoded`` are replaced.
     """
     with open(model, "rb") as f:
