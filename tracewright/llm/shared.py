@@ -108,7 +108,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-GROUP_BYTES = 16 << 20  # text that stands behind one group of a packed shuffle
+GROUP_BYTES = 8 << 20  # text that stands behind one range of hashes of a packed shuffle; blocks of texts are a third of that
 
 
 def n_buckets(spark: SparkSession, per: int = 4) -> int:

@@ -160,12 +160,13 @@ def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     extra = ("n_words", "n_removed", "kept_text", "removed")
     docs = docs.select(*[c for c in docs.columns if c not in extra])
     known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    buckets = blocks = n_groups(docs.sparkSession, docs)
+    buckets = n_groups(docs.sparkSession, docs)
+    blocks = 3 * buckets  # texts weigh more than what is asked about them
     asked = known.mapInArrow(ask(size, buckets, blocks), BLOB_TYPE)
     answers = dealt(asked, buckets).groupBy("target").applyInArrow(answer(blocks), BLOB_TYPE)
     # rows without doc_id go anywhere; they ask and are answered nothing
     (target,) = fresh(docs, "target")
     block = F.pmod(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(blocks)).cast("long")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept_text string, removed array<struct<first:int,past:int>>"
-    left = dealt(docs.withColumn(target, block), blocks, target).groupBy(target)
-    return left.cogroup(dealt(answers, blocks).groupBy("target")).applyInArrow(cut(size, target), out)
+    left = dealt(docs.withColumn(target, block), buckets, target).groupBy(target)
+    return left.cogroup(dealt(answers, buckets).groupBy("target")).applyInArrow(cut(size, target), out)

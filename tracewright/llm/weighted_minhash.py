@@ -309,7 +309,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in ("component_id", "kept")])
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    buckets = blocks = n_groups(spark, docs)
+    buckets = n_groups(spark, docs)
+    blocks = 3 * buckets
     rows = settle(known.mapInArrow(digest_rows(size), "doc_id long, d1 long, d2 long, n long, own long").filter("n > 0"), "digests")
     total = rows.count()
     # ids that stand for several texts: their rows get numbers of their own, and a link between them
@@ -324,8 +325,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     classes = rows.groupBy("d1", "d2").agg(F.min("row_id").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     target = F.pmod("doc_id", F.lit(blocks)).cast("long")
     answers = dealt(known.select("doc_id", "text", "several").mapInArrow(postings(size, buckets), POST_TYPE), buckets).groupBy("target").applyInArrow(count(blocks), POST_TYPE)
-    meta = dealt(classes.select(target.alias("target"), "doc_id", "n", "copies"), blocks).groupBy("target")
-    feats = settle(meta.cogroup(dealt(answers, blocks).groupBy("target")).applyInArrow(features(total), FEATURES), "features")
+    meta = dealt(classes.select(target.alias("target"), "doc_id", "n", "copies"), buckets).groupBy("target")
+    feats = settle(meta.cogroup(dealt(answers, buckets).groupBy("target")).applyInArrow(features(total), FEATURES), "features")
 
     slots = feats.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     crowd = slots.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("doc_id").alias("leader")).filter("crowd > 1")
