@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; where that is unset (one machine, tests) a temporary
-    folder serves."""
+    """``df`` written to ``spark.checkpoint.dir``; where that is unset, a temporary folder serves on one
+    machine (a local master, as in tests), and a cluster is refused."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()

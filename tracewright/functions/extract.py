@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +140,3 @@ def declarations(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     out = body.groupBy("file_path", "head").agg(F.min("begin").alias("line_start"), F.max("line").alias("line_end"), F.min_by("content", "line").alias("content"))
     name = F.regexp_extract("content", DECLARATION, 1)
     return out.filter(name != "").select("file_path", name.alias("name"), "line_start", "line_end")
-
-
-REFERENCES: dict[str, Callable[[Column], Column]] = {"pr": pr_refs, "sha": commit_shas, "ticket": ticket_refs, "path": file_paths, "symbol": symbols}

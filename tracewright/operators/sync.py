@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..settings import DEFAULTS, Settings
 from .documents import build_documents
 from .segment import aggregate_units, burst_units, keep_units, segment, unit_messages
@@ -65,9 +66,8 @@ def incremental(messages: DataFrame, index: DataFrame, checkpoint: DataFrame, su
     """(index, changed documents, checkpoint) after messages newer than the checkpoint: units that they
     touch are built again whole. The checkpoint is the last new message of each channel."""
     new = new_messages(messages, checkpoint)
-    # both are read more than once below
-    pool = dedupe_messages(affected_threads(messages, new).unionByName(affected_bursts(messages, new, settings))).persist()
-    docs = build_documents(segment(pool, settings), summaries, settings=settings).persist()
+    pool = dedupe_messages(affected_threads(messages, new).unionByName(affected_bursts(messages, new, settings)))
+    docs = checkpointed(build_documents(segment(pool, settings), summaries, settings=settings))
     return upsert(index, docs), docs, advance(checkpoint, new.groupBy("channel_name").agg(F.max("ts_us").alias("last_us")))
 
 

@@ -20,17 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 TEXTS = """
     CASE event_id % 12
-        WHEN 0 THEN concat('please look at https://github.com/acme/app/pull/', event_id % 500, ' before release')
-        WHEN 1 THEN concat('merged PR and #', event_id % 700, ' into the branch')
+        WHEN 0 THEN concat('please look at https://github.com/acme/app/pull/', event_id % 1000000, ' before release')
+        WHEN 1 THEN concat('merged PR and #', event_id % 1000000, ' into the branch')
         WHEN 2 THEN concat('lunch at #', event_id % 50)
-        WHEN 3 THEN concat('commit ', substring(sha1(concat(event_id % 1500, '-1')), 1, 9), ' broke webhooks/delivery', event_id % 40, '.py')
-        WHEN 4 THEN concat('ticket ENG-', event_id % 300, ' and OPS-', event_id % 20, ' are open')
+        WHEN 3 THEN concat('commit ', substring(sha1(concat(event_id, '-1')), 1, 9), ' broke webhooks/delivery', event_id % 40, '.py')
+        WHEN 4 THEN concat('ticket ENG-', div(event_id, 12) % 100000, ' and OPS-', event_id % 20, ' are open')
         WHEN 5 THEN concat('see `retry_limit_', event_id % 30, '` and RETRY_LIMIT_MAX in services/file', event_id % 60, '.ts')
         WHEN 6 THEN 'WebhookRetryPolicy is wrong in RetryHandler'
         WHEN 7 THEN 'lol'
         WHEN 8 THEN concat('ok thanks <@U', user_id, '> &amp; all')
         WHEN 9 THEN 'docs at <https://example.com/x|label> in <#C1|general> &amp;lt;'
-        WHEN 10 THEN concat('incident INC-', event_id % 90, ' caused by abcdef1')
+        WHEN 10 THEN concat('incident INC-', div(event_id, 12) % 100000, ' caused by abcdef1')
         ELSE concat('a plain message about nothing ', event_id)
     END"""
 
@@ -79,7 +79,7 @@ def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     sha = F.when((F.col("l_orderkey") % 20 == 3) & (F.col("l_linenumber") == 2), F.lit("0" * 40)).otherwise(F.sha1(key.cast("binary")))
-    n = F.concat((F.col("l_orderkey") % 700).cast("string"))
+    n = (F.col("l_orderkey") % 1_000_000).cast("string")
     subject = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Fix it (#"), n, F.lit(")"))).when(F.col("l_returnflag") == "N", F.concat(F.lit("Merge pull request #"), n, F.lit(" from x"))).otherwise(F.lit("misc"))
     rows = li.select(F.col("l_partkey").alias("selection_id"), sha.alias("sha"), F.col("l_quantity").cast("long").alias("lines"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_line"),
         F.concat(F.lit("user"), F.col("l_suppkey").cast("string")).alias("author"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"), subject.alias("summary"))
@@ -88,7 +88,7 @@ def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pull requests; open ones aren't merged. Some list a commit of a line item."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 1500")
+    o = table(spark, sf_dir, "orders")
     sha = F.sha1(F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).cast("binary"))
     merged = F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return o.select(
@@ -98,11 +98,11 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.filter("c_custkey % 3 = 0 and c_custkey < 300").select(F.concat(F.lit("ENG-"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("status"), F.lit("x").alias("assignee"), (F.col("c_custkey") * 2).cast("int").alias("pr_number"))
+    return c.select(F.concat(F.lit("ENG-"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("status"), F.lit("x").alias("assignee"), (F.col("c_custkey") * 2).cast("int").alias("pr_number"))
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 90")
+    s = table(spark, sf_dir, "supplier")
     return s.select(F.concat(F.lit("INC-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.date_format(F.timestamp_seconds(F.col("s_suppkey") * 1_000_000), "yyyy-MM-dd").alias("first_seen"), F.lit("open").alias("status"),
         (F.col("s_suppkey") * 3).cast("int").alias("pr_number"), F.lit(None).cast("string").alias("url"), F.sha1(F.concat((F.col("s_suppkey") * 2).cast("string"), F.lit("-1")).cast("binary")).alias("first_release"))
 

@@ -12,17 +12,17 @@ messages AS (
            CASE WHEN bot THEN 'B' || (user_id % 5) ELSE 'U' || user_id END AS user_id,
            CASE WHEN bot THEN 'bot' || (user_id % 5) ELSE 'user' || user_id END AS user_name,
            CASE event_id % 12
-               WHEN 0 THEN 'please look at https://github.com/acme/app/pull/' || (event_id % 500) || ' before release'
-               WHEN 1 THEN 'merged PR and #' || (event_id % 700) || ' into the branch'
+               WHEN 0 THEN 'please look at https://github.com/acme/app/pull/' || (event_id % 1000000) || ' before release'
+               WHEN 1 THEN 'merged PR and #' || (event_id % 1000000) || ' into the branch'
                WHEN 2 THEN 'lunch at #' || (event_id % 50)
-               WHEN 3 THEN 'commit ' || substring(sha1((event_id % 1500) || '-1'), 1, 9) || ' broke webhooks/delivery' || (event_id % 40) || '.py'
-               WHEN 4 THEN 'ticket ENG-' || (event_id % 300) || ' and OPS-' || (event_id % 20) || ' are open'
+               WHEN 3 THEN 'commit ' || substring(sha1(event_id || '-1'), 1, 9) || ' broke webhooks/delivery' || (event_id % 40) || '.py'
+               WHEN 4 THEN 'ticket ENG-' || (event_id // 12 % 100000) || ' and OPS-' || (event_id % 20) || ' are open'
                WHEN 5 THEN 'see `retry_limit_' || (event_id % 30) || '` and RETRY_LIMIT_MAX in services/file' || (event_id % 60) || '.ts'
                WHEN 6 THEN 'WebhookRetryPolicy is wrong in RetryHandler'
                WHEN 7 THEN 'lol'
                WHEN 8 THEN 'ok thanks @user' || user_id || ' & all'
                WHEN 9 THEN 'docs at https://example.com/x in #general <'
-               WHEN 10 THEN 'incident INC-' || (event_id % 90) || ' caused by abcdef1'
+               WHEN 10 THEN 'incident INC-' || (event_id // 12 % 100000) || ' caused by abcdef1'
                ELSE 'a plain message about nothing ' || event_id END AS text,
            ts_us, root AS thread_us,
            CASE WHEN event_type = 'purchase' AND value > 100 THEN ['bookmark'] WHEN event_type = 'error' AND value > 50 THEN ['warning', 'eyes']
@@ -73,12 +73,12 @@ checkpoint AS (SELECT channel_name, min(ts_us) + ((max(ts_us) - min(ts_us)) * 9)
 BLAME = r"""
 li AS (SELECT l_partkey AS selection_id, CASE WHEN l_orderkey % 20 = 3 AND l_linenumber = 2 THEN repeat('0', 40) ELSE sha1(l_orderkey || '-' || l_linenumber) END AS sha, l_quantity::BIGINT AS lines,
               l_orderkey * 10 + l_linenumber AS first_line, 'user' || l_suppkey AS author, epoch(l_shipdate)::DOUBLE AS ts,
-              CASE l_returnflag WHEN 'A' THEN 'Fix it (#' || (l_orderkey % 700) || ')' WHEN 'N' THEN 'Merge pull request #' || (l_orderkey % 700) || ' from x' ELSE 'misc' END AS summary FROM lineitem),
+              CASE l_returnflag WHEN 'A' THEN 'Fix it (#' || (l_orderkey % 1000000) || ')' WHEN 'N' THEN 'Merge pull request #' || (l_orderkey % 1000000) || ' from x' ELSE 'misc' END AS summary FROM lineitem),
 owned AS (SELECT selection_id, sha, sum(lines)::BIGINT AS lines, min(first_line) AS first_line, min(author) AS author, min(ts) AS ts, min(summary) AS summary FROM li GROUP BY 1, 2),
 flagged AS (SELECT *, max((sha = repeat('0', 40))::INT) OVER (PARTITION BY selection_id) = 1 AS uncommitted FROM owned),
 commits0 AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY lines DESC, first_line) AS rank, sha[1:7] AS sha7 FROM flagged WHERE sha <> repeat('0', 40)),
 prs AS (SELECT o_orderkey::INT AS number, 'user' || o_custkey AS author, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS merged_at, CASE WHEN o_orderkey % 2 = 0 THEN sha1(o_orderkey || '-1')[1:7] ELSE sha1(o_orderkey || '-1') END AS listed,
-               CASE WHEN o_orderstatus <> 'O' THEN sha1(o_orderkey || '-1') END AS merge_commit_sha FROM orders WHERE o_orderkey < 1500),
+               CASE WHEN o_orderstatus <> 'O' THEN sha1(o_orderkey || '-1') END AS merge_commit_sha FROM orders),
 forge AS (SELECT sha, number AS forge_pr FROM (SELECT o.sha, p.number, row_number() OVER (PARTITION BY o.sha ORDER BY (p.merged_at IS NOT NULL) DESC, p.number) AS k FROM (SELECT DISTINCT sha FROM owned) o JOIN prs p ON o.sha[1:7] = p.listed[1:7] AND (starts_with(o.sha, p.listed) OR starts_with(p.listed, o.sha))) WHERE k = 1),
 commits AS (SELECT c.*, coalesce(CASE WHEN starts_with(summary, 'Fix it (#') THEN regexp_extract(summary, '\(#(\d+)\)', 1)::INT WHEN starts_with(summary, 'Merge') THEN regexp_extract(summary, '#(\d+)', 1)::INT END, forge_pr) AS pr_number FROM commits0 c LEFT JOIN forge USING (sha)),
 blame AS (
@@ -143,8 +143,8 @@ gate AS (
 
 GRAPH = REFS + "," + BLAME + SELECTIONS + r""",
 g AS (SELECT e.selection_id, e.rank AS citation, 'slack:' || d.channel_id || '/' || d.thread_id AS thread, d.ts_start, d.pr_refs, d.commit_shas, d.ticket_refs FROM exact e JOIN docs d USING (channel_name, thread_id)),
-tk AS (SELECT 'ENG-' || c_custkey AS key, (c_custkey * 2)::INT AS pr_number FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 300),
-inc AS (SELECT 'INC-' || s_suppkey AS id, (s_suppkey * 3)::INT AS pr_number, sha1((s_suppkey * 2) || '-1') AS first_release FROM supplier WHERE s_suppkey < 90),
+tk AS (SELECT 'ENG-' || c_custkey AS key, (c_custkey * 2)::INT AS pr_number FROM customer),
+inc AS (SELECT 'INC-' || s_suppkey AS id, (s_suppkey * 3)::INT AS pr_number, sha1((s_suppkey * 2) || '-1') AS first_release FROM supplier),
 cm AS (SELECT selection_id, sha7, author, pr_number, ts FROM commits),
 onmap AS (SELECT DISTINCT selection_id, pr_number FROM cm WHERE pr_number IS NOT NULL),
 pref AS (SELECT DISTINCT selection_id, citation, thread, ts_start, unnest(pr_refs) AS pr_number FROM g),
@@ -183,7 +183,7 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN bot THEN 'B' || (user_id % 5) ELSE 'U' || user_id END AS id, CASE WHEN bot THEN 'bot' || (user_id % 5) WHEN user_id::VARCHAR LIKE '%7' THEN 'U' || user_id ELSE 'user' || user_id END AS name FROM raw
         UNION SELECT 'U' || user_id, CASE WHEN user_id::VARCHAR LIKE '%7' THEN 'U' || user_id ELSE 'user' || user_id END FROM raw WHERE event_id % 12 = 8)
         SELECT DISTINCT id, name FROM ids""",
-    "merged_history": f"WITH {MESSAGES} SELECT 'ch' || ch AS channel_name, count(*) AS n, sum((event_id % 3 = 0)::BIGINT)::BIGINT AS replies FROM raw WHERE event_id % 3 <> 0 OR event_id % 2 = 0 GROUP BY 1",
+    "merged_history": f"WITH {MESSAGES} SELECT 'ch' || ch AS channel_name, count(*) AS n, sum((event_id % 3 = 0)::BIGINT)::BIGINT AS replies FROM raw GROUP BY 1",
     "tiers": f"WITH {MESSAGES} SELECT channel_name, CASE channel_name WHEN 'ch0' THEN 3 WHEN 'ch1' THEN 2 WHEN 'ch2' THEN 1 ELSE 2 END::INT AS channel_tier, count(*) AS n FROM messages GROUP BY 1",
     "shared_plane": f"WITH {MESSAGES} SELECT channel_id, count(*) AS n FROM messages WHERE channel_tier <> 2 AND channel_id NOT IN ('C0', 'C3') GROUP BY 1",
     "allowed_channels": f"WITH {MESSAGES} SELECT channel_id, count(*) AS n FROM messages WHERE channel_id IN ('C1', 'C4') GROUP BY 1",
@@ -207,7 +207,7 @@ ORACLES: dict[str, str] = {
         array_to_string(file_paths, '|') AS file_paths, array_to_string({firsts('file_basenames')}, '|') AS file_basenames, array_to_string(raw_symbols, '|') AS symbols FROM docs""",
     "distinctive": f"WITH {REFS}, s AS (SELECT unnest(raw_symbols) AS symbol FROM docs) SELECT symbol, count(*) AS n FROM s WHERE length(symbol) >= 4 AND regexp_matches(symbol, '_|\\.|[a-z][A-Z]') GROUP BY 1",
     "selection_symbols": r"""SELECT p_partkey AS selection_id, 'retry_limit_' || (p_partkey % 30) || '|RETRY_LIMIT_MAX|PartHandler|load_part' AS symbols, 'retry_limit_' || (p_partkey % 30) AS enclosing,
-        'Code in ' || CASE WHEN p_partkey % 2 = 0 THEN 'webhooks/delivery' || (p_partkey % 40) || '.py' ELSE 'lib/file' || (p_partkey % 60) || '.ts' END || ' involving: retry_limit_' || (p_partkey % 30) || ', RETRY_LIMIT_MAX, PartHandler, load_part.' AS description FROM part""",
+        CASE WHEN p_partkey % 2 = 0 THEN 'webhooks/delivery' || (p_partkey % 40) || '.py' ELSE 'lib/file' || (p_partkey % 60) || '.ts' END || ' (names: retry_limit_' || (p_partkey % 30) || ', RETRY_LIMIT_MAX, PartHandler, load_part)' AS description FROM part""",
     "declared": r"""WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'webhooks/delivery' || (p_partkey % 40) || '.py' ELSE 'lib/file' || (p_partkey % 60) || '.ts' END || '#' || p_partkey AS file_path, p_partkey FROM part)
         SELECT file_path, 'retry_limit_' || (p_partkey % 30) AS name, 0::INT AS line_start, 1::INT AS line_end FROM p UNION ALL SELECT file_path, 'PartHandler', 2, 3 FROM p""",
     "parsed_summaries": r"""SELECT doc_id, sha256(CASE doc_id % 4 WHEN 1 THEN 'Summary ' || doc_id WHEN 3 THEN 'Only text' ELSE substring(coalesce(text, ''), 1, 600) END) AS summary_sha256, CASE WHEN doc_id % 4 = 1 THEN 'a_b|C' ELSE '' END AS symbols FROM documents""",
@@ -250,11 +250,17 @@ ORACLES: dict[str, str] = {
         pn AS (SELECT * FROM (SELECT *, max(dense_score) OVER (PARTITION BY selection_id) AS b FROM pw) WHERE dense_score >= least(b * 0.85, 0.7121)),
         a AS (SELECT selection_id, doc_id, 1 AS e FROM ex UNION ALL SELECT selection_id, doc_id, 0 FROM pn ANTI JOIN ex USING (selection_id, doc_id))
         SELECT selection_id, least(count(*), 5) AS n, sum(e)::BIGINT AS exact FROM a GROUP BY 1""",
+    "reasons": f"""WITH {REFS},{BLAME}{SELECTIONS},
+        h AS (SELECT e.*, d.pr_refs, d.commit_shas, d.file_paths, d.file_basenames, d.people, b.prs0, b.all_shas, b.authors0, s.file_path, split_part(s.file_path, '/', -1) AS base
+              FROM exact e JOIN docs d ON e.channel_name = d.channel_name AND e.thread_id = d.thread_id AND e.ts_end = d.ts_end JOIN sel s USING (selection_id) LEFT JOIN blame b USING (selection_id))
+        SELECT selection_id, rank, coalesce('mentions pull request ' || list_min(list_intersect(pr_refs, prs0)), 'mentions commit ' || list_min(list_intersect(commit_shas, all_shas)), CASE WHEN list_contains(file_paths, file_path) THEN 'mentions path ' || file_path END,
+                   CASE WHEN list_contains(file_basenames, base) THEN 'mentions file ' || base END, 'has a message by the author ' || list_min(list_intersect(people, authors0)), 'close in meaning') AS reason,
+               ['mentions a name from the code', 'mentions the file by its name', 'mentions the path of the file', 'mentions a commit behind the code', 'mentions a pull request behind the code'][strength] AS match FROM h""",
     "verdicts": f"""WITH {WORDS}, v(citation, ord, rel, said) AS (VALUES (3, 0, true, 'good'), (2, 1, false, ''), (99, 2, true, ''), (1, 3, true, 'first')),
         h AS (SELECT h.*, floor(h.selection_id / 100)::BIGINT % 4 <> 3 AS readable FROM hits h),
         j AS (SELECT h.*, v.ord, coalesce(v.rel, true) AS rel, coalesce(v.said, '') AS said FROM h LEFT JOIN v ON h.readable AND h.citation = v.citation),
         o AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY (match_type <> 'exact')::INT, CASE WHEN match_type = 'exact' THEN -exact_strength ELSE 0 END, CASE WHEN match_type = 'exact' THEN 0 ELSE coalesce(ord, 1000000) END, citation) AS pos FROM j WHERE match_type = 'exact' OR rel)
-        SELECT selection_id, pos AS place, doc_id, CASE WHEN match_type = 'exact' THEN ['Names an identifier used in these lines', 'Names this file', 'Discusses the file these lines are in', 'References the commit that introduced these lines', 'References the pull request that introduced these lines'][exact_strength] ELSE said END AS why FROM o WHERE pos <= 5""",
+        SELECT selection_id, pos AS place, doc_id, CASE WHEN match_type = 'exact' THEN ['mentions a name from the code', 'mentions the file by its name', 'mentions the path of the file', 'mentions a commit behind the code', 'mentions a pull request behind the code'][exact_strength] ELSE said END AS why FROM o WHERE pos <= 5""",
     "conflict_pairs": f"WITH {WORDS}, n AS (SELECT selection_id, count(*) AS n FROM hits GROUP BY 1 HAVING count(*) >= 2) SELECT selection_id, 1 AS a, 2 AS b, 'conflict' AS kind FROM n UNION ALL SELECT selection_id, 2, 1, 'supersede' FROM n",
     "prompts": f"""WITH {WORDS} SELECT selection_id, sha256(string_agg('[' || citation || '] #' || coalesce(source, '?') || ' ' || strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') || chr(10) || '    ' || substring(coalesce(lang, ''), 1, 500), chr(10) ORDER BY citation)) AS sha256 FROM hits JOIN facts USING (doc_id) GROUP BY 1""",
     "graph_edges": f"WITH {GRAPH} SELECT type, confidence, count(*) AS n FROM edges GROUP BY 1, 2",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import clean, extract, identity
 from ..operators import evaluate, graph, history, merge, model_output, retrieve, segment, sync
 from ..operators.documents import build_documents
@@ -46,7 +47,7 @@ def merged_history(spark, d):
     from ..sources.chat import merge_history_and_replies
 
     raw = h.raw_messages(spark, d)
-    out = merge_history_and_replies(raw.filter("event_id % 3 <> 0"), raw.filter("event_id % 2 = 0").withColumn("text", F.concat(F.lit("reply "), "text")))
+    out = merge_history_and_replies(raw.filter("event_id % 3 <> 0"), raw.filter("event_id % 3 = 0 or event_id % 5 = 0").withColumn("text", F.concat(F.lit("reply "), "text")))
     return out.groupBy("channel_name").agg(F.count("*").alias("n"), F.sum(F.col("text").startswith("reply ").cast("long")).alias("replies"))
 
 
@@ -265,7 +266,7 @@ def status(spark, d):
 # ------------------------------------------------------------------ code history
 def blame(spark, d):
     commits = history.resolve_prs(history.blame_commits(h.owned_lines(spark, d)), None, history.pr_from_forge(h.owned_lines(spark, d), h.prs(spark, d)))
-    return commits, history.blame_summary(commits).persist()
+    return commits, checkpointed(history.blame_summary(commits))
 
 
 @query
@@ -299,8 +300,8 @@ def blame_summaries(spark, d):
 def exact(spark, d):
     _, b = blame(spark, d)
     asked = h.selections(spark, d).join(b.select("selection_id", "pr_numbers", "all_shas"), "selection_id", "left")
-    docs = h.documents(spark, d)
-    return retrieve.exact_tier(retrieve.selection_terms(asked), retrieve.postings(docs)).persist(), docs
+    docs = checkpointed(h.documents(spark, d))
+    return checkpointed(retrieve.exact_tier(retrieve.selection_terms(asked), retrieve.postings(docs))), docs
 
 
 @query
@@ -322,11 +323,11 @@ def unit_vectors(spark, d):
 
 
 def dense(spark, d):
-    return retrieve.knn(h.query_vectors(spark, d), h.vectors(spark, d)).persist()
+    return checkpointed(retrieve.knn(h.query_vectors(spark, d), h.vectors(spark, d)))
 
 
 def lexical(spark, d):
-    return retrieve.bm25(h.query_texts(spark, d), h.lexical_docs(spark, d), (("raw_text", 1.0), ("summary", 2.0))).persist()
+    return retrieve.bm25(h.query_texts(spark, d), h.lexical_docs(spark, d), (("raw_text", 1.0), ("summary", 2.0)))
 
 
 @query
@@ -334,46 +335,60 @@ def best_words(spark, d):
     return lexical(spark, d).select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def both_lists(spark, d):
+    """(dense list, both lists fused), each written once."""
+    near = dense(spark, d)
+    return near, checkpointed(retrieve.rrf(near, lexical(spark, d)))
+
+
 @query
 def fused(spark, d):
     f = retrieve.rrf(dense(spark, d), lexical(spark, d))
     return f.select("selection_id", "doc_id", F.round("fused_score", 6).alias("fused_score"), F.round("dense_score", 6).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
 
 
-def weighed(spark, d):
-    return retrieve.weigh(retrieve.rrf(dense(spark, d), lexical(spark, d)), h.doc_facts(spark, d), h.query_facts(spark, d))
+def weighed(spark, d, both):
+    return retrieve.weigh(both, h.doc_facts(spark, d), h.query_facts(spark, d))
 
 
 @query
 def weighted(spark, d):
-    return weighed(spark, d).select("selection_id", "doc_id", F.round("score", 6).alias("score"))
+    return weighed(spark, d, both_lists(spark, d)[1]).select("selection_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def floored(spark, d):
-    return retrieve.semantic_floor(weighed(spark, d)).groupBy("selection_id").agg(F.count("*").alias("n"), F.round(F.max("best_dense"), 6).alias("best_dense"))
+    return retrieve.semantic_floor(weighed(spark, d, both_lists(spark, d)[1])).groupBy("selection_id").agg(F.count("*").alias("n"), F.round(F.max("best_dense"), 6).alias("best_dense"))
+
+
+def hits_and_gate(spark, d):
+    """Hits of the query set, assembled, and what the gate says."""
+    near, both = both_lists(spark, d)
+    e = h.exact_facts(spark, d)
+    return retrieve.assemble_hits(e, retrieve.semantic_floor(weighed(spark, d, both)), near), retrieve.null_gate(both, e)
+
+
+def all_hits(spark, d):
+    return hits_and_gate(spark, d)[0]
 
 
 @query
 def assembled(spark, d):
-    hits = retrieve.assemble_hits(h.exact_facts(spark, d), retrieve.semantic_floor(weighed(spark, d)), dense(spark, d))
-    return hits.select("selection_id", "doc_id", "match_type", "exact_strength", F.round("score", 6).alias("score"), F.col("citation").cast("long").alias("citation"))
+    return all_hits(spark, d).select("selection_id", "doc_id", "match_type", "exact_strength", F.round("score", 6).alias("score"), F.col("citation").cast("long").alias("citation"))
 
 
-@query
-def gated(spark, d):
-    g = retrieve.null_gate(retrieve.rrf(dense(spark, d), lexical(spark, d)), h.exact_facts(spark, d))
-    return g.select("selection_id", F.round("best_dense", 6).alias("best_dense"), "has_exact", "is_null")
+def gate(spark, d):
+    return retrieve.null_gate(retrieve.rrf(dense(spark, d), lexical(spark, d)), h.exact_facts(spark, d))
 
 
-def all_hits(spark, d):
-    return retrieve.assemble_hits(h.exact_facts(spark, d), retrieve.semantic_floor(weighed(spark, d)), dense(spark, d))
+@query
+def gated(spark, d):
+    return gate(spark, d).select("selection_id", F.round("best_dense", 6).alias("best_dense"), "has_exact", "is_null")
 
 
 @query
 def hit_counts(spark, d):
-    g = retrieve.null_gate(retrieve.rrf(dense(spark, d), lexical(spark, d)), h.exact_facts(spark, d))
-    return retrieve.count_hits(h.query_facts(spark, d), all_hits(spark, d), g)
+    return retrieve.count_hits(h.query_facts(spark, d), *hits_and_gate(spark, d))
 
 
 @query
@@ -396,7 +411,7 @@ def reasons(spark, d):
     hits, docs = exact(spark, d)
     _, b = blame(spark, d)
     rows = hits.join(docs.drop("ts_end"), "doc_id").join(h.selections(spark, d).select("selection_id", "file_path"), "selection_id").join(b.select("selection_id", "authors", "pr_numbers", "all_shas"), "selection_id", "left")
-    return rows.groupBy(F.regexp_extract(retrieve.why(), r"^(Names PR|Names commit|Names|Semantically|\w+ took)", 1).alias("reason"), "strength").agg(F.count("*").alias("n"))
+    return rows.select("selection_id", F.col("rank").cast("long").alias("rank"), retrieve.why().alias("reason"), retrieve.exact_why(F.col("strength")).alias("match"))
 
 
 # ------------------------------------------------------------------ model output, graph, merge, evaluation
@@ -434,8 +449,7 @@ def graph_hits(spark, d):
 
 def whole_graph(spark, d):
     _, b = blame(spark, d)
-    nodes, edges = graph.resolve_graph(b, graph_hits(spark, d), h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d))
-    return nodes.persist(), edges.persist()
+    return graph.resolve_graph(b, graph_hits(spark, d), h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d))
 
 
 @query
@@ -454,12 +468,12 @@ def commit_chains(spark, d):
 
 
 def unlinked_nodes(spark, d):
-    nodes, edges = whole_graph(spark, d)
+    nodes, edges = (checkpointed(t) for t in whole_graph(spark, d))
     return graph.reachable(nodes, edges).groupBy("type", "linked").agg(F.count("*").alias("n"))
 
 
 def timelines(spark, d):
-    rows, links = graph.timeline_rows(*whole_graph(spark, d))
+    rows, links = graph.timeline_rows(*(checkpointed(t) for t in whole_graph(spark, d)))
     return rows.groupBy("selection_id").agg(F.count("*").alias("rows"), F.min("row_ts").alias("first_ts")).join(links.groupBy("selection_id").agg(F.count("*").alias("links")), "selection_id", "left")
 
 
@@ -501,8 +515,7 @@ def marker_ranks(spark, d):
 
 @query
 def calibration(spark, d):
-    g = retrieve.null_gate(retrieve.rrf(dense(spark, d), lexical(spark, d)), h.exact_facts(spark, d))
-    return evaluate.calibrate(g.select((F.pmod(F.col("selection_id"), F.lit(300)) == 0).alias("is_null"), "best_dense"))
+    return evaluate.calibrate(gate(spark, d).select((F.pmod(F.col("selection_id"), F.lit(300)) == 0).alias("is_null"), "best_dense"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

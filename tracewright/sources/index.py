@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ class IndexMismatch(Exception):
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table, or none of its rows where nothing was written yet."""
+    """A table, or none of its rows where nothing was written yet. Any other fault is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -32,10 +35,7 @@ def write_documents(docs: DataFrame, path: str, parts: int = 64) -> None:
     spark = docs.sparkSession
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     docs = docs.withColumn("part", part)
-    try:
-        old = spark.read.schema(f"{DOCUMENTS}, part int").parquet(path)
-    except AnalysisException:
-        old = spark.createDataFrame([], docs.schema)
+    old = read_table(spark, path, f"{DOCUMENTS}, part int")
     touched = old.join(docs.select("part").distinct(), "part", "left_semi").join(docs.select("doc_id"), "doc_id", "left_anti")
     merged = touched.select(*docs.columns).unionByName(docs)
     # read and written folders are the same, so the new version is set down first
@@ -52,8 +52,13 @@ def delete_channel(index: DataFrame, checkpoint: DataFrame, channel_name: str) -
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """Missing or unreadable: empty."""
-    return read_table(spark, path, CHECKPOINT)
+    """Missing or unreadable: empty. A checkpoint has one row for each channel, so it is read whole at once
+    to see whether it can be."""
+    got = read_table(spark, path, CHECKPOINT)
+    try:
+        return spark.createDataFrame(got.toArrow())
+    except (PySparkException, Py4JJavaError):
+        return spark.createDataFrame([], CHECKPOINT)
 
 
 def write_checkpoint(checkpoint: DataFrame, path: str) -> None:
