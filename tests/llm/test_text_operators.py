@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewright.llm import sentencepiece_bpe, shared, weighted_minhash
+from tracewright.llm import edit_fingerprint, sentencepiece_bpe, shared, weighted_minhash
 from tracewright.llm.edit_fingerprint import fingerprint_texts, half_edits, similar_texts
 from tracewright.llm.kneser_ney import perplexity
 from tracewright.llm.mixing import mix_sources
@@ -184,9 +184,46 @@ def test_small_edits_stay_near(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(800)) for _ in range(12)]
     edited = [t[:400] + "xy" + t[400:-1] for t in base]
-    found = {(r.doc_id, r.leader) for r in similar_texts(table(spark, base + edited, False), floor=0.7).collect()}
-    assert len({(k + 12, k) for k in range(12)} & found) >= 10
-    assert all(abs(a - b) == 12 for a, b in found)
+    found = {r.doc_id: r.class_id for r in similar_texts(table(spark, base + edited, False), floor=0.7).collect()}
+    assert sum(found[k + 12] == k for k in range(12)) >= 10
+    assert all(c in (k, k - 12) for k, c in found.items())
+
+
+def test_walk_equals_a_slow_walk():
+    rng = random.Random(11)
+    texts_ = ["".join(rng.choice("ab é字") for _ in range(n)) for n in (0, 1, 2, 5, 40, 300)]
+    bits, _, _, value = edit_fingerprint._random(1)
+    got = edit_fingerprint.walk(texts_)
+    for t, row in zip(texts_, got, strict=True):
+        code = [max(1, (ord(c) * 2654435761 % 2**32) >> 24) for c in t]
+        seen, at = [], 0
+        for step in range(2 * len(t)):
+            seen.append(code[at] if at < len(t) else 0)
+            at += int(bits[step % edit_fingerprint.PERIOD, code[at]]) if at < len(t) else 0
+        places = edit_fingerprint.sampled_places(np.array([2 * len(t)]), 1)[0]
+        assert row.tolist() == [int(value[k, seen[p] if seen else 0]) for k, p in enumerate(places)], t
+
+
+def test_classes_of_fingerprints_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(edit_fingerprint, "MEET", 4)  # buckets of several blocks
+    rng = np.random.RandomState(3)
+    base = rng.randint(0, 16, (30, 256)).astype(np.uint8)
+    rows = []
+    for k in range(200):
+        v = base[k % 30 if k % 3 else 0].copy()
+        at = rng.permutation(256)[: rng.randint(0, 70)]
+        v[at] = rng.randint(0, 16, len(at))
+        rows.append(v)
+    rows += [rows[5]] * 20
+    values = np.array(rows)
+    near = np.stack([edit_fingerprint.likeness(values, v[None, :]) >= 0.8 for v in values])
+    label = np.arange(len(rows))
+    while (label != (new := np.array([label[n].min() for n in near]))).any():
+        label = new
+    data = [(k, t) for k, t in enumerate(edit_fingerprint.to_hex(values))]
+    got = {r.doc_id: r.class_id for r in edit_fingerprint.similar_prints(spark.createDataFrame([*data, (None, data[0][1])], "doc_id long, fingerprint string")).collect()}
+    assert [got[k] for k in range(len(rows))] == label.tolist() and len(got) == len(rows)
+    assert edit_fingerprint.similar_prints(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
 
 
 def jaccard_by_hand(rows, size=5):

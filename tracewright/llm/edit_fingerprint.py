@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, n_buckets, slices
+from .itq_links import joined
+from .shared import components, mix, n_buckets, runs, settle, slices
 
 SLOTS = 256  # sampled places, of 4 bits each
 PERIOD = 4096  # rows of the table of random bits; steps use it in turn
 CHUNK = 6_000_000  # characters walked at a time
 FIRST = -(2**63)
+MEET = 512  # fingerprints of one bucket that meet at a time
 
 
 @functools.lru_cache(maxsize=4)
@@ -106,21 +108,88 @@ def fingerprint_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     return docs.mapInArrow(task, docs.withColumn("fingerprint", F.lit("")).schema)
 
 
-def similar_texts(docs: DataFrame, floor: float = 0.8, rows: int = 6, seed: int = 1) -> DataFrame:
-    """(doc_id, leader, likeness): documents whose fingerprint agrees with that of the first document of
-    a band of ``rows`` sampled places, with a likeness of ``floor`` or more. Each band names its smallest
-    doc_id, so that a group of copies gives a row for each copy and not for each pair; a copy that its
-    leader doesn't confirm is compared with the leaders of its other bands."""
-    prints = fingerprint_texts(docs.select("doc_id", "text").filter("doc_id is not null"), seed).select("doc_id", "fingerprint")
-    bands = F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", k * rows + 1, rows)) for k in range(SLOTS // rows)]))
-    banded = prints.select("doc_id", bands.alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = banded.join(leaders, "band").filter("doc_id <> leader").select("doc_id", "leader").distinct()
-    named = prints.select(F.col("doc_id").alias("leader"), F.col("fingerprint").alias("other"))
-    both = pairs.join(prints, "doc_id").join(named, "leader")
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, k: n + (F.substr(F.col("fingerprint"), k, F.lit(1)) == F.substr(F.col("other"), k, F.lit(1))).cast("int")) / SLOTS
-    like = F.greatest(F.lit(0.0), (same - 1 / 16) / (1 - 1 / 16))
-    return both.select("doc_id", "leader", like.alias("likeness")).filter(F.col("likeness") >= floor)
+def band_plan(n: int, floor: float, miss: float = 1e-4, most: int = 64, seed: int = 1) -> np.ndarray:
+    """The slots of each band, (band, slot): bands widen with the logarithm of the number ``n`` of texts, so
+    that unlike ones seldom meet (their slots agree by an eighth), and their number follows from the width, so
+    that a pair whose slots agree as ``floor`` asks is missed with a chance of at most ``miss`` (up to ``most`` bands)."""
+    rows = max(5, int(np.ceil(np.log(max(n, 2)) / np.log(8))))
+    agree = (floor + (1 - floor) / 16) ** rows
+    bands = 1 if agree >= 1 else min(most, int(np.ceil(np.log(miss) / np.log1p(-agree))))
+    rng = np.random.RandomState(seed)
+    order = np.concatenate([rng.permutation(SLOTS) for _ in range(-(-bands * rows // SLOTS))])
+    return order[: bands * rows].reshape(bands, rows)
+
+
+def unpacked(prints: list[bytes]) -> np.ndarray:
+    """Slot values of packed fingerprints, a row each."""
+    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SLOTS // 2)
+    return np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, SLOTS)
+
+
+def meet(plan: np.ndarray, floor: float):
+    """Links of one group of buckets: rows (node, bucket, band, half, print); a bucket's rows meet among
+    themselves, or, where it came in two halves, each of one with each of the other. A pair counts in the first band
+    where its slots agree; of links that join the same texts only as many as join them go on."""
+
+    def group(table: pa.Table) -> pa.Table:
+        ids, bucket, band, half = (np.asarray(table.column(c), np.int64) for c in ("node", "bucket", "band", "half"))
+        values = unpacked(table.column("print").to_pylist())
+        order = np.argsort(bucket, kind="stable")
+        first = runs(bucket[order])
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(order)), strict=True):
+            at = order[a:b]
+            left, right = (at[half[at] == 0], at[half[at] == 1]) if half[at].any() else (at, at)
+            pairs = []
+            for i in left:
+                j = right[ids[right] != ids[i]]
+                j = j[likeness(values[j], values[i][None, :]) >= floor]
+                pairs.append(np.stack([np.full(len(j), i), j]))
+            i, j = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+            same = values[i] == values[j]
+            good = same[:, plan].all(axis=2).argmax(axis=1) == band[i]
+            i, j = np.concatenate([i[good], j[good]]), np.concatenate([j[good], i[good]])
+            label = joined(ids[at], np.searchsorted(at, i, sorter=np.argsort(at)), np.searchsorted(at, j, sorter=np.argsort(at)))
+            moved = label != ids[at]
+            out.append((ids[at][moved], label[moved]))
+        flat = [np.concatenate([o[k] for o in out]) for k in (0, 1)]
+        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+
+    return group
+
+
+def similar_prints(prints: DataFrame, floor: float = 0.8, seed: int = 1) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id that links reach, for each doc_id of ``prints`` (doc_id,
+    fingerprint). Fingerprints link at a likeness of ``floor`` or more: the Hamming distance of the embeddings'
+    samples, which stands for the edit distance of the texts. Rows with a null doc_id have no class; rows that
+    share a doc_id are one document with all their fingerprints; an empty table gives no rows.
+
+    Equal fingerprints are one node, so that a hot text is one row. Nodes meet in bands of sampled slots;
+    a band's bucket of more than ``MEET`` nodes becomes a group for each pair of its blocks. All nodes
+    of a bucket are compared, so that links are lost only where no band agrees (see ``band_plan``)."""
+    spark = prints.sparkSession
+    rows = prints.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("fingerprint").alias("print"))
+    heads = settle(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints")
+    plan = band_plan(heads.count(), floor, seed=seed)
+    digits = lambda slots: F.concat(*[F.substring(F.hex("print"), int(k) + 1, 1) for k in slots])
+    keys = F.array(*[F.xxhash64(F.lit(k), digits(slots)) for k, slots in enumerate(plan.tolist())])
+    slots = heads.select("node", F.posexplode(keys).alias("band", "bucket"))
+    crowd = slots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / MEET).cast("int").alias("parts"))
+    placed = slots.join(crowd, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    single = placed.filter("parts = 1").withColumn("group", F.concat(F.lit("s"), F.pmod("bucket", F.lit(n_buckets(spark))))).withColumn("half", F.lit(0))
+    several = placed.filter("parts > 1").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("group", F.concat_ws("|", "bucket", F.least("part", "other"), F.greatest("part", "other")))
+    several = several.withColumn("half", (F.col("part") > F.col("other")).cast("int"))
+    cols = ["group", "node", "bucket", "band", "half"]
+    met = single.select(*cols).unionByName(several.select(*cols)).join(heads.select("node", "print"), "node")
+    links = met.groupBy("group").applyInArrow(meet(plan, floor), "a long, b long")
+    copies = rows.join(heads.filter("n > 1").select("print", "node"), "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    parts = components(links.unionByName(copies).distinct()).select(F.col("id").alias("doc_id"), "label")
+    return rows.select("doc_id").distinct().join(parts, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+
+
+def similar_texts(docs: DataFrame, floor: float = 0.8, seed: int = 1) -> DataFrame:
+    """(doc_id, class_id) of documents (doc_id, text) by :func:`similar_prints` of their fingerprints."""
+    return similar_prints(settle(fingerprint_texts(docs.select("doc_id", "text"), seed).select("doc_id", "fingerprint"), "fingerprints"), floor, seed)
 
 
 def half_edits(docs: DataFrame, seed: int = 1) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
-from .edit_fingerprint import half_edits
+from .edit_fingerprint import half_edits, similar_prints
 from .itq_links import link_vectors
 from .kneser_ney import perplexity
 from .mixing import mix_sources
 from .sentencepiece_bpe import encode_pieces
+from .shared import settle
 from .substring_dedup import cut_repeats
 from .url_filters import judge_urls
 from .warc import archive_round_trip
@@ -65,7 +66,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return half_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = settle(half_edits(table(spark, sf_dir, "documents").select("doc_id", "text")), "edits")
+    classes = similar_prints(out.select("doc_id", "fingerprint")).withColumnRenamed("doc_id", "id")
+    return out.join(classes, out.doc_id == classes.id, "left").drop("id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
