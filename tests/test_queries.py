@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracewright.plans import oracles, queries
+from tracewright.plans import answers, oracles, queries
 
+QUERIES, ORACLES = queries.QUERIES | answers.QUERIES, oracles.ORACLES | answers.ORACLES
 TABLES = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 
@@ -27,10 +28,10 @@ def plain(columns, rows):
     return sorted(columns), sorted(tuple(show(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, str(TABLES))
-    want = duck.execute(oracles.ORACLES[name])
+    got = QUERIES[name](spark, str(TABLES))
+    want = duck.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
     expected = plain(columns, want.fetchall())
     assert plain(got.columns, [tuple(r) for r in got.collect()]) == expected and expected[1]

@@ -467,11 +467,6 @@ def commit_chains(spark, d):
     return graph.commit_chain(blame(spark, d)[1], h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-def unlinked_nodes(spark, d):
-    nodes, edges = (checkpointed(t) for t in whole_graph(spark, d))
-    return graph.reachable(nodes, edges).groupBy("type", "linked").agg(F.count("*").alias("n"))
-
-
 def timelines(spark, d):
     rows, links = graph.timeline_rows(*(checkpointed(t) for t in whole_graph(spark, d)))
     return rows.groupBy("selection_id").agg(F.count("*").alias("rows"), F.min("row_ts").alias("first_ts")).join(links.groupBy("selection_id").agg(F.count("*").alias("links")), "selection_id", "left")
