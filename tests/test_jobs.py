@@ -15,6 +15,7 @@ from tracewright.operators.documents import build_documents
 from tracewright.schemas import MESSAGES
 from tracewright.settings import Settings
 from tracewright.sources import chat, index, trackers
+from tracewright.sources import messages as message_store
 from tracewright.streaming import streams
 
 T0 = 1_758_304_234_000_000
@@ -213,7 +214,7 @@ def test_model_answers(spark):
     hits = spark.createDataFrame([(1, k, f"d{k}", "exact" if k == 1 else "semantic", 3 if k == 1 else 0) for k in range(1, 5)], "selection_id long, citation int, doc_id string, match_type string, exact_strength int")
     said = spark.createDataFrame([(1, json.dumps({"items": [{"index": 3, "why": "b"}, {"index": 2, "relevant": False}, {"index": 9}, {"index": 1, "relevant": False}]}))], "selection_id long, json string")
     got = model_output.apply_verdicts(hits, said).orderBy("place").collect()
-    assert [(r.doc_id, r.why) for r in got] == [("d1", "Discusses the file these lines are in"), ("d3", "b"), ("d4", "")]
+    assert [(r.doc_id, r.why) for r in got] == [("d1", "mentions the path of the file"), ("d3", "b"), ("d4", "")]
     broken = model_output.apply_verdicts(hits, said.withColumn("json", F.lit("no"))).orderBy("place").collect()
     assert [r.doc_id for r in broken] == ["d1", "d2", "d3", "d4"]
 
@@ -265,3 +266,81 @@ def test_streamed_sync_equals_batch(spark, tmp_path):
     closed = []
     streams.run_once(streams.stream_bursts(spark.readStream.schema(MESSAGES).parquet(source)), lambda df, _: closed.extend(df.collect()), str(tmp_path / "cp3"))
     assert closed == [] or closed[0].message_count == 5
+
+
+def test_only_touched_days_are_read(spark, tmp_path):
+    store, day = str(tmp_path / "store"), 86_400
+    rows = [("a", "ann", f"m{k}", k * day, None, []) for k in range(100)] + [("a", "bob", "reply", 60 * day, 3 * day, []), ("a", "bob", "root", 3 * day, 3 * day, [])]
+    message_store.append_messages(messages(spark, rows), store)
+    new = messages(spark, [("a", "cy", "late reply", 99 * day, 3 * day, []), ("a", "cy", "loose", 80 * day + 60, None, [])])
+    got = message_store.read_touched(spark, store, new)
+    assert {r.text for r in got.collect()} == {"reply", "root", *(f"m{k}" for k in range(66, 95))}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len({r.f for r in got.select(F.input_file_name().alias("f")).collect()}) < 40
+
+
+def test_block_of_documents_holds_however_many_queries(spark):
+    asks = spark.range(100_000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    q, d = retrieve.deal_vectors(asks, docs)
+    assert q.groupBy("b", "p").count().agg(F.max("count")).first()[0] < 800
+    assert d.groupBy("b", "p").count().agg(F.max("count")).first()[0] < 4_096 and d.select("p").distinct().count() == 3
+
+
+def test_hot_terms_join_only_their_newest_documents(spark):
+    rows = [(f"d{k}", k, "symbol", "HOT_NAME") for k in range(500)] + [("old", -5, "pr", "7"), ("old", -5, "symbol", "HOT_NAME"), ("older", -6, "path", "a/b.py")]
+    posts = spark.createDataFrame(rows, "doc_id string, ts_end long, kind string, term string")
+    terms = spark.createDataFrame([(s, k, t, v) for s in range(40) for k, t, v in (("symbol", "HOT_NAME", 1), ("path", "a/b.py", 3), *((("pr", "7", 5),) if s == 3 else ()))], "selection_id int, kind string, term string, strength int")
+    got = {}
+    for r in retrieve.exact_tier(terms, posts).collect():
+        got.setdefault(r.selection_id, {})[r.rank] = (r.doc_id, r.strength)
+    assert got[3] == {1: ("old", 5), 2: ("older", 3), 3: ("d499", 1)}
+    assert all(got[s] == {1: ("older", 3), 2: ("d499", 1), 3: ("d498", 1)} for s in range(40) if s != 3)
+
+
+def test_payloads_of_trackers(spark, tmp_path):
+    one_column = lambda *rows: spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in rows], "json string")
+    prs = trackers.normalize_prs(one_column({"number": 7, "title": "t", "user": {"login": "ann"}, "merged_at": None, "merge_commit_sha": "abc", "files": [{"filename": "a.py"}], "commits": [{"sha": "0123456789"}]}, "{broken", {"title": "none"})).collect()
+    assert [(r.number, r.author, r.files, r.commit_shas) for r in prs] == [(7, "ann", ["a.py"], ["0123456"])]
+    tickets = one_column({"key": "ENG-1", "fields": {"summary": "s", "status": {"name": "Open"}, "assignee": None}}, {"fields": {}}).withColumn("pr_number", F.lit(7))
+    assert [tuple(r) for r in trackers.normalize_tickets(tickets).collect()] == [("ENG-1", "s", "Open", None, 7)]
+    incidents = trackers.normalize_incidents(one_column({"id": "9", "shortId": "", "title": "x", "firstSeen": "2024-01-01", "status": "open", "firstRelease": {"version": "v1"}}, {"id": "8", "shortId": "APP-8", "permalink": "p"}, {}), "acme").collect()
+    assert [(r.id, r.url, r.first_release) for r in incidents] == [("9", "https://sentry.io/organizations/acme/issues/9/", "v1"), ("APP-8", "p", None)]
+    (tmp_path / "tickets.json").write_text(json.dumps([{"key": "ENG-2", "title": "u", "status": "s", "assignee": "a", "pr_number": 3}]))
+    (tmp_path / "github_prs.json").write_text("[{broken")
+    prs, tickets, incidents = trackers.read_trackers(spark, str(tmp_path))
+    assert [r.key for r in tickets.collect()] == ["ENG-2"] and prs.count() == 0 and incidents.count() == 0
+
+
+def test_corrupt_checkpoint_is_empty_and_other_faults_are_not(spark, tmp_path):
+    path = tmp_path / "checkpoint"
+    index.write_checkpoint(spark.createDataFrame([("a", 5)], "channel_name string, last_us long"), str(path))
+    assert index.read_checkpoint(spark, str(path)).collect() == [("a", 5)]
+    for f in path.glob("part-*"):
+        f.write_bytes(b"no parquet")
+    for f in path.glob(".*.crc"):
+        f.unlink()
+    assert index.read_checkpoint(spark, str(path)).count() == 0
+    with pytest.raises(Exception):  # noqa: B017  an unreadable index is no empty index
+        index.read_index(spark, str(path)).collect()
+
+
+def test_export_of_tables_reads_back(spark, tmp_path):
+    """Channel folders and day files, one of them malformed."""
+    for channel in ("general", "ops"):
+        (tmp_path / channel).mkdir()
+        for day in range(3):
+            rows = [{"type": "message", "user": f"U{k}", "text": f"{channel} {day} {k}", "ts": f"{1_758_304_234 + 86_400 * day + k}.000100"} for k in range(4)]
+            (tmp_path / channel / f"2025-09-1{day}.json").write_text(json.dumps(rows))
+    (tmp_path / "ops" / "2025-09-13.json").write_text('[{"type": "message", "ts": ')
+    (tmp_path / "users.json").write_text(json.dumps([{"id": "U1", "name": "u", "profile": {"display_name": "", "real_name": "Ann"}}, {"id": "U2", "name": "bob"}, {"id": "U3"}]))
+    (tmp_path / "channels.json").write_text(json.dumps([{"id": "C1", "name": "general"}]))
+    (tmp_path / "channel_tiers.json").write_text(json.dumps({"general": 1}))
+    raw, bad = chat.read_export(spark, str(tmp_path))
+    users, channels, tiers = chat.read_directory(spark, str(tmp_path))
+    assert raw.count() == 24 and [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["2025-09-13.json"]
+    assert {(r.id, r.name) for r in users.collect()} == {("U1", "Ann"), ("U2", "bob"), ("U3", "U3")}
+    got = clean.to_messages(chat.with_channels(raw, channels, tiers), users)
+    assert {(r.channel_id, r.channel_tier) for r in got.collect()} == {("C1", 1), ("ops", 2)}
+    assert {r.user_name for r in got.collect()} == {"U0", "Ann", "bob", "U3"}

@@ -12,24 +12,23 @@ from ..checkpoints import checkpointed
 from ..operators.sync import affected_bursts, affected_threads, dedupe_messages
 from ..operators.documents import build_documents
 from ..operators.segment import segment
-from ..schemas import MESSAGES, columns
 from ..settings import DEFAULTS, Settings
-from ..sources.index import read_table, write_documents
-
-NAMES = [name for name, _ in columns(MESSAGES)]
+from ..sources.index import write_documents
+from ..sources.messages import NAMES, append_messages, message_day, read_messages, read_touched
 
 
 def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, settings: Settings = DEFAULTS, parts: int = 64, once: bool = True) -> StreamingQuery:
-    """Incremental sync of a stream of messages: each batch joins the message table at ``store``, and the
+    """Incremental sync of a stream of messages: each batch joins the message store at ``store``, and the
     units it touches, late replies' included, are built again whole and written by id to ``index``; so a
-    repeated batch changes nothing."""
+    repeated batch changes nothing. Of the store only the days are read that the batch can touch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = checkpointed(dedupe_messages(batch.select(*NAMES)))
-        old = read_table(spark, store, MESSAGES)
-        new.join(old.select("channel_id", "ts_us"), ["channel_id", "ts_us"], "left_anti").select(*NAMES).write.mode("append").parquet(store)
-        pool = read_table(spark, store, MESSAGES)
+        days = [r.day for r in new.select(message_day().alias("day")).distinct().collect()]
+        old = read_messages(spark, store, days)
+        append_messages(new.join(old.select("channel_id", "ts_us"), ["channel_id", "ts_us"], "left_anti"), store)
+        pool = read_touched(spark, store, new, settings)
         touched = dedupe_messages(affected_threads(pool, new).unionByName(affected_bursts(pool, new, settings)))
         write_documents(build_documents(segment(touched, settings), settings=settings), index, parts)
 
