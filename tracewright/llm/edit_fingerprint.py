@@ -20,6 +20,7 @@ PERIOD = 4096  # rows of the table of random bits; steps use it in turn
 CHUNK = 6_000_000  # characters walked at a time
 FIRST = -(2**63)
 MEET = 512  # fingerprints of one bucket that meet at a time
+PAIRS = 40_000  # pairs compared at a time
 
 
 @functools.lru_cache(maxsize=4)
@@ -120,10 +121,36 @@ def band_plan(n: int, floor: float, miss: float = 1e-4, most: int = 64, seed: in
     return order[: bands * rows].reshape(bands, rows)
 
 
-def unpacked(prints: list[bytes]) -> np.ndarray:
+def _values(raw: np.ndarray) -> np.ndarray:
     """Slot values of packed fingerprints, a row each."""
-    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SLOTS // 2)
-    return np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, SLOTS)
+    return np.stack([raw >> 4, raw & 15], axis=2).reshape(len(raw), -1)
+
+
+def band_keys(plan: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The key of each fingerprint in each band: a hash of the band and its slots' values."""
+    out = np.repeat(mix(np.arange(1, len(plan) + 1, dtype=np.uint64))[None, :], len(values), axis=0)
+    for k in range(plan.shape[1]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, plan[:, k]].astype(np.uint64))
+    return out
+
+
+def pairs_of(first: np.ndarray, past: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within each run [first, past) that meet, in batches of about PAIRS: each two of a run once, or,
+    of a run with a second half (after the first), each of one with each of the other."""
+    split = np.array([a + int(np.searchsorted(half[a:b], 1)) for a, b in zip(first, past, strict=True)])
+    # the row of a place: it meets those after it in its run, from the second half on where there is one
+    place = np.concatenate([np.arange(a, m if m < b else b) for a, m, b in zip(first, split, past, strict=True)])
+    run = np.searchsorted(first, place, "right") - 1
+    begin = np.where(split[run] < past[run], split[run], place + 1)
+    size = past[run] - begin
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n = size[at:stop]
+        ends = np.cumsum(n)
+        yield np.repeat(place[at:stop], n), np.arange(ends[-1]) - np.repeat(ends - n - begin[at:stop], n)
+        at = stop
 
 
 def meet(plan: np.ndarray, floor: float):
@@ -133,27 +160,26 @@ def meet(plan: np.ndarray, floor: float):
 
     def group(table: pa.Table) -> pa.Table:
         ids, bucket, band, half = (np.asarray(table.column(c), np.int64) for c in ("node", "bucket", "band", "half"))
-        values = unpacked(table.column("print").to_pylist())
-        order = np.argsort(bucket, kind="stable")
-        first = runs(bucket[order])
-        out = []
-        for a, b in zip(first, np.append(first[1:], len(order)), strict=True):
-            at = order[a:b]
-            left, right = (at[half[at] == 0], at[half[at] == 1]) if half[at].any() else (at, at)
-            pairs = []
-            for i in left:
-                j = right[ids[right] != ids[i]]
-                j = j[likeness(values[j], values[i][None, :]) >= floor]
-                pairs.append(np.stack([np.full(len(j), i), j]))
-            i, j = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-            same = values[i] == values[j]
-            good = same[:, plan].all(axis=2).argmax(axis=1) == band[i]
-            i, j = np.concatenate([i[good], j[good]]), np.concatenate([j[good], i[good]])
-            label = joined(ids[at], np.searchsorted(at, i, sorter=np.argsort(at)), np.searchsorted(at, j, sorter=np.argsort(at)))
-            moved = label != ids[at]
-            out.append((ids[at][moved], label[moved]))
-        flat = [np.concatenate([o[k] for o in out]) for k in (0, 1)]
-        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+        raw = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+        order = np.lexsort((ids, half, bucket))
+        ids, bucket, band, half, raw = (x[order] for x in (ids, bucket, band, half, raw))
+        first = runs(bucket)
+        found = [np.empty((2, 0), np.int64)]
+        for i, j in pairs_of(first, np.append(first[1:], len(bucket)), half):
+            both = raw[i] ^ raw[j]
+            same = ((both & 15) == 0).sum(axis=1) + ((both >> 4) == 0).sum(axis=1)
+            near = np.maximum(0.0, (same / SLOTS - 1 / 16) / (1 - 1 / 16)) >= floor
+            i, j = i[near], j[near]
+            if len(i):
+                equal = _values(raw[i]) == _values(raw[j])
+                good = equal[:, plan].all(axis=2).argmax(axis=1) == band[i]
+                found.append(np.stack([ids[i[good]], ids[j[good]]]))
+        i, j = np.concatenate(found, axis=1)
+        names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        at = np.concatenate([at, np.concatenate([at[len(i) :], at[: len(i)]])])
+        label = joined(names, at[: 2 * len(i)], at[2 * len(i) :])
+        moved = label != names
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(label[moved], pa.int64())})
 
     return group
 
@@ -171,9 +197,16 @@ def similar_prints(prints: DataFrame, floor: float = 0.8, seed: int = 1) -> Data
     rows = prints.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("fingerprint").alias("print"))
     heads = settle(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints")
     plan = band_plan(heads.count(), floor, seed=seed)
-    digits = lambda slots: F.concat(*[F.substring(F.hex("print"), int(k) + 1, 1) for k in slots])
-    keys = F.array(*[F.xxhash64(F.lit(k), digits(slots)) for k, slots in enumerate(plan.tolist())])
-    slots = heads.select("node", F.posexplode(keys).alias("band", "bucket"))
+
+    def slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                keys = band_keys(plan, _values(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SLOTS // 2)))
+                node = np.repeat(np.asarray(part.column(0), np.int64), len(plan))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(len(plan), dtype=np.int32), part.num_rows)), pa.array(keys.view(np.int64).ravel())], ["node", "band", "bucket"])
+
+    slots = heads.select("node", "print").mapInArrow(slot_rows, "node long, band int, bucket long")
     crowd = slots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / MEET).cast("int").alias("parts"))
     placed = slots.join(crowd, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     single = placed.filter("parts = 1").withColumn("group", F.concat(F.lit("s"), F.pmod("bucket", F.lit(n_buckets(spark))))).withColumn("half", F.lit(0))
