@@ -105,7 +105,7 @@ def pull(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarr
     return np.concatenate([prior * minus, -all_minus])
 
 
-def nn_pu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, width: int, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, float]:
+def nn_pu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, width: int, prior: float, rounds: int = 1000, rate: float = 0.05, decay: float = 1e-3, seed: int = 3, batch: tuple[int, int] = (256, 1024)) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier that minimises the non-negative positive-unlabelled risk
     prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)): Adam over random batches of both samples, given
     as numbers of rows of ``x``, with weights pulled towards 0 by ``decay``."""
@@ -113,7 +113,7 @@ def nn_pu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, width: int, pri
     w, b = np.zeros(width), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
-        n_p, n_u = min(len(positive), 1024), min(len(unlabelled), 4096)
+        n_p, n_u = min(len(positive), batch[0]), min(len(unlabelled), batch[1])
         drawn = np.concatenate([positive[rng.randint(0, len(positive), n_p)], unlabelled[rng.randint(0, len(unlabelled), n_u)]])
         row, col, val = x.pick(drawn)
         f = np.bincount(row, w[col] * val, minlength=n_p + n_u) + b
