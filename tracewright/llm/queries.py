@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .edit_fingerprint import half_edits, similar_prints
+from .exact_dedup import bare, exact_duplicates
 from .itq_links import link_vectors
 from .kneser_ney import perplexity
+from .lexical_tree import rank_documents
 from .mixing import mix_sources
 from .sentencepiece_bpe import encode_pieces
 from .shared import settle
 from .substring_dedup import cut_repeats
+from .threshold_kmeans import cluster_vectors
 from .url_filters import judge_urls
 from .warc import archive_round_trip
 from .weighted_minhash import near_duplicates
@@ -85,6 +88,21 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_threshold_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_lexical_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(bare(F.col("text")), 256).alias("text_sha256"))
+    return exact_duplicates(docs, texts=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_itq_links": op2_itq_links,
@@ -96,8 +114,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_threshold_kmeans": op11_threshold_kmeans,
+    "op12_lexical_tree": op12_lexical_tree,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
+
+
+def _kmeans_sql(rounds: int = 10) -> str:
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, n, v, best.d AS d, best.c AS c FROM (
+            SELECT e.vec_id, e.n, any_value(e.v) AS v, min({{'d': list_sum([(e.v[i] - k.v[i]) * (e.v[i] - k.v[i]) FOR i IN range(1, 65)])::BIGINT, 'c': k.c}}) AS best FROM e, k{r} AS k GROUP BY e.vec_id, e.n))"""
+    moved = """s{r} AS (SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS u(i) GROUP BY c, i),
+        g{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+        k{q} AS MATERIALIZED (SELECT k.c, coalesce(g.v, k.v) AS v FROM k{r} AS k LEFT JOIN g{r} AS g USING (c))"""
+    steps = ",\n        ".join(x for r in range(rounds) for x in (near.format(r=r), moved.format(r=r, q=r + 1)))
+    return f"""
+        WITH e AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS n, [floor(1024 * x)::BIGINT FOR x IN embedding::DOUBLE[]] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+        k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM e WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 8)),
+        {steps},
+        {near.format(r=rounds)},
+        t AS (SELECT c, sum(d)::BIGINT AS own FROM a{rounds} GROUP BY c)
+        SELECT vec_id, c::INT AS cluster, d AS distance, own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM t) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN t USING (c) JOIN k{rounds} AS k USING (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
         WITH p AS (
@@ -131,4 +173,20 @@ ORACLES: dict[str, str] = {
         SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(per.gone), 0)::BIGINT AS n_removed,
                sha256(coalesce(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF per.gone IS NULL OR NOT list_contains(per.gone, i)], ' '), '')) AS kept_sha256
         FROM t LEFT JOIN per USING (doc_id)""",
+    "op11_threshold_kmeans": _kmeans_sql(),
+    "op12_lexical_tree": r"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+        t AS (SELECT count(*) AS dn, sum(n)::BIGINT AS dl FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+        f AS (SELECT term, floor(1000 * ln((2 * dn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), t),
+        m AS (SELECT doc_id, 50 + (50 * n * dn) // dl AS m FROM d, t),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+        g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g""",
 }
