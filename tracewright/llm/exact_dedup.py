@@ -51,7 +51,7 @@ def exact_duplicates(docs: DataFrame, texts: bool = True, head: int = HEAD, word
     rows = settle(read if texts else read.drop("text"), "shapes")  # with it the number of a row stands fast
 
     best = F.struct((-F.col(long_)).alias("l"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(rid).alias("rid"))
-    groups = rows.filter(F.col(full).isNotNull()).groupBy(size, begin, full).agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+    groups = settle(rows.filter(F.col(full).isNotNull()).groupBy(size, begin, full).agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     together = rows.filter(F.col(full).isNotNull()).join(groups, [size, begin, full])
     some = together.withColumn("keep_id", F.col("best.doc_id")).withColumn("kept", F.col("best.rid") == F.col(rid)).drop("best")
     alone = rows.filter(F.col(full).isNull()).withColumn("group_size", F.lit(1).cast("long")).withColumn("keep_id", F.col("doc_id")).withColumn("kept", F.lit(True))
