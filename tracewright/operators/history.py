@@ -75,32 +75,47 @@ def pr_from_forge(commits: DataFrame, prs: DataFrame) -> DataFrame:
     return found.withColumn("rn", rn).filter("rn = 1").select("sha", "forge_pr")
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, sha): all that each seed reaches along (sha, parent), itself included. A fixpoint of joins; each
-    round follows only what was new, and is checkpointed, so that plans stay small."""
-    seen = checkpointed(seeds.select(F.col("seed"), F.col("seed").alias("sha")).distinct())
-    front = seen
+def descendant_minima(links: DataFrame) -> DataFrame:
+    """(sha, best): for each commit the smallest ``w`` among the links of all paths that lead on from it.
+
+    ``links``: (sha, head, w), from a commit to each of its children, ``w`` of any ordered type or null. The
+    graph is contracted, as trees are: in a round a link whose head has nothing left to follow is settled, one
+    whose head has a single link left takes that link's head, with the smaller ``w`` of both, and links that
+    then lead to the same head become one. So lines of commits halve in each round, and branches that meet
+    again close up: rounds grow with the logarithm of the longest line (and with how deep branches cross, where
+    they never close), and no table holds more rows than commits and links. Each round is written to the shared
+    folder. A commit graph has no cycles; a link to itself is dropped."""
+    links = links.filter("sha <> head").groupBy("sha", "head").agg(F.min("w").alias("w"))
+    state = checkpointed(links)
     while True:
-        step = checkpointed(front.join(edges, "sha").select("seed", F.col("parent").alias("sha")).distinct().join(seen, ["seed", "sha"], "left_anti"))
-        if step.isEmpty():
-            return seen
-        seen, front = checkpointed(seen.unionByName(step)), step
+        left = F.col("head").isNotNull()
+        nodes = state.groupBy(F.col("sha").alias("at")).agg(
+            F.count("head").alias("n"), F.min("head").alias("next"), F.min(F.when(left, F.col("w"))).alias("step"), F.min(F.when(~left, F.col("w"))).alias("known"))
+        if nodes.filter("n > 0").isEmpty():
+            return nodes.filter("known is not null").select(F.col("at").alias("sha"), F.col("known").alias("best"))
+        open_, settled = state.filter(left), state.filter(~left)
+        over = F.col("n").isNull() | (F.col("n") == 0)
+        moved = open_.join(nodes, open_["head"] == nodes["at"], "left").select(
+            "sha", F.when(over, None).when(F.col("n") == 1, F.col("next")).otherwise(F.col("head")).alias("head"),
+            F.when(over, F.least("w", "known")).when(F.col("n") == 1, F.least("w", "known", "step")).otherwise(F.col("w")).alias("w"))
+        moved = moved.filter("(head is null or sha <> head) and (head is not null or w is not null)")
+        state = checkpointed(moved.unionByName(settled).groupBy("sha", "head").agg(F.min("w").alias("w")))
 
 
 def pr_from_merges(commits: DataFrame, edges: DataFrame, history: DataFrame) -> DataFrame:
     """(sha, merge_pr): the oldest merge of a request that descends from the commit, unless the commit was
     reachable from that merge's first parent; then none. ``edges``: (sha, parent, place), ``history``: (sha,
-    subject, ts)."""
+    subject, ts).
+
+    A link into a merge carries (time, hash, whether it comes by another parent than the first, number); the
+    smallest over all paths names the oldest merge, and among the ways into that merge one by its first parent
+    comes before any other. So one contraction answers both questions."""
     number = F.nullif(F.regexp_extract("subject", MERGE_SUBJECT, 1), F.lit("")).try_cast("int")
-    merges = history.withColumn("pr", number).filter("pr is not null").select(F.col("sha").alias("seed"), "pr", "ts")
-    firsts = edges.filter("place = 0").select(F.col("sha").alias("seed"), F.col("parent").alias("first"))
-    plain = edges.select("sha", "parent")
+    merges = history.withColumn("pr", number).filter("pr is not null").groupBy("sha").agg(F.min(F.struct("ts", "pr")).alias("merge"))
+    entry = F.when(F.col("merge").isNotNull(), F.struct(F.col("merge.ts").alias("ts"), F.col("sha").alias("seed"), (F.col("place") != 0).alias("aside"), F.col("merge.pr").alias("pr")))
+    links = edges.join(merges, "sha", "left").select(F.col("parent").alias("sha"), F.col("sha").alias("head"), entry.alias("w"))
     asked = commits.select("sha").distinct()
-    within = ancestors(plain, merges.select("seed")).join(asked, "sha", "left_semi").filter("seed <> sha")
-    before = ancestors(plain, merges.join(firsts, "seed").select(F.col("first").alias("seed"))).join(asked, "sha", "left_semi").select(F.col("seed").alias("first"), "sha", F.lit(True).alias("old"))
-    found = within.join(merges, "seed").join(firsts, "seed", "left").join(before, ["first", "sha"], "left")
-    rn = F.row_number().over(Window.partitionBy("sha").orderBy("ts", "seed"))
-    return found.withColumn("rn", rn).filter("rn = 1 and old is null").select("sha", F.col("pr").alias("merge_pr"))
+    return descendant_minima(links).filter("best.aside").join(asked, "sha", "left_semi").select("sha", F.col("best.pr").alias("merge_pr"))
 
 
 def resolve_prs(commits: DataFrame, merge_prs: DataFrame | None = None, forge_prs: DataFrame | None = None) -> DataFrame:

@@ -80,6 +80,18 @@ def merged_prs(spark, d):
     return history.pr_from_merges(past.select("sha"), edges, past)
 
 
+@query
+def resolved_prs(spark, d):
+    """Requests of all commits: by their subject, then by merges, then by the forge, which knows the first commit of
+    each repository; every third is no longer current and isn't asked for there."""
+    edges, past = commit_graph(spark, d)
+    first = F.sha1(F.concat(F.col("o_orderkey").cast("string"), F.lit("-c")).cast("binary"))
+    forge = h.table(spark, d, "orders").filter("o_orderkey % 64 = 0").select(F.col("o_orderkey").cast("int").alias("number"), F.lit("then").alias("merged_at"), F.array(F.substring(first, 1, 12)).alias("commit_shas"))
+    commits = past.select("sha", F.col("subject").alias("summary"), ((F.col("ts") / 60) % 3 != 0).alias("current"))
+    merged = history.pr_from_merges(commits, edges, past)
+    return history.resolve_prs(commits, merged, history.pr_from_forge(commits, forge)).select("sha", "pr_number")
+
+
 def history_lines(spark, d) -> DataFrame:
     """A log dump of each part: its line items' commits, and before each an older one; some rows are cut short."""
     li = h.table(spark, d, "lineitem")
@@ -171,6 +183,8 @@ ORACLES: dict[str, str] = {
     "hooks": f"WITH {REFS} SELECT channel_name, thread_id, ts_end, array_to_string(list_concat(list_transform(pr_refs, lambda x: '#' || x), commit_shas, file_paths), '|') AS hooks FROM docs",
     "merged_prs": """SELECT sha1(o_orderkey || '-c') AS sha, (o_orderkey // 8 * 8 + 7)::INT AS merge_pr FROM orders
         WHERE o_orderkey % 8 <> 7 AND o_orderkey % 64 <> 0 AND o_orderkey // 8 * 8 + 7 IN (SELECT o_orderkey FROM orders)""",
+    "resolved_prs": """WITH k AS (SELECT o_orderkey AS k, o_orderkey // 8 * 8 + 7 AS m FROM orders)
+        SELECT sha1(k || '-c') AS sha, (CASE WHEN k % 8 = 7 THEN k WHEN k % 64 <> 0 THEN m2.o_orderkey WHEN k % 3 <> 0 THEN k END)::INT AS pr_number FROM k LEFT JOIN orders m2 ON m2.o_orderkey = k.m""",
     "superseded": f"""WITH {BLAME},
         dump AS (SELECT l_partkey AS selection_id, (l_orderkey * 10 + l_linenumber) * 3 AS line_no, sha1(l_orderkey || '-' || l_linenumber)[1:7] AS sha7, epoch(l_shipdate)::BIGINT::DOUBLE AS ts FROM lineitem
                  UNION ALL SELECT l_partkey, (l_orderkey * 10 + l_linenumber) * 3 + 1, sha1(l_orderkey || '-' || l_linenumber || '-old')[1:7], epoch(l_shipdate)::BIGINT::DOUBLE - 2592000 FROM lineitem),
