@@ -5,7 +5,6 @@ import hmac
 import json
 import uuid
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,20 +189,6 @@ def test_vectors_and_fusion(spark):
     assert evaluate.calibrate(spark.createDataFrame([(True, 0.5), (False, 0.8)], "is_null boolean, best_dense double")).first().threshold == pytest.approx(0.65)
 
 
-def test_vector_parts_follow_the_documents(spark):
-    """More blocks of queries than shuffle partitions: a task still holds a bounded part of the documents."""
-    rows = np.random.RandomState(4).standard_normal((600, 4))
-    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "doc_id long, vector array<double>")
-    queries = spark.createDataFrame([(k, rows[k].tolist()) for k in range(0, 600, 10)], "query_id long, vector array<double>")
-    q, d = retrieve.deal_vectors(queries, docs, block=6, part=50)
-    assert d.select("b").distinct().count() > 4
-    assert d.groupBy("b", "p").count().agg({"count": "max"}).first()[0] < 100
-    assert q.join(d, ["b", "p"]).count() == 60 * 600
-    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    got = {(r.query_id, r.rank): r.doc_id for r in retrieve.knn(queries, docs, k=5, block=6, part=50).collect()}
-    assert got == {(k, n + 1): int(j) for k in range(0, 600, 10) for n, j in enumerate(np.argsort(-(unit @ unit[k]), kind="stable")[:5])}
-
-
 def test_bm25_prefers_the_better_field(spark):
     docs = spark.createDataFrame([(1, "retry", "x", ["y"]), (2, "other", "retry retry word", ["y"]), (3, "", "", [])], "doc_id long, summary string, raw_text string, symbols array<string>")
     got = retrieve.bm25(spark.createDataFrame([(9, "Retry?")], "query_id long, text string"), docs).orderBy("rank").collect()
@@ -280,14 +265,6 @@ def test_only_touched_days_are_read(spark, tmp_path):
     assert len({r.f for r in got.select(F.input_file_name().alias("f")).collect()}) < 40
 
 
-def test_block_of_documents_holds_however_many_queries(spark):
-    asks = spark.range(100_000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
-    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
-    q, d = retrieve.deal_vectors(asks, docs)
-    assert q.groupBy("b", "p").count().agg(F.max("count")).first()[0] < 800
-    assert d.groupBy("b", "p").count().agg(F.max("count")).first()[0] < 4_096 and d.select("p").distinct().count() == 3
-
-
 def test_hot_terms_join_only_their_newest_documents(spark):
     rows = [(f"d{k}", k, "symbol", "HOT_NAME") for k in range(500)] + [("old", -5, "pr", "7"), ("old", -5, "symbol", "HOT_NAME"), ("older", -6, "path", "a/b.py")]
     posts = spark.createDataFrame(rows, "doc_id string, ts_end long, kind string, term string")

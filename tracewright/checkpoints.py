@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; where that is unset, a temporary folder serves on one
-    machine (a local master, as in tests), and a cluster is refused."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local")):
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder serves on one machine (a local
+    master, as in tests), and a cluster is refused. The session's checkpoints go there as well."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as it is."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of columns in the shared folder, of which later steps read only what they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
