@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..schemas import CHECKPOINT, DOCUMENTS
+from ..schemas import CHECKPOINT
+from . import snapshots
 
 
 class IndexMismatch(Exception):
@@ -26,20 +27,13 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, DOCUMENTS)
-
-
-def write_documents(docs: DataFrame, path: str, parts: int = 64) -> None:
-    """Replaces only the parts of the index that ``docs`` touch: rows are kept by hash of their id, and a
-    part is written again with the last version of each document."""
-    spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-    docs = docs.withColumn("part", part)
-    old = read_table(spark, path, f"{DOCUMENTS}, part int")
-    touched = old.join(docs.select("part").distinct(), "part", "left_semi").join(docs.select("doc_id"), "doc_id", "left_anti")
-    merged = touched.select(*docs.columns).unionByName(docs)
-    # read and written folders are the same, so the new version is set down first
-    checkpointed(merged).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    """The documents of the last snapshot; none where nothing was committed."""
+    return snapshots.read_index(spark, path)
+
+
+def write_documents(docs: DataFrame, path: str) -> int:
+    """Puts documents by their id, the last version of each; see ``snapshots.commit``."""
+    return snapshots.commit(docs.sparkSession, path, docs)
 
 
 def delete_documents(index: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,16 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ..checkpoints import checkpointed
 from ..operators.sync import affected_bursts, affected_threads, dedupe_messages
 from ..operators.documents import build_documents
-from ..operators.segment import segment
+from ..operators.segment import aggregate_units, keep_units, segment
 from ..settings import DEFAULTS, Settings
-from ..sources.index import write_documents
+from ..sources import snapshots
 from ..sources.messages import NAMES, append_messages, message_day, read_messages, read_touched
+from .bursts import PARTS, OpenBursts
 
 
-def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, settings: Settings = DEFAULTS, parts: int = 64, once: bool = True) -> StreamingQuery:
+def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, settings: Settings = DEFAULTS, once: bool = True) -> StreamingQuery:
     """Incremental sync of a stream of messages: each batch joins the message store at ``store``, and the
     units it touches, late replies' included, are built again whole and written by id to ``index``; so a
-    repeated batch changes nothing. Of the store only the days are read that the batch can touch."""
+    repeated batch changes nothing. Documents and channels' times are committed in one step, once for each batch.
+    Of the store only the days are read that the batch can touch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -30,19 +32,30 @@ def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, se
         append_messages(new.join(old.select("channel_id", "ts_us"), ["channel_id", "ts_us"], "left_anti"), store)
         pool = read_touched(spark, store, new, settings)
         touched = dedupe_messages(affected_threads(pool, new).unionByName(affected_bursts(pool, new, settings)))
-        write_documents(build_documents(segment(touched, settings), settings=settings), index, parts)
+        moved = new.groupBy("channel_name").agg(F.max("ts_us").alias("last_us"))
+        snapshots.commit(spark, index, build_documents(segment(touched, settings), settings=settings), checkpoint=moved, batch=(checkpoint, batch_id))
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def stream_bursts(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(channel_name, start_us, end_us, message_count) of bursts of loose messages, as each closes: session
-    windows of ``gap_seconds``; messages later than the lookback are dropped. A stream's window ends
-    before a message exactly one gap later, which batch would join."""
-    loose = messages.filter("thread_us is null").withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", f"{settings.lookback_days} days")
-    rows = loose.groupBy("channel_name", F.session_window("ts", f"{settings.gap_seconds} seconds")).agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("message_count"))
-    return rows.select("channel_name", "start_us", "end_us", "message_count")
+    """The messages of bursts of loose messages as each closes, with the columns of ``unit_messages``: over any
+    batches the same as in batch, messages exactly one gap apart and windows of ``max_messages`` included.
+
+    Each channel keeps the messages of its open bursts as state, with one timer for the first that may close: when
+    the watermark, which the lookback holds back, is more than a gap past its last message. Then nothing that
+    is still let in can join it. Messages later than the lookback are dropped. State follows the
+    messages of the lookback, by channel. Needs the state store that holds lists, which is set for the session."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    loose = messages.select(*NAMES).filter("thread_us is null").withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", f"{settings.lookback_days} days")
+    return loose.groupBy("channel_name").transformWithState(OpenBursts(settings), PARTS, "Append", "EventTime")
+
+
+def stream_units(messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = DEFAULTS) -> None:
+    """Hands ``sink`` the kept units of closed bursts, batch by batch, until all that is there was read. All windows
+    of a burst close in one batch, so that a batch's units are whole."""
+    run_once(stream_bursts(messages, settings), lambda parts, n: sink(keep_units(aggregate_units(parts, settings), settings), n), checkpoint)
 
 
 def stream_dedupe(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
