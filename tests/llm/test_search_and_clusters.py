@@ -12,8 +12,10 @@ import pytest
 
 from tracewright.llm import lexical_tree
 from tracewright.llm.exact_dedup import exact_duplicates
+from tracewright.llm.itq_links import link_vectors
 from tracewright.llm.lexical_tree import climb, cut_paths, plant, rank_documents, weigh_terms
 from tracewright.llm.threshold_kmeans import cluster_vectors, nearest, sorted_lists
+from tracewright.llm.url_filters import judge_urls
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -172,3 +174,19 @@ def test_runs_are_cut_into_a_shallow_tree():
         for k, own in enumerate(children, len(first)):
             depth[k] = 1 + max(depth.get(c, 0) for c in own)
         assert sorted(c for own in children for c in own) == list(range(len(first) + len(children) - 1)) and max(depth.values()) <= 8
+
+
+def test_an_id_with_several_vectors_links_by_each(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(5, a, "x"), (5, b, "x"), (7, near(a), "x"), (9, near(b), "x"), (3, a, "x"), (5, a, "x"), (11, c, "x"), (11, c, "y"), (12, near(c), "y"), (13, near(c), "z"), (11, b, "w")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {3: (2, 3, True), 5: (3, 3, False), 7: (2, 3, False), 9: (1, 3, False), 11: (1, 11, True), 12: (1, 11, False), 13: (0, 13, True)}
+
+
+def test_a_host_of_many_labels_is_cheap(spark):
+    rules = spark.createDataFrame([("net/", "block"), ("a.b.c.net/x", "allow"), ("net./", "block")], "rule string, action string")
+    long_ = "a." * 40_000 + "b.c.net"
+    urls = [(1, f"http://{long_}/x"), (2, f"http://{long_}/y"), (3, "http://net./"), (4, "http://b.c.net/x"), (5, "http://a.b.c.net/x"), (6, "http://.net/"), (7, "http://cnet/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("a.b.c.net/x", "allow"), 2: ("net/", "block"), 3: ("net./", "block"), 4: ("net/", "block"), 5: ("a.b.c.net/x", "allow"), 6: ("net/", "block"), 7: (None, "allow")}

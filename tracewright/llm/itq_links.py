@@ -138,8 +138,9 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
     """``vec_id, embedding, label`` -> adds ``n_links, component_id, kept`` (other columns are dropped).
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at
-    least ``floor``. Null, zero and non-finite vectors and rows with a null vec_id link with nothing; repeated rows
-    of one vec_id count as that vector once and get the same result.
+    least ``floor``. Null, zero and non-finite vectors and rows with a null vec_id link with nothing; rows that
+    repeat a vec_id and its vector count once. A vec_id with several vectors has the links of all of them, each
+    counted, and its vectors are of one component whether they link or not; all its rows get the same result.
 
     Vectors link within their length. Rotations are fitted for each length of ``FIT_LEAST`` vectors or more,
     on at most ``fit_rows`` of them, the first by hash of their id; every vector is indexed. Equal vectors of a label are one node that carries its number, so that a hot vector is one
@@ -181,9 +182,11 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
     coded = settle(rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(encode, "vec_id long, label string, keys array<long>, unit binary"), "codes")
     # vectors of different lengths are of different labels
     coded = coded.withColumn("label", F.concat_ws(":", F.length("unit"), "label"))
-    member = coded.select("vec_id", "label", F.sha2("unit", 256).alias("same")).distinct()
-    node = member.groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    heads = coded.join(node.select(F.col("node").alias("vec_id"), "label", "copies"), ["vec_id", "label"]).dropDuplicates(["vec_id", "label"])
+    coded = coded.withColumn("same", F.sha2("unit", 256))
+    member = coded.select("vec_id", "label", "same").distinct()
+    # nodes are numbered in the order of their smallest vec_id, which so names a component of nodes
+    node = settle(member.groupBy("label", "same").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).orderBy("first", "label", "same").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    heads = coded.join(node.withColumnRenamed("first", "vec_id"), ["vec_id", "label", "same"]).dropDuplicates(["node"]).select(F.col("node").alias("vec_id"), "label", "keys", "unit", "copies")
 
     slot = heads.select("vec_id", "label", F.posexplode("keys").alias("t", "key"))
     crowd = slot.groupBy("label", "t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -239,10 +242,14 @@ def link_vectors(vectors: DataFrame, floor: float = 0.98, fit_rows: int = FIT_RO
 
     hits = settle(full.select("group", "half", "vec_id", "label", "t", "key", "parts", "part", "keys", "unit", "copies").groupBy("group").applyInArrow(meet, HITS), "hits")
     count = hits.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "node")
-    parts = components(hits.filter("vec_id <> other").select("vec_id", "other").distinct(), "vec_id", "other").select(F.col("id").alias("node"), F.col("label").alias("part"))
+    named = settle(member.join(node, ["label", "same"]).select("vec_id", "node", "first", "copies"), "members")
+    shared = named.groupBy("vec_id").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    bridges = named.join(shared, "vec_id").filter("node <> least").select("node", "least")
+    parts = components(hits.filter("vec_id <> other").select("vec_id", "other").distinct().unionByName(bridges.select(F.col("node").alias("vec_id"), F.col("least").alias("other"))), "vec_id", "other")
+    parts = parts.join(node.select(F.col("node").alias("label"), "first"), "label").select(F.col("id").alias("node"), F.col("first").alias("part"))
     info = (
-        member.join(node, ["label", "same"]).join(count, "node", "left").join(parts, "node", "left")
-        .groupBy("vec_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("part", "node")).alias("component_id"))
+        named.join(count, "node", "left").join(parts, "node", "left")
+        .groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("part", "first")).alias("component_id"))
     )
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(info, "vec_id", "left")

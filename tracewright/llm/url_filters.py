@@ -33,9 +33,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ``rules`` has ``rule`` (string) and ``action`` (``block`` or ``allow``), of any size. A rule fits its
     host and all subdomains where the path starts with the rule's path; the longest fitting rule wins,
     on a tie that with the longer host, then ``block``. Null rules and rules without a host are
-    ignored; no rule: ``default``. Each distinct (host, path) is expanded once into its host suffixes
-    and into the path prefixes of the lengths that occur in rules, so that the expansion stays small
-    whatever the rules are; expressions and rules meet on the first hex digits of their digests, then
+    ignored; no rule: ``default``. Each distinct (host, path) is expanded once into its host suffixes of the
+    numbers of labels, and its path prefixes of the lengths, that occur in rules, so that the expansion stays
+    small whatever the rules are and however long a host is; expressions and rules meet on the first hex digits of their digests, then
     full digests decide. Rules are broadcast only where Spark knows them to be small; otherwise the
     same equi-join shuffles. Columns of ``pages`` named like the added ones are replaced; no row is
     lost or doubled, repeated and null rows included.
@@ -46,14 +46,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .filter("rh <> ''").select("rule", "action", "rh", "rp", F.sha2(F.concat(F.lit("h:"), "rh", F.lit("\n"), "rp"), 256).alias("rd"))
         .withColumn("rk", F.substring("rd", 1, SPACE))
     )
-    widths = known.agg(F.coalesce(F.sort_array(F.collect_set(F.length("rp"))), F.array().cast("array<int>")).alias("widths"))
+    n_labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    each = lambda c: F.coalesce(F.sort_array(F.collect_set(c)), F.array().cast("array<int>"))
+    shapes = known.agg(each(F.length("rp")).alias("widths"), each(n_labels(F.col("rh"))).alias("depths"))
 
     judged = pages.drop("host", "path", "rule", "verdict").withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
-    asked = judged.select("host", "path").filter("host <> ''").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    asked = judged.select("host", "path").filter("host <> ''").distinct().withColumn("labels", n_labels(F.col("host")))
     grown = (
-        asked.withColumn("hs", suffix).filter("hs <> ''").crossJoin(F.broadcast(widths))  # one row of lengths
+        asked.crossJoin(F.broadcast(shapes))  # one row of lengths
+        .withColumn("depth", F.explode("depths")).filter("labels >= depth").withColumn("hs", F.expr("substring_index(host, '.', -depth)")).filter("hs <> ''")
         .withColumn("width", F.explode("widths")).filter(F.length("path") >= F.col("width"))
         .withColumn("xd", F.sha2(F.concat(F.lit("h:"), "hs", F.lit("\n"), F.expr("substring(path, 1, width)")), 256))
         .withColumn("xk", F.substring("xd", 1, SPACE))
