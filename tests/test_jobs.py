@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 import uuid
 
 import pytest
@@ -248,18 +249,93 @@ def test_streamed_sync_equals_batch(spark, tmp_path):
     seen = []
     streams.run_once(streams.stream_dedupe(spark.readStream.schema(MESSAGES).parquet(source)), lambda df, _: seen.extend(df.collect()), str(tmp_path / "cp2"))
     assert len(seen) == 9
+    fresh = []
+    for late in (m, m.filter("text = 't0'").withColumn("text", F.lit("again")), messages(spark, [("b", "u", "first", -90 * 86_400, None, ())])):
+        late.coalesce(1).write.mode("append").parquet(source)
+        streams.stream_unique(spark.readStream.schema(MESSAGES).parquet(source), str(tmp_path / "keys"), lambda df, _: fresh.extend(r.text for r in df.collect()), str(tmp_path / "cp4"))
+    assert sorted(fresh) == sorted([*(f"t{k}" for k in range(5)), *(f"r{k}" for k in range(4)), "first"])
+
+
+def test_a_repeated_batch_gives_its_rows_again(spark, tmp_path):
+    """A batch that died after its keys were written: its rows are no duplicates of themselves; another's are."""
+    m = messages(spark, [("a", "u", f"t{k}", k * 60, None, ()) for k in range(5)])
+    seen, keys = [], str(tmp_path / "keys")
+    sink = lambda df, _: seen.append(sorted(r.text for r in df.collect()))
+    streams.pass_unseen(m.limit(3), 4, keys, sink)
+    streams.pass_unseen(m.limit(3), 4, keys, sink)
+    streams.pass_unseen(m, 5, keys, sink)
+    assert seen == [["t0", "t1", "t2"], ["t0", "t1", "t2"], ["t3", "t4"]]
 
 
 def test_only_touched_days_are_read(spark, tmp_path):
     store, day = str(tmp_path / "store"), 86_400
     rows = [("a", "ann", f"m{k}", k * day, None, []) for k in range(100)] + [("a", "bob", "reply", 60 * day, 3 * day, []), ("a", "bob", "root", 3 * day, 3 * day, [])]
-    message_store.append_messages(messages(spark, rows), store)
     new = messages(spark, [("a", "cy", "late reply", 99 * day, 3 * day, []), ("a", "cy", "loose", 80 * day + 60, None, [])])
+    for part in (messages(spark, rows), new, new):
+        message_store.append_slots(part, store)
+    message_store.append_messages(messages(spark, rows), store)
     got = message_store.read_touched(spark, store, new)
-    assert {r.text for r in got.collect()} == {"reply", "root", *(f"m{k}" for k in range(66, 95))}
+    assert {r.text for r in got.collect()} == {"reply", "root", "m80"}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert len({r.f for r in got.select(F.input_file_name().alias("f")).collect()}) < 40
+    assert len({r.f for r in got.select(F.input_file_name().alias("f")).collect()}) < 8
+
+
+def test_a_burst_longer_than_the_lookback_is_read_whole(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = messages(spark, [("a", "u", f"m{k}", k * 2500, None, []) for k in range(800)] + [("a", "u", f"x{k}", 800 * 2500 + 10_000 + k, None, []) for k in range(3)] + [("b", "u", "other", 5, None, [])])
+    new = messages(spark, [("a", "u", "bridge", 800 * 2500 + 200, None, [])])
+    for part in (rows, new):
+        message_store.append_slots(part, store)
+    message_store.append_messages(rows, store)
+    got = {r.text for r in message_store.read_touched(spark, store, new).collect()}
+    assert got == {f"m{k}" for k in range(800)}  # 23 days; the burst after the gap and the other channel aren't read
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slots_cut_bursts_where_gaps_do(spark, seed):
+    rng = random.Random(seed)
+    times, at = [], 0
+    for _ in range(300):
+        at += rng.choice([0, 1, 900_000_000, 2_699_999_999, 2_700_000_000, 2_700_000_001, 9_000_000_000])
+        times.append(at)
+    m = spark.createDataFrame([("Ca", "a", 2, "u", "u", f"m{k}", T0 + t, None, []) for k, t in enumerate(times)], MESSAGES)
+    roots, want = {r.text: r.root_us - T0 for r in segment.burst_units(m).collect()}, {}
+    for k, t in enumerate(times):
+        root = t if not k or t - times[k - 1] > 2_700_000_000 else root
+        want[f"m{k}"] = root
+    assert roots == want
+    gaps = [b - a for a, b in zip(times, times[1:], strict=False)]
+    row = segment.gap_report(m).first()
+    rank = lambda f: sorted(gaps)[max(int(round(f * len(gaps))), 1) - 1] / 1_000_000
+    assert (row.p50_gap, row.p90_gap, row.max_gap) == (rank(0.5), rank(0.9), max(gaps) / 1_000_000)
+    asked = spark.createDataFrame([("Ca", T0 + times[150])], "channel_id string, ts_us long")
+    pool = sync.requested_messages(m, asked)
+    assert {r.text for r in pool.collect()} == {k for k, v in want.items() if v == want["m150"]} - {f"m{k}" for k, t in enumerate(times) if k and t == times[k - 1]}
+    if seed == 0:
+        plan = pool._jdf.queryExecution().analyzed().toString()
+        assert plan.index("Window [row_number()") < plan.index("LeftSemi")  # windows stand above the semi-joins
+
+
+def test_quantiles_of_gaps_take_digits(spark):
+    rng = random.Random(9)
+    values = {"a": [rng.randrange(1 << 40) for _ in range(500)], "b": [7] * 300 + [1 << 45], "c": [0]}
+    gaps = spark.createDataFrame([(c, g) for c, own in values.items() for g in own], "channel_name string, gap long")
+    got = {r.channel_name: (r.p50, r.p90, r.largest) for r in segment.quantile_gaps(gaps, {"p50": 0.5, "p90": 0.9}).collect()}
+    rank = lambda own, f: sorted(own)[max(int(round(f * len(own))), 1) - 1]
+    assert got == {c: (rank(own, 0.5), rank(own, 0.9), max(own)) for c, own in values.items()}
+    assert segment.quantile_gaps(gaps.limit(0), {"p50": 0.5}).count() == 0
+
+
+def test_long_lines_and_rings_of_a_graph(spark, monkeypatch):
+    line = [("s", "code" if not k else f"n{k - 1}", f"n{k}") for k in range(100)] + [("s", "n50", "n20"), ("s", "n99", "code")]
+    ring = [("s", f"r{k}", f"r{(k + 1) % 3}") for k in range(3)] + [("s", "r0", "tail"), ("t", "x", "y"), ("t", "code", "z"), ("t", "y", "w"), ("t", "z", "w")]
+    edges = spark.createDataFrame([*line, *ring], "selection_id string, source string, target string")
+    ids = {(s, n) for s, a, b in [*line, *ring] for n in (a, b)}
+    rounds, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(0) or plain(df))
+    got = {(r.selection_id, r.id) for r in graph.reachable(spark.createDataFrame(sorted(ids), "selection_id string, id string"), edges).filter("linked").collect()}
+    assert got == {("s", "code"), ("t", "code"), ("t", "z"), ("t", "w"), *(("s", f"n{k}") for k in range(100))} and len(rounds) < 30
 
 
 def test_hot_terms_join_only_their_newest_documents(spark):

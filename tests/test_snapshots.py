@@ -3,15 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.schemas import DOCUMENTS
+from tracewright.operators import sync
+from tracewright.schemas import DOCUMENTS, columns
 from tracewright.sources import snapshots
 
 
 def docs(spark, ids, text):
     rows = spark.createDataFrame([(i,) for i in ids], "doc_id string")
-    from tracewright.schemas import columns
-
-    own = {"raw_text": F.lit(text), "symbols": F.array(F.lit(text))}
+    own = {"raw_text": F.lit(text), "content_hash": F.lit(text), "symbols": F.array(F.lit(text))}
     return rows.select("doc_id", *[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns(DOCUMENTS) if n != "doc_id"])
 
 
@@ -42,7 +41,7 @@ def test_commits_removals_and_compaction(spark, tmp_path):
     assert texts(spark, path) == want and texts(spark, path, 2) == {"a": "one", "b": "two", "c": "one", "d": "two"}
     assert snapshots.snapshot(spark, path)["deltas"] == [] and times(spark, path) == {"x": 5, "y": 9, "z": 1}
     snapshots.vacuum(spark, path, keep=1, older_than_seconds=-60)
-    assert texts(spark, path) == want and snapshots.versions(spark, path) == [4] and len(list((tmp_path / "index" / "data").iterdir())) == 2
+    assert texts(spark, path) == want and snapshots.versions(spark, path) == [4] and len(list((tmp_path / "index" / "data").iterdir())) == 3
 
 
 def test_many_deltas_are_compacted(spark, tmp_path):
@@ -80,6 +79,27 @@ def test_a_writer_that_dies_leaves_the_last_snapshot(spark, tmp_path, monkeypatc
     assert {f.name for f in (tmp_path / "index" / "data").iterdir()} == named and texts(spark, path, 1) == {"a": "old", "b": "old"}
 
 
+def test_reconcile_reads_changed_parts_alone(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = docs(spark, [f"d{k}" for k in range(2000)], "text").withColumn("content_hash", F.sha2("doc_id", 256))
+    snapshots.commit(spark, path, rows)
+    snapshots.compact(spark, path, part_rows=20)
+    assert snapshots.snapshot(spark, path)["bits"] == 7
+    source = rows.filter("doc_id <> 'd7'").withColumn("content_hash", F.when(F.col("doc_id") == "d9", F.lit("x")).otherwise(F.col("content_hash"))).unionByName(docs(spark, ["new"], "n"))
+    report, same = snapshots.reconcile_committed(spark, path, source)
+    whole = sync.reconcile(source, snapshots.read_index(spark, path))
+    key = lambda df: {(r.doc_id, r.status) for r in df.filter("status <> 'same'").collect()}
+    assert key(report) == key(whole) == {("d7", "stale"), ("d9", "changed"), ("new", "missing")}
+    assert same + report.filter("status = 'same'").count() == whole.filter("status = 'same'").count() == 1998
+    parts, _ = snapshots.changed_parts(spark, path, source)
+    read = snapshots.read_index(spark, path, parts=parts)
+    assert 1 <= len(parts) <= 3 and {f.split("part=")[1].split("/")[0] for f in read.select(F.input_file_name().alias("f")).distinct().toPandas().f} == set(map(str, parts))
+    assert snapshots.reconcile_committed(spark, path, rows)[1] == 2000
+    snapshots.commit(spark, path, docs(spark, ["d1"], "newer"))  # a delta makes its part one to read
+    report, same = snapshots.reconcile_committed(spark, path, rows)
+    assert key(report) == {("d1", "changed")} and same < 2000
+
+
 def test_of_two_writers_of_a_version_one_fails(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "index")
     seen = snapshots.snapshot(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions.extract import carries_signal
 from ..settings import DEFAULTS, Settings
 
@@ -25,26 +26,49 @@ def thread_units(messages: DataFrame) -> DataFrame:
     return messages.filter("thread_us is not null").withColumn("kind", F.lit("thread")).withColumn("root_us", F.col("thread_us"))
 
 
+def slot(settings: Settings = DEFAULTS) -> Column:
+    """The stretch of ``gap_seconds`` that a message falls into. Messages of one slot are less than a gap apart, so
+    they are always of one burst."""
+    return F.floor(F.col("ts_us") / (settings.gap_seconds * 1_000_000)).cast("long")
+
+
+def slots_of(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(channel_name, slot, first_us, last_us) of loose messages. What slots are known of can be added to: the
+    least and the greatest of two tables of slots are those of their messages together."""
+    loose = messages.filter("thread_us is null")
+    return loose.select("channel_name", slot(settings).alias("slot"), F.col("ts_us").alias("first_us"), F.col("ts_us").alias("last_us")).groupBy("channel_name", "slot").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def burst_slots(slots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Slots with ``before_us``, the last message before them, and ``root_us``, the first message of their burst: a
+    gap of more than ``gap_seconds`` begins a new one. A channel has 32 slots a day at most, however many
+    messages; only these are put in order."""
+    whole = Window.partitionBy("channel_name").orderBy("slot")
+    rows = slots.withColumn("before_us", F.lag("last_us").over(whole))
+    begins = F.when(F.col("before_us").isNull() | (F.col("first_us") - F.col("before_us") > settings.gap_seconds * 1_000_000), F.col("first_us"))
+    return rows.withColumn("root_us", F.last(begins, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def burst_spans(slots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(channel_name, root_us, end_us) of bursts."""
+    return burst_slots(slots, settings).groupBy("channel_name", "root_us").agg(F.max("last_us").alias("end_us"))
+
+
+def slots_of_bursts(slots: DataFrame, touched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(channel_name, slot): all slots of the bursts that hold one of the ``touched`` slots; only channels that are
+    touched are put in order."""
+    near = slots.join(touched.select("channel_name").distinct(), "channel_name", "left_semi")
+    bursts = burst_slots(near, settings)
+    roots = bursts.join(touched.select("channel_name", "slot").distinct(), ["channel_name", "slot"], "left_semi").select("channel_name", "root_us").distinct()
+    return bursts.join(roots, ["channel_name", "root_us"], "left_semi").select("channel_name", "slot")
+
+
 def burst_units(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Loose messages with ``root_us``, the first message of their burst: a gap of more than
-    ``gap_seconds`` begins a new one.
-
-    Gaps are looked at within (channel, day), and only one row for each day goes on to a window over the
-    channel, which carries the last message and the last beginning across midnight; so a busy channel
-    isn't sorted in one task.
-    """
-    loose = messages.filter("thread_us is null").withColumn("day", F.floor(F.col("ts_us") / 86_400_000_000))
-    gap = settings.gap_seconds * 1_000_000
-    within = Window.partitionBy("channel_name", "day").orderBy(*ORDER)
-    by_day = Window.partitionBy("channel_name").orderBy("day")
-    keys = ["channel_name", "day"]
-    ends = loose.groupBy(*keys).agg(F.max("ts_us").alias("last_us")).withColumn("before_us", F.lag("last_us").over(by_day)).drop("last_us")
-    gaps = loose.join(ends, keys).withColumn("prev_us", F.coalesce(F.lag("ts_us").over(within), "before_us"))
-    gaps = gaps.withColumn("start_us", F.when(F.col("prev_us").isNull() | (F.col("ts_us") - F.col("prev_us") > gap), F.col("ts_us")))
-    carried = gaps.groupBy(*keys).agg(F.max("start_us").alias("last_start"))
-    carried = carried.withColumn("carried", F.last("last_start", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))).drop("last_start")
-    found = gaps.join(carried, keys).withColumn("root_us", F.coalesce(F.max("start_us").over(within.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
-    return found.withColumn("kind", F.lit("burst")).drop("day", "before_us", "prev_us", "start_us", "carried")
+    """Loose messages with ``root_us``, the first message of their burst. Messages are only added up by slot and
+    then meet their slot's row: none are sorted, in a busy channel neither."""
+    loose = messages.filter("thread_us is null").withColumn("slot", slot(settings))
+    roots = burst_slots(slots_of(messages, settings), settings).select("channel_name", "slot", "root_us")
+    return loose.join(roots, ["channel_name", "slot"]).withColumn("kind", F.lit("burst")).drop("slot")
 
 
 def solo_units(messages: DataFrame) -> DataFrame:
@@ -97,22 +121,39 @@ def segment(messages: DataFrame, settings: Settings = DEFAULTS, min_messages: in
     return keep_units(aggregate_units(unit_messages(messages, settings), settings), settings, min_messages)
 
 
+DIGIT = 12  # bits of a gap that one pass of the selection settles
+
+
+def quantile_gaps(gaps: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(channel_name, largest, and one column for each share): nearest-rank quantiles of ``gap`` by channel, exact.
+
+    A pass counts the gaps that still may be the one by their next ``DIGIT`` bits, highest first, and the counts
+    tell which digit holds the rank: what is put in order are at most 4,096 counts for each channel and share.
+    Passes grow with the bits of the largest gap, not with the number of gaps."""
+    gaps = written(gaps.select("channel_name", "gap"))
+    totals = written(gaps.groupBy("channel_name").agg(F.count("*").alias("n"), F.max("gap").alias("largest")))
+    bits = int(totals.agg(F.max("largest")).first()[0] or 0).bit_length()
+    rank = lambda f: F.least(F.greatest(F.bround(F.lit(f) * F.col("n")), F.lit(1)), F.col("n")).cast("long")
+    sought = totals.select("channel_name", F.explode(F.array(*[F.struct(F.lit(name).alias("share"), rank(f).alias("rank")) for name, f in shares.items()])).alias("s")).select("channel_name", "s.*", F.lit(0).cast("long").alias("prefix"))
+    for shift in range((max(bits, 1) - 1) // DIGIT * DIGIT, -1, -DIGIT):
+        digit = F.shiftright("gap", shift).bitwiseAND((1 << DIGIT) - 1)
+        counts = gaps.join(sought, "channel_name").filter(F.shiftright("gap", shift + DIGIT) == F.col("prefix")).groupBy("channel_name", "share", "rank", "prefix", digit.alias("digit")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("channel_name", "share").orderBy("digit"))
+        found = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        sought = written(found.select("channel_name", "share", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix")))
+    wide = sought.groupBy("channel_name").agg(*[F.max(F.when(F.col("share") == name, F.col("prefix"))).alias(name) for name in shares])
+    return totals.select("channel_name", "largest").join(wide, "channel_name")
+
+
 def gap_report(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per channel, over loose messages: number, nearest-rank median and 90th percentile of gaps, largest
-    gap, and whether gaps carry no boundary. Counts per gap come first, so equal gaps are one row."""
-    loose = messages.filter("thread_us is null").withColumn("day", F.floor(F.col("ts_us") / 86_400_000_000))
+    gap, and whether gaps carry no boundary. Gaps are looked at within slots and to the slot before."""
     counts = messages.groupBy("channel_name").agg(F.sum(F.col("thread_us").isNull().cast("long")).alias("loose_messages"))
-    by_day = Window.partitionBy("channel_name").orderBy("day")
-    ends = loose.groupBy("channel_name", "day").agg(F.max("ts_us").alias("last_us")).withColumn("before_us", F.lag("last_us").over(by_day)).drop("last_us")
-    within = Window.partitionBy("channel_name", "day").orderBy("ts_us")
-    gaps = loose.join(ends, ["channel_name", "day"]).withColumn("gap", F.col("ts_us") - F.coalesce(F.lag("ts_us").over(within), "before_us")).filter("gap is not null")
-    tally = gaps.groupBy("channel_name", "gap").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("channel_name")
-    tally = tally.withColumn("upto", F.sum("n").over(whole.orderBy("gap"))).withColumn("total", F.sum("n").over(whole))
-    rank = lambda f: F.least(F.greatest(F.bround(F.lit(f) * F.col("total")), F.lit(1)), F.col("total"))
-    at = lambda f: F.min(F.when(F.col("upto") >= rank(f), F.col("gap")))
-    stats = tally.groupBy("channel_name").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("gap").alias("largest"))
-    out = counts.join(stats, "channel_name", "left")
+    loose = messages.filter("thread_us is null").withColumn("slot", slot(settings))
+    before = burst_slots(slots_of(messages, settings), settings).select("channel_name", "slot", "before_us")
+    within = Window.partitionBy("channel_name", "slot").orderBy("ts_us")
+    gaps = loose.join(before, ["channel_name", "slot"]).withColumn("gap", F.col("ts_us") - F.coalesce(F.lag("ts_us").over(within), "before_us")).filter("gap is not null")
+    out = counts.join(quantile_gaps(gaps, {"p50": 0.5, "p90": 0.9}), "channel_name", "left")
     second = lambda c: F.coalesce(F.col(c), F.lit(0)) / 1_000_000
     out = out.select("channel_name", "loose_messages", second("p50").alias("p50_gap"), second("p90").alias("p90_gap"), second("largest").alias("max_gap"))
     return out.withColumn("degenerate", (F.col("loose_messages") > settings.min_messages) & (F.col("p90_gap") < settings.degenerate_p90_seconds))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpointed
 from ..settings import DEFAULTS, Settings
 from .documents import build_documents
-from .segment import aggregate_units, burst_units, keep_units, segment, unit_messages
+from .segment import segment, slot, slots_of, slots_of_bursts
 
 
 def new_messages(messages: DataFrame, checkpoint: DataFrame) -> DataFrame:
@@ -29,14 +29,14 @@ def affected_threads(messages: DataFrame, new: DataFrame) -> DataFrame:
     return messages.join(keys, ["channel_name", "thread_us"], "left_semi")
 
 
-def affected_bursts(messages: DataFrame, new: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Loose messages that gaps chain to a new one: bursts of the whole pool, those that hold a new one."""
-    loose = new.filter("thread_us is null").select("channel_name", "ts_us").distinct()
+def affected_bursts(messages: DataFrame, new: DataFrame, settings: Settings = DEFAULTS, slots: DataFrame | None = None) -> DataFrame:
+    """Loose messages that gaps chain to a new one: those in slots of bursts that hold a new one. ``slots``: known
+    ones (see ``segment.slots_of``), else those of ``messages``; no message is sorted."""
+    loose = new.filter("thread_us is null")
     if not settings.trust_time:
-        return messages.filter("thread_us is null").join(loose, ["channel_name", "ts_us"], "left_semi")
-    bursts = burst_units(messages, settings)
-    touched = bursts.join(loose, ["channel_name", "ts_us"], "left_semi").select("channel_name", "root_us").distinct()
-    return bursts.join(touched, ["channel_name", "root_us"], "left_semi").select(*messages.columns)
+        return messages.filter("thread_us is null").join(loose.select("channel_name", "ts_us").distinct(), ["channel_name", "ts_us"], "left_semi")
+    whole = slots_of_bursts(slots_of(messages, settings) if slots is None else slots, loose.select("channel_name", slot(settings).alias("slot")), settings)
+    return messages.filter("thread_us is null").withColumn("slot", slot(settings)).join(whole, ["channel_name", "slot"], "left_semi").select(*messages.columns)
 
 
 def dedupe_messages(messages: DataFrame, rank: str | None = None) -> DataFrame:
@@ -90,12 +90,16 @@ def documents_in(index: DataFrame, channel_name: str, since: int) -> DataFrame:
     return index.filter((F.col("channel_name") == channel_name) & (F.col("ts_start") >= since))
 
 
+def requested_messages(messages: DataFrame, asked: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All messages of the units that hold the asked ones (channel_id, ts_us). Semi-joins alone: by thread, and by the
+    slots of bursts; what comes after segments no more than this."""
+    named = messages.join(asked.select("channel_id", "ts_us").distinct(), ["channel_id", "ts_us"], "left_semi")
+    return dedupe_messages(affected_threads(messages, named).unionByName(affected_bursts(messages, named, settings)))
+
+
 def index_requested(messages: DataFrame, asked: DataFrame, index: DataFrame, summaries: DataFrame | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(index, written documents): the whole units of the asked messages (channel_id, ts_us), however small,
-    as bookmarked documents."""
-    parts = unit_messages(dedupe_messages(messages), settings)
-    units = keep_units(aggregate_units(parts, settings), settings, min_messages=1)
-    key = ["channel_name", "kind", "root_us"]
-    hit = parts.join(asked.select("channel_id", "ts_us").distinct(), ["channel_id", "ts_us"], "left_semi").select(*key).distinct()
-    docs = build_documents(units.join(hit, key, "left_semi"), summaries, F.lit(True), settings)
+    as bookmarked documents. Only these units are segmented."""
+    units = segment(requested_messages(messages, asked, settings), settings, min_messages=1)
+    docs = build_documents(units, summaries, F.lit(True), settings)
     return upsert(index, docs), docs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from ..functions import clean, extract, identity
-from ..operators import graph, history, merge, model_output, retrieve, segment
+from ..operators import graph, history, merge, model_output, retrieve, segment, sync
 from ..settings import DEFAULTS
 from . import harness as h
 from .oracles import BLAME, GRAPH, MESSAGES, REFS, SELECTIONS, UNITS
@@ -129,6 +129,21 @@ def unlinked_nodes(spark, d):
     return graph.reachable(nodes, edges).groupBy("type", "linked").agg(F.count("*").alias("n"))
 
 
+@query
+def node_rows(spark, d):
+    """Every node of every graph, and whether the code leads there."""
+    nodes, edges = (checkpointed(t) for t in whole_graph(spark, d))
+    return graph.reachable(nodes, edges).select("selection_id", "id", "type", "linked")
+
+
+@query
+def requested_rows(spark, d):
+    """The documents of every unit that one of every fifty message times asks for."""
+    m = h.messages(spark, d)
+    _, docs = sync.index_requested(m, m.filter("pmod(ts_us, 50) = 0").select("channel_id", "ts_us"), h.documents(spark, d))
+    return docs.select("channel_name", "thread_id", "message_count", "is_bookmarked", F.sha2("raw_text", 256).alias("sha256"))
+
+
 @query
 def fused_graphs(spark, d):
     """The graph beside a private copy of it in which commits have other names and one kind of edge another type."""
@@ -199,6 +214,11 @@ ORACLES: dict[str, str] = {
     "unlinked_nodes": f"""WITH RECURSIVE {GRAPH}, {NODES},
         reach AS (SELECT selection_id, 'code' AS id FROM nodes WHERE id = 'code' UNION SELECT e.selection_id, e.target FROM reach r JOIN edges e ON e.selection_id = r.selection_id AND e.source = r.id)
         SELECT type, r.id IS NOT NULL AS linked, count(*) AS n FROM nodes n LEFT JOIN reach r USING (selection_id, id) GROUP BY 1, 2""",
+    "node_rows": f"""WITH RECURSIVE {GRAPH}, {NODES},
+        reach AS (SELECT selection_id, 'code' AS id FROM nodes WHERE id = 'code' UNION SELECT e.selection_id, e.target FROM reach r JOIN edges e ON e.selection_id = r.selection_id AND e.source = r.id)
+        SELECT selection_id, id, type, r.id IS NOT NULL AS linked FROM nodes n LEFT JOIN reach r USING (selection_id, id)""",
+    "requested_rows": f"""WITH {UNITS}, k AS (SELECT DISTINCT channel_name, kind, root_us FROM parts WHERE ts_us % 50 = 0)
+        SELECT channel_name, thread_id, message_count::BIGINT AS message_count, true AS is_bookmarked, sha256(raw_text) AS sha256 FROM allunits SEMI JOIN k USING (channel_name, kind, root_us)""",
     "fused_graphs": f"""WITH {GRAPH}, {NODES}
         SELECT 'node ' || type AS what, 'shared' AS scope, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'node Commit', 'user_private', count(*) FROM nodes WHERE type = 'Commit' HAVING count(*) > 0
         UNION ALL SELECT 'edge ' || type, confidence, count(*) FROM edges GROUP BY 1, 2 UNION ALL SELECT 'edge WITHIN', 'z', count(*) FROM edges WHERE type = 'PART_OF' HAVING count(*) > 0""",

@@ -9,15 +9,18 @@ import uuid
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sync import reconcile
 from ..schemas import CHECKPOINT, DOCUMENTS, columns
 
 MANIFESTS, DATA = "manifests", "data"
 DELTA = f"{DOCUMENTS}, seq long, gone boolean"
 NAMES = [name for name, _ in columns(DOCUMENTS)]
-EMPTY: dict[str, Any] = {"version": 0, "base": None, "deltas": [], "checkpoint": None, "batches": {}}
+EMPTY: dict[str, Any] = {"version": 0, "base": None, "bits": 0, "digests": None, "deltas": [], "checkpoint": None, "batches": {}}
+PART_ROWS = 100_000  # documents of a part of the base, about
+DIGESTS = "part int, n long, digest long"
 
 
 class CommitConflict(Exception):
@@ -88,15 +91,28 @@ def _put(df: DataFrame, path: str) -> str:
     return name
 
 
-def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def part_of(bits: int) -> Column:
+    """The part of the base that an id belongs to, of 2 ** bits."""
+    return F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1).cast("int")
+
+
+def digests(docs: DataFrame, bits: int) -> DataFrame:
+    """(part, n, digest) of documents (doc_id, content_hash): rows with the same ids and hashes have the same."""
+    return docs.groupBy(part_of(bits).alias("part")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id", F.lit("|"), "content_hash")).alias("digest"))
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None, parts: list[int] | None = None) -> DataFrame:
     """The documents of a snapshot: of each id its newest row among the deltas, unless that removes it, else the
-    base's. Only ids of deltas are looked up; the base isn't shuffled where these are few."""
+    base's. Only ids of deltas are looked up; the base isn't shuffled where these are few. ``parts``: of the base's
+    folders only these are read."""
     m = snapshot(spark, path, version)
     at = lambda name: f"{path}/{DATA}/{name}"
-    base = spark.read.schema(DOCUMENTS).parquet(at(m["base"])) if m["base"] else spark.createDataFrame([], DOCUMENTS)
+    base = spark.read.schema(f"{DOCUMENTS}, part int").parquet(at(m["base"])) if m["base"] else spark.createDataFrame([], f"{DOCUMENTS}, part int")
+    base = (base if parts is None else base.filter(F.col("part").isin(parts))).select(*NAMES)
     if not m["deltas"]:
         return base
     deltas = spark.read.schema(DELTA).parquet(*map(at, m["deltas"]))
+    deltas = deltas if parts is None else deltas.filter(part_of(m["bits"]).isin(parts))
     newest = deltas.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in deltas.columns if c != "doc_id"]), "seq").alias("d")).select("doc_id", "d.*")
     return base.join(newest.select("doc_id"), "doc_id", "left_anti").unionByName(newest.filter("not gone").select(*NAMES))
 
@@ -134,21 +150,48 @@ def commit(spark: SparkSession, path: str, docs: DataFrame | None = None, gone:
     return compact(spark, path) if len(new["deltas"]) > most_deltas else new["version"]
 
 
-def compact(spark: SparkSession, path: str) -> int:
-    """The same documents as one base without deltas, as a new version. Readers of older ones keep theirs."""
+def compact(spark: SparkSession, path: str, part_rows: int = PART_ROWS) -> int:
+    """The same documents as one base without deltas, as a new version. Readers of older ones keep theirs. The base
+    lies in folders by hash of the id, about ``part_rows`` in each and 4,096 at most, with a digest of each."""
     m = snapshot(spark, path)
     if not m["deltas"]:
         return m["version"]
-    _publish(spark, path, m | {"version": m["version"] + 1, "base": _put(read_index(spark, path, m["version"]), path), "deltas": []})
+    whole = read_index(spark, path, m["version"])
+    bits = min(12, max(0, whole.count() // part_rows).bit_length())
+    name = uuid.uuid4().hex
+    whole.withColumn("part", part_of(bits)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/{DATA}/{name}")
+    base = spark.read.schema(f"{DOCUMENTS}, part int").parquet(f"{path}/{DATA}/{name}")
+    _publish(spark, path, m | {"version": m["version"] + 1, "base": name, "bits": bits, "digests": _put(digests(base, bits), path), "deltas": []})
     return m["version"] + 1
 
 
+def changed_parts(spark: SparkSession, path: str, source: DataFrame) -> tuple[list[int], int]:
+    """(parts in which ``source`` (doc_id, content_hash) differs from the index, or may; documents of all other parts).
+    Digests that were written with the base are compared, a row for each part; parts that deltas touch count
+    as changed. No document of the index is read."""
+    m = snapshot(spark, path)
+    known = spark.read.schema(DIGESTS).parquet(f"{path}/{DATA}/{m['digests']}") if m["digests"] else spark.createDataFrame([], DIGESTS)
+    have = known.select("part", F.col("n").alias("had"), F.col("digest").alias("old"))
+    both = digests(source, m["bits"]).join(have, "part", "full_outer").select("part", "n", (F.col("n").eqNullSafe(F.col("had")) & F.col("digest").eqNullSafe(F.col("old"))).alias("same")).collect()  # 4,096 rows at most
+    touched = {r.part for r in spark.read.schema(DELTA).parquet(*[f"{path}/{DATA}/{d}" for d in m["deltas"]]).select(part_of(m["bits"]).alias("part")).distinct().collect()} if m["deltas"] else set()
+    differ = {r.part for r in both if not r.same} | touched
+    return sorted(differ), sum(r.n for r in both if r.part not in differ)
+
+
+def reconcile_committed(spark: SparkSession, path: str, source: DataFrame) -> tuple[DataFrame, int]:
+    """(report of ``sync.reconcile`` over the parts that may differ, number of documents elsewhere, which are the same).
+    Parts with equal digests are neither read nor shuffled."""
+    parts, same = changed_parts(spark, path, source)
+    bits = snapshot(spark, path)["bits"]
+    return reconcile(source.filter(part_of(bits).isin(parts)), read_index(spark, path, parts=parts)), same
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than_seconds: float = 7 * 86_400) -> None:
     """Removes manifests but for the last ``keep``, and folders that none of these names and that no writer can
     still be filling: those untouched for ``older_than_seconds``."""
     known = versions(spark, path)
     kept = [snapshot(spark, path, v) for v in known[-keep:]]
-    named = {name for m in kept for name in (m["base"], m["checkpoint"], *m["deltas"])}
+    named = {name for m in kept for name in (m["base"], m["digests"], m["checkpoint"], *m["deltas"])}
     _, fs = _files(spark, path)
     for v in known[:-keep]:
         fs.delete(_files(spark, f"{path}/{MANIFESTS}/{v:012d}.json")[0], False)

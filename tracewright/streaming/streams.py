@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..checkpoints import checkpointed
-from ..operators.sync import affected_bursts, affected_threads, dedupe_messages
+from ..operators.sync import dedupe_messages
 from ..operators.documents import build_documents
 from ..operators.segment import aggregate_units, keep_units, segment
 from ..settings import DEFAULTS, Settings
 from ..sources import snapshots
-from ..sources.messages import NAMES, append_messages, message_day, read_messages, read_touched
+from ..sources.index import read_table
+from ..sources.messages import NAMES, append_messages, append_slots, message_day, read_messages, read_touched
 from .bursts import PARTS, OpenBursts
 
 
@@ -22,18 +23,18 @@ def stream_sync(messages: DataFrame, store: str, index: str, checkpoint: str, se
     """Incremental sync of a stream of messages: each batch joins the message store at ``store``, and the
     units it touches, late replies' included, are built again whole and written by id to ``index``; so a
     repeated batch changes nothing. Documents and channels' times are committed in one step, once for each batch.
-    Of the store only the days are read that the batch can touch."""
+    Of the store only the days are read that the units lie in, which the kept boundaries of bursts tell."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = checkpointed(dedupe_messages(batch.select(*NAMES)))
         days = [r.day for r in new.select(message_day().alias("day")).distinct().collect()]
         old = read_messages(spark, store, days)
+        append_slots(new, store, settings)
         append_messages(new.join(old.select("channel_id", "ts_us"), ["channel_id", "ts_us"], "left_anti"), store)
         pool = read_touched(spark, store, new, settings)
-        touched = dedupe_messages(affected_threads(pool, new).unionByName(affected_bursts(pool, new, settings)))
         moved = new.groupBy("channel_name").agg(F.max("ts_us").alias("last_us"))
-        snapshots.commit(spark, index, build_documents(segment(touched, settings), settings=settings), checkpoint=moved, batch=(checkpoint, batch_id))
+        snapshots.commit(spark, index, build_documents(segment(dedupe_messages(pool), settings), settings=settings), checkpoint=moved, batch=(checkpoint, batch_id))
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -63,6 +64,27 @@ def stream_dedupe(messages: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return messages.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", f"{settings.lookback_days} days").dropDuplicatesWithinWatermark(["channel_id", "ts_us"]).drop("ts")
 
 
+KEYS = "channel_id string, ts_us long, batch long, day int"
+
+
+def pass_unseen(batch: DataFrame, batch_id: int, keys: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """One batch of ``stream_unique``. Keys carry their batch, so that one that is repeated passes its own again."""
+    day = F.floor(F.col("ts_us") / 86_400_000_000).cast("int")
+    rows = checkpointed(dedupe_messages(batch.select(*NAMES)).withColumn("day", day))
+    days = [r.day for r in rows.select("day").distinct().collect()]
+    known = read_table(batch.sparkSession, keys, KEYS).filter(F.col("day").isin(days) & (F.col("batch") != batch_id)).select("day", "channel_id", "ts_us")
+    new = checkpointed(rows.join(known, ["day", "channel_id", "ts_us"], "left_anti"))
+    sink(new.select(*NAMES), batch_id)
+    new.select("channel_id", "ts_us", F.lit(batch_id).cast("long").alias("batch"), "day").repartition("day").write.mode("append").partitionBy("day").parquet(keys)
+
+
+def stream_unique(messages: DataFrame, keys: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hands ``sink`` each (channel, time) once, however late a copy comes: what was passed is kept as keys by day, of
+    which a batch reads those of its own days and these two columns. Nothing is held as state. After a crash
+    a batch may be handed over twice, with the same rows."""
+    run_once(messages, lambda df, n: pass_unseen(df, n, keys, sink), checkpoint)
+
+
 def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """All that is there now, then the end."""
     df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
