@@ -327,6 +327,13 @@ def test_quantiles_of_gaps_take_digits(spark):
     assert segment.quantile_gaps(gaps.limit(0), {"p50": 0.5}).count() == 0
 
 
+def test_cases_that_must_be_null_or_show_a_conflict(spark):
+    cases = spark.createDataFrame([("null",), ("found",)], "case_id string")
+    results = spark.createDataFrame([("found", 1)], "case_id string, rank int")
+    assert {tuple(r) for r in evaluate.null_cases(cases, results).collect()} == {("null", True), ("found", False)}
+    assert {tuple(r) for r in evaluate.conflict_cases(cases, results).collect()} == {("null", False), ("found", True)}
+
+
 def test_long_lines_and_rings_of_a_graph(spark, monkeypatch):
     line = [("s", "code" if not k else f"n{k - 1}", f"n{k}") for k in range(100)] + [("s", "n50", "n20"), ("s", "n99", "code")]
     ring = [("s", f"r{k}", f"r{(k + 1) % 3}") for k in range(3)] + [("s", "r0", "tail"), ("t", "x", "y"), ("t", "code", "z"), ("t", "y", "w"), ("t", "z", "w")]

@@ -13,8 +13,8 @@ from ..functions import clean, extract, identity
 from ..operators import graph, history, merge, model_output, retrieve, segment, sync
 from ..settings import DEFAULTS
 from . import harness as h
-from .oracles import BLAME, GRAPH, MESSAGES, REFS, SELECTIONS, UNITS
-from .queries import blame, exact, graph_hits, joined, whole_graph
+from .oracles import BLAME, GRAPH, MESSAGES, REFS, SELECTIONS, UNITS, WORDS
+from .queries import blame, exact, graph_hits, joined, lexical, whole_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = b"k" * 32
@@ -154,10 +154,9 @@ def fused_graphs(spark, d):
     return n.select(F.concat(F.lit("node "), "type").alias("what"), "scope").unionByName(e.select(F.concat(F.lit("edge "), "type").alias("what"), F.col("confidence").alias("scope"))).groupBy("what", "scope").agg(F.count("*").alias("n"))
 
 
-@query
-def answers(spark, d):
-    """The whole answer: for selections whose number is divisible by 100, exact, dense and lexical hits of all
-    documents, fused, weighted, floored and gated."""
+def answered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, documents, selections) of the whole answer: for selections whose number is divisible by 100, exact, dense
+    and lexical hits of all documents, fused, weighted, floored and gated."""
     _, b = blame(spark, d)
     docs = checkpointed(h.documents(spark, d))
     asked = h.selections(spark, d).filter("selection_id % 100 = 0")
@@ -167,9 +166,39 @@ def answers(spark, d):
     near = checkpointed(retrieve.knn(ask, docs.withColumn("v", F.col("ts_start") % n).join(vectors(), "v").select("doc_id", "vector")))
     words = retrieve.bm25(asked.select(F.col("selection_id").alias("query_id"), F.array_join("symbols", " ").alias("text")), docs)
     hits, _ = retrieve.retrieve(asked, b, docs, near, words)
+    return hits, docs, asked
+
+
+@query
+def answers(spark, d):
+    """The whole answer, a row for each hit."""
+    hits, _, _ = answered(spark, d)
     return hits.select("selection_id", F.col("citation").cast("long").alias("citation"), "doc_id", "match_type", "exact_strength", F.round("score", 6).alias("score"))
 
 
+@query
+def answer_prompts(spark, d):
+    """What models are asked about each answer: which candidates matter, and what the evidence says."""
+    hits, docs, asked = answered(spark, d)
+    shown = hits.select("selection_id", "citation", "doc_id").join(docs.select("doc_id", "channel_name", "summary", "raw_text", F.date_format(F.timestamp_seconds("ts_start"), "yyyy-MM-dd").alias("date")), "doc_id")
+    shown = checkpointed(shown)
+    said = asked.select("selection_id", clean.description_fallback(F.col("file_path"), F.col("symbols")).alias("description"))
+    digest = lambda t, name: t.select("selection_id", F.sha2("prompt", 256).alias(name))
+    return digest(model_output.rerank_prompt(shown, said), "rerank_sha256").join(digest(model_output.synthesis_prompt(shown, said), "synthesis_sha256"), "selection_id")
+
+
+@query
+def summary_prompts(spark, d):
+    return h.units(spark, d).select("channel_name", "thread_id", "end_us", F.sha2(model_output.summary_prompt(F.col("channel_name"), F.col("raw_text")), 256).alias("sha256"))
+
+
+@query
+def words_weighted(spark, d):
+    """The lexical list ranked by weights before any fusion."""
+    got = retrieve.lexical_weighted(checkpointed(lexical(spark, d)), h.doc_facts(spark, d), h.query_facts(spark, d))
+    return got.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _hmac(message: str) -> str:
     inner, outer = (bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
@@ -188,6 +217,37 @@ NODES = """nodes AS (
     UNION SELECT selection_id, 'sentry:' || id, 'SentryIssue' FROM allprs JOIN inc USING (pr_number) UNION SELECT selection_id, thread, 'SlackThread' FROM g
     UNION SELECT selection_id, 'ticket:' || key, 'Ticket' FROM tref WHERE key IN (SELECT key FROM tk) UNION SELECT selection_id, 'sentry:' || key, 'SentryIssue' FROM tref WHERE key IN (SELECT id FROM inc) AND key NOT IN (SELECT key FROM tk))"""
 
+ANSWER = rf"""WITH {REFS},{BLAME}{SELECTIONS},
+        q AS (SELECT * FROM sel WHERE selection_id % 100 = 0),
+        dd AS (SELECT *, substring(raw_text, 1, 600) AS summary FROM {NAMED.format("docs")}),
+        nv AS (SELECT count(*) AS n FROM embeddings),
+        qv AS (SELECT selection_id, embedding::DOUBLE[] AS v FROM q, nv, embeddings WHERE vec_id = selection_id % n),
+        dv AS (SELECT doc_id, embedding::DOUBLE[] AS v FROM dd, nv, embeddings WHERE vec_id = ts_start % n),
+        knn AS (SELECT * FROM (SELECT selection_id, doc_id, score, row_number() OVER (PARTITION BY selection_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM (SELECT selection_id, doc_id, (1 + list_cosine_similarity(qv.v, dv.v)) / 2 AS score FROM qv, dv)) WHERE rank <= 30),
+        ask AS (SELECT selection_id, unnest(list_distinct(regexp_extract_all(lower(array_to_string(wanted, ' ')), '[\p{{L}}\p{{N}}_]+'))) AS token FROM q),
+        fld AS (SELECT doc_id, 'summary' AS field, 2.0 AS boost, regexp_extract_all(lower(summary), '[\p{{L}}\p{{N}}_]+') AS toks FROM dd
+                UNION ALL SELECT doc_id, 'raw_text', 1.0, regexp_extract_all(lower(raw_text), '[\p{{L}}\p{{N}}_]+') FROM dd UNION ALL SELECT doc_id, 'symbols', 1.5, regexp_extract_all(lower(array_to_string(symbols, ' ')), '[\p{{L}}\p{{N}}_]+') FROM dd),
+        tot AS (SELECT field, count(*) AS n, avg(len(toks)) AS avg_len FROM fld WHERE len(toks) > 0 GROUP BY 1),
+        tf AS (SELECT doc_id, field, boost, length, token, count(*) AS tf FROM (SELECT doc_id, field, boost, len(toks) AS length, unnest(toks) AS token FROM fld) WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
+        df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY 1, 2),
+        w AS (SELECT doc_id, field, token, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len)) AS w FROM tf JOIN df USING (field, token) JOIN tot USING (field)),
+        s1 AS (SELECT selection_id, doc_id, field, sum(w) AS s FROM ask JOIN w USING (token) GROUP BY 1, 2, 3),
+        words AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT selection_id, doc_id, max(s) AS score FROM s1 GROUP BY 1, 2)) WHERE rank <= 30),
+        u0 AS (SELECT selection_id, doc_id, rank AS dr, score AS ds, NULL::BIGINT AS lr FROM knn UNION ALL SELECT selection_id, doc_id, NULL, NULL, rank FROM words),
+        u1 AS (SELECT selection_id, doc_id, min(dr) AS dr, max(ds) AS ds, min(lr) AS lr FROM u0 GROUP BY 1, 2),
+        u2 AS (SELECT *, coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0) AS fused_score, coalesce(ds, 0) AS dense_score FROM u1),
+        fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY round(fused_score, 12) DESC, dr NULLS LAST, lr NULLS LAST, doc_id) AS rank FROM u2) WHERE rank <= 20),
+        dom AS (SELECT selection_id, max(CASE WHEN rank = 1 THEN ts END) AS commit_ts FROM commits GROUP BY 1),
+        wt AS (SELECT f.selection_id, f.doc_id, f.dense_score, f.fused_score * (CASE WHEN coalesce(commit_ts, 0) = 0 THEN 1.0 ELSE greatest(0.3, exp(-((ts_start - commit_ts) ** 2) / (2 * (60 * 86400.0) ** 2))) END)
+               * (CASE WHEN len(list_intersect(people, coalesce(authors0, []))) > 0 THEN 1.25 ELSE 1.0 END) * (CASE channel_tier WHEN 1 THEN 1.5 WHEN 3 THEN 0.7 ELSE 1.0 END) * (CASE WHEN is_bookmarked THEN 1.2 ELSE 1.0 END) AS score
+               FROM fu f JOIN dd USING (doc_id) LEFT JOIN blame USING (selection_id) LEFT JOIN dom USING (selection_id)),
+        near AS (SELECT * FROM (SELECT *, max(dense_score) OVER (PARTITION BY selection_id) AS best FROM wt) WHERE dense_score >= least(best * 0.85, 0.7121)),
+        ex AS (SELECT e.selection_id, dd.doc_id, e.strength, e.rank FROM exact e JOIN q USING (selection_id) JOIN dd ON dd.channel_name = e.channel_name AND dd.thread_id = e.thread_id AND dd.ts_end = e.ts_end),
+        h0 AS (SELECT selection_id, doc_id, 'exact' AS match_type, strength AS exact_strength, 0.0::DOUBLE AS score, rank AS place FROM ex
+               UNION ALL SELECT n.selection_id, n.doc_id, 'semantic', 0, n.score, 1000000 FROM near n ANTI JOIN ex USING (selection_id, doc_id)),
+        shut AS (SELECT selection_id FROM (SELECT selection_id, max(dense_score) AS best FROM fu GROUP BY 1) WHERE best < 0.7121 AND selection_id NOT IN (SELECT selection_id FROM ex)),
+        hits AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY place, round(score, 12) DESC, doc_id) AS citation FROM h0)"""
+
 ORACLES: dict[str, str] = {
     "untrusted_units": f"""WITH {UNITS} SELECT channel_name, 'thread' AS kind, count(*) AS n FROM units WHERE kind = 'thread' GROUP BY 1
         UNION ALL SELECT channel_name, 'solo', count(*) FROM messages WHERE thread_us IS NULL AND (event_id % 12 NOT IN (2, 7) OR len(list_intersect(reactions, ['bookmark', 'warning'])) > 0) GROUP BY 1""",
@@ -222,35 +282,15 @@ ORACLES: dict[str, str] = {
     "fused_graphs": f"""WITH {GRAPH}, {NODES}
         SELECT 'node ' || type AS what, 'shared' AS scope, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'node Commit', 'user_private', count(*) FROM nodes WHERE type = 'Commit' HAVING count(*) > 0
         UNION ALL SELECT 'edge ' || type, confidence, count(*) FROM edges GROUP BY 1, 2 UNION ALL SELECT 'edge WITHIN', 'z', count(*) FROM edges WHERE type = 'PART_OF' HAVING count(*) > 0""",
-    "answers": rf"""WITH {REFS},{BLAME}{SELECTIONS},
-        q AS (SELECT * FROM sel WHERE selection_id % 100 = 0),
-        dd AS (SELECT *, substring(raw_text, 1, 600) AS summary FROM {NAMED.format("docs")}),
-        nv AS (SELECT count(*) AS n FROM embeddings),
-        qv AS (SELECT selection_id, embedding::DOUBLE[] AS v FROM q, nv, embeddings WHERE vec_id = selection_id % n),
-        dv AS (SELECT doc_id, embedding::DOUBLE[] AS v FROM dd, nv, embeddings WHERE vec_id = ts_start % n),
-        knn AS (SELECT * FROM (SELECT selection_id, doc_id, score, row_number() OVER (PARTITION BY selection_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM (SELECT selection_id, doc_id, (1 + list_cosine_similarity(qv.v, dv.v)) / 2 AS score FROM qv, dv)) WHERE rank <= 30),
-        ask AS (SELECT selection_id, unnest(list_distinct(regexp_extract_all(lower(array_to_string(wanted, ' ')), '[\p{{L}}\p{{N}}_]+'))) AS token FROM q),
-        fld AS (SELECT doc_id, 'summary' AS field, 2.0 AS boost, regexp_extract_all(lower(summary), '[\p{{L}}\p{{N}}_]+') AS toks FROM dd
-                UNION ALL SELECT doc_id, 'raw_text', 1.0, regexp_extract_all(lower(raw_text), '[\p{{L}}\p{{N}}_]+') FROM dd UNION ALL SELECT doc_id, 'symbols', 1.5, regexp_extract_all(lower(array_to_string(symbols, ' ')), '[\p{{L}}\p{{N}}_]+') FROM dd),
-        tot AS (SELECT field, count(*) AS n, avg(len(toks)) AS avg_len FROM fld WHERE len(toks) > 0 GROUP BY 1),
-        tf AS (SELECT doc_id, field, boost, length, token, count(*) AS tf FROM (SELECT doc_id, field, boost, len(toks) AS length, unnest(toks) AS token FROM fld) WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
-        df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY 1, 2),
-        w AS (SELECT doc_id, field, token, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len)) AS w FROM tf JOIN df USING (field, token) JOIN tot USING (field)),
-        s1 AS (SELECT selection_id, doc_id, field, sum(w) AS s FROM ask JOIN w USING (token) GROUP BY 1, 2, 3),
-        words AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT selection_id, doc_id, max(s) AS score FROM s1 GROUP BY 1, 2)) WHERE rank <= 30),
-        u0 AS (SELECT selection_id, doc_id, rank AS dr, score AS ds, NULL::BIGINT AS lr FROM knn UNION ALL SELECT selection_id, doc_id, NULL, NULL, rank FROM words),
-        u1 AS (SELECT selection_id, doc_id, min(dr) AS dr, max(ds) AS ds, min(lr) AS lr FROM u0 GROUP BY 1, 2),
-        u2 AS (SELECT *, coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0) AS fused_score, coalesce(ds, 0) AS dense_score FROM u1),
-        fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY round(fused_score, 12) DESC, dr NULLS LAST, lr NULLS LAST, doc_id) AS rank FROM u2) WHERE rank <= 20),
-        dom AS (SELECT selection_id, max(CASE WHEN rank = 1 THEN ts END) AS commit_ts FROM commits GROUP BY 1),
-        wt AS (SELECT f.selection_id, f.doc_id, f.dense_score, f.fused_score * (CASE WHEN coalesce(commit_ts, 0) = 0 THEN 1.0 ELSE greatest(0.3, exp(-((ts_start - commit_ts) ** 2) / (2 * (60 * 86400.0) ** 2))) END)
-               * (CASE WHEN len(list_intersect(people, coalesce(authors0, []))) > 0 THEN 1.25 ELSE 1.0 END) * (CASE channel_tier WHEN 1 THEN 1.5 WHEN 3 THEN 0.7 ELSE 1.0 END) * (CASE WHEN is_bookmarked THEN 1.2 ELSE 1.0 END) AS score
-               FROM fu f JOIN dd USING (doc_id) LEFT JOIN blame USING (selection_id) LEFT JOIN dom USING (selection_id)),
-        near AS (SELECT * FROM (SELECT *, max(dense_score) OVER (PARTITION BY selection_id) AS best FROM wt) WHERE dense_score >= least(best * 0.85, 0.7121)),
-        ex AS (SELECT e.selection_id, dd.doc_id, e.strength, e.rank FROM exact e JOIN q USING (selection_id) JOIN dd ON dd.channel_name = e.channel_name AND dd.thread_id = e.thread_id AND dd.ts_end = e.ts_end),
-        h0 AS (SELECT selection_id, doc_id, 'exact' AS match_type, strength AS exact_strength, 0.0::DOUBLE AS score, rank AS place FROM ex
-               UNION ALL SELECT n.selection_id, n.doc_id, 'semantic', 0, n.score, 1000000 FROM near n ANTI JOIN ex USING (selection_id, doc_id)),
-        shut AS (SELECT selection_id FROM (SELECT selection_id, max(dense_score) AS best FROM fu GROUP BY 1) WHERE best < 0.7121 AND selection_id NOT IN (SELECT selection_id FROM ex)),
-        hits AS (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY place, round(score, 12) DESC, doc_id) AS citation FROM h0)
-        SELECT selection_id, citation, doc_id, match_type, exact_strength::INT AS exact_strength, round(score, 6) AS score FROM hits ANTI JOIN shut USING (selection_id) WHERE citation <= 20""",
+    "answers": f"{ANSWER} SELECT selection_id, citation, doc_id, match_type, exact_strength::INT AS exact_strength, round(score, 6) AS score FROM hits ANTI JOIN shut USING (selection_id) WHERE citation <= 20",
+    "answer_prompts": rf"""{ANSWER},
+        shown AS (SELECT *, strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') AS date FROM hits ANTI JOIN shut USING (selection_id) JOIN dd USING (doc_id) WHERE citation <= 20),
+        lists AS (SELECT selection_id, string_agg('[' || citation || '] #' || channel_name || ' ' || date || chr(10) || '    ' || substring(summary, 1, 500), chr(10) ORDER BY citation) AS a,
+                  string_agg('[' || citation || '] #' || channel_name || ' ' || date || chr(10) || '    ' || substring(raw_text, 1, 900), chr(10) ORDER BY citation) AS b FROM shown GROUP BY 1),
+        told AS (SELECT p_partkey AS selection_id, {PATH} || ' (names: retry_limit_' || (p_partkey % 30) || ', RETRY_LIMIT_MAX, PartHandler, load_part)' AS description FROM part)
+        SELECT selection_id, sha256(description || chr(10) || chr(10) || 'Candidates:' || chr(10) || a) AS rerank_sha256, sha256(description || chr(10) || chr(10) || 'Evidence:' || chr(10) || b) AS synthesis_sha256 FROM lists JOIN told USING (selection_id)""",
+    "summary_prompts": f"WITH {UNITS} SELECT channel_name, thread_id, end_us, sha256('Conversation in #' || channel_name || ':' || chr(10) || chr(10) || raw_text) AS sha256 FROM units",
+    "words_weighted": f"""WITH {WORDS}, z AS (SELECT query_id, doc_id, words.score * (CASE WHEN coalesce(commit_ts, 0) = 0 THEN 1.0 ELSE exp(ln(0.3) * ((ts_start - commit_ts) ** 2) / ((60 * 86400.0) ** 2)) END)
+           * (CASE WHEN person = author THEN 1.25 ELSE 1.0 END) * (CASE tier WHEN 1 THEN 1.5 WHEN 3 THEN 0.7 ELSE 1.0 END) * (CASE WHEN marked THEN 1.2 ELSE 1.0 END) AS score FROM words JOIN facts USING (doc_id) LEFT JOIN qf ON qf.selection_id = query_id)
+        SELECT query_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM z""",
 }
