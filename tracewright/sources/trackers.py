@@ -20,7 +20,9 @@ def read_trackers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     def read(name: str, schema: str) -> DataFrame:
         try:
             return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{path}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return spark.createDataFrame([], schema)
 
     return read("github_prs.json", PRS), read("tickets.json", TICKETS), read("sentry_issues.json", INCIDENTS)
