@@ -171,6 +171,27 @@ looseg AS (SELECT selection_id, 'code' AS source, thread AS target, 'DISCUSSED_I
 coded AS (SELECT selection_id FROM chain UNION SELECT selection_id FROM looseg),
 edges AS (SELECT * FROM anchored UNION SELECT * FROM chain UNION SELECT * FROM context UNION SELECT * FROM looseg UNION SELECT selection_id, 'code', thread, 'DISCUSSED_IN', 'exact' FROM g ANTI JOIN coded USING (selection_id))"""
 
+TIMELINE = GRAPH + r""",
+posn AS (SELECT selection_id, sha7, author, pr_number, ts, row_number() OVER (PARTITION BY selection_id ORDER BY ts NULLS LAST, rank) - 1 AS pos FROM commits),
+mergedat AS (SELECT o_orderkey::INT AS pr_number, CASE WHEN o_orderstatus <> 'O' THEN epoch(o_orderdate)::DOUBLE END AS merged_ts FROM orders),
+n0 AS (
+    SELECT selection_id, 0 AS stage, 0 AS sub, 'code' AS id, 'Code' AS type, NULL::DOUBLE AS ts FROM (SELECT selection_id FROM posn UNION SELECT selection_id FROM g)
+    UNION ALL SELECT selection_id, 1, pos, 'commit:' || sha7, 'Commit', ts FROM posn UNION ALL SELECT selection_id, 2, pos, 'person:' || author, 'Person', NULL FROM posn
+    UNION ALL SELECT selection_id, 3, pos, 'pr:' || pr_number, 'PullRequest', coalesce(merged_ts, ts) FROM posn LEFT JOIN mergedat USING (pr_number) WHERE pr_number IS NOT NULL
+    UNION ALL SELECT selection_id, 4, pr_number, 'ticket:' || key, 'Ticket', NULL FROM allprs JOIN tk USING (pr_number)
+    UNION ALL SELECT selection_id, 5, pr_number, 'sentry:' || id, 'SentryIssue', (id[5:]::BIGINT * 1000000) // 86400 * 86400 FROM allprs JOIN inc USING (pr_number)
+    UNION ALL SELECT selection_id, 6, citation, thread, 'SlackThread', ts_start FROM g
+    UNION ALL SELECT selection_id, 7, citation, 'pr:' || pr_number, 'PullRequest', coalesce(merged_ts, ts_start) FROM pk LEFT JOIN mergedat USING (pr_number) WHERE NOT mapped AND rn = 1
+    UNION ALL SELECT selection_id, 8, citation, 'ticket:' || key, 'Ticket', NULL FROM tref WHERE key IN (SELECT key FROM tk)
+    UNION ALL SELECT selection_id, 9, citation, 'sentry:' || key, 'SentryIssue', NULL FROM tref WHERE key IN (SELECT id FROM inc) AND key NOT IN (SELECT key FROM tk)),
+n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY selection_id, id ORDER BY stage, sub) AS first FROM n0) WHERE first = 1),
+n2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY id <> 'code', ts NULLS LAST, stage, sub, id) AS place FROM n1),
+sides AS (SELECT selection_id, source AS id, target AS near FROM edges UNION SELECT selection_id, target, source FROM edges),
+beside AS MATERIALIZED (SELECT s.selection_id, s.id, s.near, n.type AS near_type, n.ts AS near_ts, n.place AS near_place FROM sides s JOIN n2 n ON n.selection_id = s.selection_id AND n.id = s.near),
+folds AS (SELECT b.selection_id, b.id, arg_min(near, near_place) AS parent FROM beside b JOIN n2 n USING (selection_id, id) WHERE n.type IN ('Person', 'Ticket') AND near_type NOT IN ('Person', 'Ticket') GROUP BY 1, 2),
+lent AS (SELECT selection_id, id, min(near_ts) AS borrowed FROM beside GROUP BY 1, 2),
+placed AS MATERIALIZED (SELECT n2.*, parent, coalesce(ts, borrowed) AS row_ts FROM n2 LEFT JOIN folds USING (selection_id, id) LEFT JOIN lent USING (selection_id, id))"""
+
 PLANES = WORDS + r""",
 one AS (SELECT selection_id, citation AS old, doc_id, match_type, 0 AS plane, 'shared' AS scope FROM hits WHERE citation <= 6),
 two AS (SELECT selection_id, citation - 4 AS old, doc_id, match_type, 1 AS plane, 'user_private' AS scope FROM hits WHERE citation > 6),
@@ -264,6 +285,9 @@ ORACLES: dict[str, str] = {
     "conflict_pairs": f"WITH {WORDS}, n AS (SELECT selection_id, count(*) AS n FROM hits GROUP BY 1 HAVING count(*) >= 2) SELECT selection_id, 1 AS a, 2 AS b, 'conflict' AS kind FROM n UNION ALL SELECT selection_id, 2, 1, 'supersede' FROM n",
     "prompts": f"""WITH {WORDS} SELECT selection_id, sha256(string_agg('[' || citation || '] #' || coalesce(source, '?') || ' ' || strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') || chr(10) || '    ' || substring(coalesce(lang, ''), 1, 500), chr(10) ORDER BY citation)) AS sha256 FROM hits JOIN facts USING (doc_id) GROUP BY 1""",
     "graph_edges": f"WITH {GRAPH} SELECT type, confidence, count(*) AS n FROM edges GROUP BY 1, 2",
+    "timelines": f"WITH {TIMELINE} SELECT selection_id, row_number() OVER (PARTITION BY selection_id ORDER BY id <> 'code', row_ts NULLS LAST, place) AS row, id, type, row_ts FROM placed WHERE parent IS NULL",
+    "timeline_links": f"""WITH {TIMELINE}, ends AS (SELECT e.selection_id, coalesce(x.parent, x.id) AS p, coalesce(y.parent, y.id) AS q, e.type FROM edges e JOIN placed x ON x.selection_id = e.selection_id AND x.id = e.source JOIN placed y ON y.selection_id = e.selection_id AND y.id = e.target)
+        SELECT DISTINCT selection_id, least(p, q) AS a, greatest(p, q) AS b, type FROM ends WHERE p <> q""",
     "graph_nodes": f"""WITH {GRAPH}, nodes AS (
         SELECT selection_id, 'code' AS id, 'Code' AS type, false AS dated FROM (SELECT selection_id FROM cm UNION SELECT selection_id FROM g)
         UNION SELECT selection_id, 'commit:' || sha7, 'Commit', true FROM cm UNION SELECT selection_id, 'person:' || author, 'Person', false FROM cm

@@ -467,9 +467,19 @@ def commit_chains(spark, d):
     return graph.commit_chain(blame(spark, d)[1], h.prs(spark, d), h.tickets(spark, d), h.incidents(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def timeline(spark, d):
+    return graph.timeline_rows(*(checkpointed(t) for t in whole_graph(spark, d)))
+
+
+@query
 def timelines(spark, d):
-    rows, links = graph.timeline_rows(*(checkpointed(t) for t in whole_graph(spark, d)))
-    return rows.groupBy("selection_id").agg(F.count("*").alias("rows"), F.min("row_ts").alias("first_ts")).join(links.groupBy("selection_id").agg(F.count("*").alias("links")), "selection_id", "left")
+    """The rows of every timeline, in their order."""
+    return timeline(spark, d)[0].select("selection_id", F.col("row").cast("long").alias("row"), "id", "type", "row_ts")
+
+
+@query
+def timeline_links(spark, d):
+    return timeline(spark, d)[1]
 
 
 @query
