@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .itq_links import joined
-from .shared import components, mix, n_buckets, runs, settle, slices
+from .shared import GROUP_BYTES, components, dealt, mix, n_buckets, runs, settle, slices
 
 SLOTS = 256  # sampled places, of 4 bits each
 PERIOD = 4096  # rows of the table of random bits; steps use it in turn
@@ -225,21 +225,31 @@ def similar_texts(docs: DataFrame, floor: float = 0.8, seed: int = 1) -> DataFra
     return similar_prints(settle(fingerprint_texts(docs.select("doc_id", "text"), seed).select("doc_id", "fingerprint"), "fingerprints"), floor, seed)
 
 
+def range_bounds(rows: DataFrame, range_bytes: int = GROUP_BYTES) -> np.ndarray:
+    """The first key of each range of ``rows`` (key, text), of about ``range_bytes`` of text each, fewer where cores would
+    be left without one. A row is a post with a chance that follows its bytes, drawn by the hash of its key, and about every
+    fourth post begins a range: so ranges neither grow with the input nor with long texts. What comes back are
+    8 bytes for each post."""
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)) + 256  # what a row weighs without a text
+    drawn = F.pmod(F.xxhash64("key"), F.lit(2**31)) / 2**31 < bytes_ * 4 / range_bytes
+    posts = np.unique(np.asarray(rows.filter(drawn).select("key").toArrow().column(0), np.int64))
+    least = rows.agg(F.min("key")).first()[0]
+    every = min(4, max(1, len(posts) // rows.sparkSession.sparkContext.defaultParallelism))
+    return np.unique(np.append(posts[::every], FIRST if least is None else least))
+
+
 def half_edits(docs: DataFrame, seed: int = 1) -> DataFrame:
     """For each row of ``docs`` (doc_id, text; null text: empty): its fingerprint, that of its edited text,
     and how alike they are to the fingerprint of the document and of the next document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
     document by rising doc_id (ties by text; after the last comes the first; null ids come first). Rows
-    are dealt into ranges of doc_id whose bounds are ids of the table (one for each range, from Spark's
-    quantile sketch); the first document of a range is also sent to the range before, so that every
-    document meets its successor without a global sort in one task.
+    are dealt into ranges of doc_id (see ``range_bounds``); the first document of a range is also sent to
+    the range before, so that every document meets its successor without a global sort in one task. Texts are
+    shuffled once, each compressed by itself. Rows of one doc_id are one range.
     """
-    spark = docs.sparkSession
-    ranges = n_buckets(spark)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("key"), "doc_id", "text")
-    cut = rows.agg(F.min("key").alias("least"), F.percentile_approx("key", [k / ranges for k in range(1, ranges)], F.lit(20 * ranges)).alias("cuts")).first()
-    bounds = np.unique(np.array([cut.least, *(cut.cuts or [])], np.int64)) if cut.least is not None else np.array([FIRST])
+    bounds = range_bounds(rows)
     last = len(bounds) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +260,15 @@ def half_edits(docs: DataFrame, seed: int = 1) -> DataFrame:
             before = np.where(block[first] == 0, last, block[first] - 1)
             for rows, to, guest in ((batch, block, 0), (batch.take(pa.array(first)), before, 1)):
                 if rows.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(rows.num_rows, guest), pa.int32()), *rows.columns], ["block", "guest", *rows.schema.names])
+                    texts = [(t or "").encode("utf-8") for t in rows.column(2).to_pylist()]
+                    packed = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary())
+                    size = pa.array([len(t) for t in texts], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(rows.num_rows, guest), pa.int32()), *rows.columns[:2], size, packed], ["block", "guest", "key", "doc_id", "size", "packed"])
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.set_column(table.schema.get_field_index("text"), "text", pa.array([t or "" for t in table.column("text").to_pylist()], pa.string()))
-        table = table.sort_by([("guest", "ascending"), ("key", "ascending"), ("text", "ascending")])
+        sized = zip(table.column("packed").to_pylist(), table.column("size").to_pylist(), strict=True)
+        whole = pa.array([pa.decompress(t, n, codec="zstd", asbytes=True).decode("utf-8") for t, n in sized], pa.string())
+        table = table.drop_columns(["packed", "size"]).append_column("text", whole).sort_by([("guest", "ascending"), ("key", "ascending"), ("text", "ascending")])
         own = table.num_rows - sum(table.column("guest").to_pylist())
         texts = table.column("text").to_pylist()[: own + 1]
         if own == 0:
@@ -269,5 +283,5 @@ def half_edits(docs: DataFrame, seed: int = 1) -> DataFrame:
             "near_edited": pa.array(likeness(plain[:own], changed), pa.float64()), "near_next": pa.array(likeness(plain[:own], plain[1:]), pa.float64()),
         })
 
-    dealt = rows.mapInArrow(deal, "block long, guest int, key long, doc_id long, text string")
-    return dealt.groupBy("block").applyInArrow(group, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    met = dealt(rows.mapInArrow(deal, "block long, guest int, key long, doc_id long, size long, packed binary"), len(bounds), "block")
+    return met.groupBy("block").applyInArrow(group, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
