@@ -31,3 +31,15 @@ def test_ranges_follow_bytes_and_neighbours_meet_over_their_bounds(spark, monkey
 def test_no_rows_are_one_empty_range(spark):
     empty = spark.createDataFrame([], "key long, text string")
     assert edit_fingerprint.range_bounds(empty).tolist() == [edit_fingerprint.FIRST]
+
+
+def test_bands_miss_few_pairs_at_any_number_of_texts():
+    for n in (2, 10**5, 10**7, 10**11):
+        plan = edit_fingerprint.band_plan(n, 0.8)
+        assert n / 8 ** plan.shape[1] < 1 / 8
+        assert (1 - (0.8 + 0.2 / 16) ** plan.shape[1]) ** len(plan) <= 1e-4
+    values = np.random.RandomState(1).randint(0, 16, (50, edit_fingerprint.SLOTS)).astype(np.uint8)
+    plan = edit_fingerprint.band_plan(50, 0.8)
+    keys = edit_fingerprint.band_keys(plan, np.concatenate([values, values]))
+    assert (keys[:50] == keys[50:]).all() and len(np.unique(keys)) > 49 * len(plan)
+    assert ((keys & np.uint64(0xFFFF)) == np.arange(len(plan), dtype=np.uint64)).all()

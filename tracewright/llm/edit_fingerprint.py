@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .itq_links import joined
-from .shared import GROUP_BYTES, components, dealt, mix, n_buckets, runs, settle, slices
+from .shared import GROUP_BYTES, components, dealt, mix, runs, settle, slices
 
 SLOTS = 256  # sampled places, of 4 bits each
 PERIOD = 4096  # rows of the table of random bits; steps use it in turn
 CHUNK = 6_000_000  # characters walked at a time
 FIRST = -(2**63)
+BAND_BITS = 16  # of a bucket's key that tell its band
 MEET = 512  # fingerprints of one bucket that meet at a time
+GROUP_ROWS = 1 << 16  # slots of nodes, those that meet no other among them, behind a group of small buckets
 PAIRS = 40_000  # pairs compared at a time
 
 
@@ -109,13 +111,16 @@ def fingerprint_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     return docs.mapInArrow(task, docs.withColumn("fingerprint", F.lit("")).schema)
 
 
-def band_plan(n: int, floor: float, miss: float = 1e-4, most: int = 64, seed: int = 1) -> np.ndarray:
+def band_plan(n: int, floor: float, miss: float = 1e-4, seed: int = 1) -> np.ndarray:
     """The slots of each band, (band, slot): bands widen with the logarithm of the number ``n`` of texts, so
-    that unlike ones seldom meet (their slots agree by an eighth), and their number follows from the width, so
-    that a pair whose slots agree as ``floor`` asks is missed with a chance of at most ``miss`` (up to ``most`` bands)."""
-    rows = max(5, int(np.ceil(np.log(max(n, 2)) / np.log(8))))
+    that in a band a text meets an unlike one with a chance below an eighth (whose slots agree by an eighth), and their
+    number follows from the width, so that a pair whose slots agree as ``floor`` asks is missed with a chance of at
+    most ``miss``, however many texts there are. A floor so low that this takes over 65,536 bands is refused."""
+    rows = max(5, int(np.ceil(np.log(max(n, 2)) / np.log(8)))) + 1
     agree = (floor + (1 - floor) / 16) ** rows
-    bands = 1 if agree >= 1 else min(most, int(np.ceil(np.log(miss) / np.log1p(-agree))))
+    bands = 1 if agree >= 1 else int(np.ceil(np.log(miss) / np.log1p(-agree)))
+    if bands > 1 << BAND_BITS:
+        raise ValueError(f"a floor of {floor} over {n} texts needs {bands} bands")
     rng = np.random.RandomState(seed)
     order = np.concatenate([rng.permutation(SLOTS) for _ in range(-(-bands * rows // SLOTS))])
     return order[: bands * rows].reshape(bands, rows)
@@ -127,11 +132,11 @@ def _values(raw: np.ndarray) -> np.ndarray:
 
 
 def band_keys(plan: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The key of each fingerprint in each band: a hash of the band and its slots' values."""
+    """The key of each fingerprint in each band: a hash of the slots' values, then the band's number."""
     out = np.repeat(mix(np.arange(1, len(plan) + 1, dtype=np.uint64))[None, :], len(values), axis=0)
     for k in range(plan.shape[1]):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, plan[:, k]].astype(np.uint64))
-    return out
+    return out >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.arange(len(plan), dtype=np.uint64)
 
 
 def pairs_of(first: np.ndarray, past: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,15 +159,16 @@ def pairs_of(first: np.ndarray, past: np.ndarray, half: np.ndarray) -> Iterator[
 
 
 def meet(plan: np.ndarray, floor: float):
-    """Links of one group of buckets: rows (node, bucket, band, half, print); a bucket's rows meet among
+    """Links of one group of buckets: rows (node, bucket, half, print); a bucket's rows meet among
     themselves, or, where it came in two halves, each of one with each of the other. A pair counts in the first band
     where its slots agree; of links that join the same texts only as many as join them go on."""
 
     def group(table: pa.Table) -> pa.Table:
-        ids, bucket, band, half = (np.asarray(table.column(c), np.int64) for c in ("node", "bucket", "band", "half"))
+        ids, bucket, half = (np.asarray(table.column(c), np.int64) for c in ("node", "bucket", "half"))
         raw = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
         order = np.lexsort((ids, half, bucket))
-        ids, bucket, band, half, raw = (x[order] for x in (ids, bucket, band, half, raw))
+        ids, bucket, half, raw = (x[order] for x in (ids, bucket, half, raw))
+        band = bucket & ((1 << BAND_BITS) - 1)
         first = runs(bucket)
         found = [np.empty((2, 0), np.int64)]
         for i, j in pairs_of(first, np.append(first[1:], len(bucket)), half):
@@ -196,7 +202,9 @@ def similar_prints(prints: DataFrame, floor: float = 0.8, seed: int = 1) -> Data
     spark = prints.sparkSession
     rows = prints.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("fingerprint").alias("print"))
     heads = settle(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "prints")
-    plan = band_plan(heads.count(), floor, seed=seed)
+    n = heads.count()
+    plan = band_plan(n, floor, seed=seed)
+    groups = max(64, n * len(plan) // GROUP_ROWS) | 1
 
     def slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,16 +212,13 @@ def similar_prints(prints: DataFrame, floor: float = 0.8, seed: int = 1) -> Data
                 part = batch.slice(k, 4096)
                 keys = band_keys(plan, _values(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SLOTS // 2)))
                 node = np.repeat(np.asarray(part.column(0), np.int64), len(plan))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(len(plan), dtype=np.int32), part.num_rows)), pa.array(keys.view(np.int64).ravel())], ["node", "band", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.view(np.int64).ravel())], ["node", "bucket"])
 
-    slots = heads.select("node", "print").mapInArrow(slot_rows, "node long, band int, bucket long")
+    slots = heads.select("node", "print").mapInArrow(slot_rows, "node long, bucket long")
     crowd = slots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / MEET).cast("int").alias("parts"))
-    placed = slots.join(crowd, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    single = placed.filter("parts = 1").withColumn("group", F.concat(F.lit("s"), F.pmod("bucket", F.lit(n_buckets(spark))))).withColumn("half", F.lit(0))
-    several = placed.filter("parts > 1").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("group", F.concat_ws("|", "bucket", F.least("part", "other"), F.greatest("part", "other")))
-    several = several.withColumn("half", (F.col("part") > F.col("other")).cast("int"))
-    cols = ["group", "node", "bucket", "band", "half"]
-    met = single.select(*cols).unionByName(several.select(*cols)).join(heads.select("node", "print"), "node")
+    placed = slots.join(crowd, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    pooled = F.when(F.col("parts") == 1, F.pmod("bucket", F.lit(groups))).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    met = placed.select(pooled.alias("group"), "node", "bucket", (F.col("part") > F.col("other")).cast("int").alias("half")).join(heads.select("node", "print"), "node")
     links = met.groupBy("group").applyInArrow(meet(plan, floor), "a long, b long")
     copies = rows.join(heads.filter("n > 1").select("print", "node"), "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     parts = components(links.unionByName(copies).distinct()).select(F.col("id").alias("doc_id"), "label")
