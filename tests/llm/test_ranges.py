@@ -3,7 +3,7 @@
 import hashlib
 
 import numpy as np
-from tracewright.llm import edit_fingerprint
+from tracewright.llm import edit_fingerprint, shared
 
 
 def test_ranges_follow_bytes_and_neighbours_meet_over_their_bounds(spark, monkeypatch):
@@ -43,3 +43,16 @@ def test_bands_miss_few_pairs_at_any_number_of_texts():
     keys = edit_fingerprint.band_keys(plan, np.concatenate([values, values]))
     assert (keys[:50] == keys[50:]).all() and len(np.unique(keys)) > 49 * len(plan)
     assert ((keys & np.uint64(0xFFFF)) == np.arange(len(plan), dtype=np.uint64)).all()
+
+
+def test_ranges_of_hashes_are_exact_and_cost_no_more_with_more_of_them():
+    rng = np.random.RandomState(3)
+    keys = np.sort(np.concatenate([rng.randint(0, 2**63, 500, np.uint64) * np.uint64(2) + rng.randint(0, 2, 500, np.uint64), np.array([0, 1, 2**32 - 1, 2**32, 2**63, 2**64 - 1], np.uint64)]))
+    for buckets in (1, 3, 64, 12_345, 125_001, 2**32 - 1):
+        want = [int(k) * buckets >> 64 for k in keys]
+        assert shared.range_of(keys, buckets).tolist() == want
+        got = list(shared.touched(keys, buckets))
+        assert len(got) == len(set(want)) <= len(keys)
+        assert [k for k, a, b in got for _ in range(a, b)] == want and got[0][1] == 0 and got[-1][2] == len(keys)
+        assert all(a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert list(shared.touched(np.empty(0, np.uint64), 7)) == []

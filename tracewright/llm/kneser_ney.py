@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, cuts, dealt, hash_spans, mapped, mix, n_groups, pack, put_file, runs, shared_dir, slices, unpack, word_spans
+from .shared import buffers, dealt, hash_spans, mapped, mix, n_groups, pack, put_file, range_of, runs, shared_dir, slices, touched, unpack, word_spans
 
 END = np.uint64(0x5E17A2C9D3B4F681)  # the end token's place among word hashes
 FLUSH = 1_500_000
@@ -93,7 +93,7 @@ class Words:
         return tokens_of(text)[0]
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return np.repeat(np.arange(self.buckets, dtype=np.int16 if self.buckets < 2**15 else np.int32), np.diff(cuts(keys, self.buckets)))
+        return range_of(keys, self.buckets).astype(np.int16 if self.buckets < 2**15 else np.int32)
 
 
 class Pairs:
@@ -127,13 +127,12 @@ def word_ids(path: str, buckets: int, bases: np.ndarray, h: np.ndarray) -> np.nd
     """Token ids of word hashes by their place in the sorted arrays; -1: not in training."""
     keys, back = np.unique(h, return_inverse=True)
     ids = np.full(len(keys), -1, np.int64)
-    edge = cuts(keys, buckets)
-    for k in np.flatnonzero(np.diff(edge)):
+    for k, a, b in touched(keys, buckets):
         if bases[k + 1] > bases[k]:
             known = mapped(f"{path}/words-{k}", "<u8")
-            asked = keys[edge[k] : edge[k + 1]]
+            asked = keys[a:b]
             spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-            ids[edge[k] : edge[k + 1]] = np.where(known[spot] == asked, bases[k] + spot, -1)
+            ids[a:b] = np.where(known[spot] == asked, bases[k] + spot, -1)
     return ids[back]
 
 

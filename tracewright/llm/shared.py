@@ -247,10 +247,17 @@ def unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of 64-bit hashes begins in sorted ``keys``."""
-    edge = np.array([(k << 64) // buckets for k in range(buckets)], U64)
-    return np.append(np.searchsorted(keys, edge), len(keys))
+def range_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` (below 2^32) equal ranges of 64-bit hashes each key lies in: the upper half of the product."""
+    n, half = U64(buckets), U64(32)
+    return (((keys >> half) * n + ((keys & U64(0xFFFFFFFF)) * n >> half)) >> half).astype(np.int64)
+
+
+def touched(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, past) of each range that sorted ``keys`` touch; the work follows the keys, not ``buckets``."""
+    own = range_of(keys, buckets)
+    first = runs(own)
+    return zip(own[first].tolist(), first.tolist(), np.append(first, len(own))[1:].tolist(), strict=True)
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, cuts, dealt, fresh, hash_spans, n_groups, pack, runs, slices, spread, unpack, windows, word_spans
+from .shared import buffers, dealt, fresh, hash_spans, n_groups, pack, runs, slices, spread, touched, unpack, windows, word_spans
 
 FLUSH = 2_000_000  # windows that a task holds before it passes them on
 BLOBS = pa.schema([("target", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary())])
@@ -53,10 +53,9 @@ def ask(size: int, buckets: int, blocks: int):
             late = d > np.repeat(least, np.diff(np.append(first, len(h))))
             # within these documents the answer is known; only the smallest asks on for each window
             rows = list(by_doc(d[late], h[late], blocks)) if late.any() else []
-            keys, edge = h[first], cuts(h[first], buckets)
-            for k in np.flatnonzero(np.diff(edge)):
-                a, b = edge[k], edge[k + 1]
-                rows.append({"target": int(k), "kind": 0, "docs": pack(least[a:b]), "keys": pack(keys[a:b])})
+            keys = h[first]
+            for k, a, b in touched(keys, buckets):
+                rows.append({"target": k, "kind": 0, "docs": pack(least[a:b]), "keys": pack(keys[a:b])})
             return to_batch(rows)
 
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, components, cuts, dealt, fresh, hash_spans, mix, n_buckets, n_groups, pack, runs, settle, slices, spread, trim, unpack, windows, word_spans
+from .shared import buffers, components, dealt, fresh, hash_spans, mix, n_groups, pack, runs, settle, slices, spread, touched, trim, unpack, windows, word_spans
 
 BANDS, ROWS = 16, 4
 FLUSH = 1_000_000  # shingles that a task holds before it passes them on
@@ -77,9 +77,7 @@ def postings(size: int, buckets: int):
             h, d = h[new], d[new]
             docs, many = np.array(heads, np.int64)[d], np.array(copies, np.uint32)[d]
             held.clear(), known.clear(), heads.clear(), copies.clear()
-            edge = cuts(h, buckets)
-            spans = [(k, edge[k], edge[k + 1]) for k in np.flatnonzero(np.diff(edge))]
-            return pa.RecordBatch.from_pylist([{"target": int(k), "docs": pack(docs[a:b]), "keys": pack(h[a:b]), "tf": pack(tf[a:b]), "df": pack(many[a:b])} for k, a, b in spans], POSTS)
+            return pa.RecordBatch.from_pylist([{"target": k, "docs": pack(docs[a:b]), "keys": pack(h[a:b]), "tf": pack(tf[a:b]), "df": pack(many[a:b])} for k, a, b in touched(h, buckets)], POSTS)
 
         for batch in batches:
             for part in slices(batch, 1):
@@ -350,7 +348,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, floor: float = 0.8) -> DataF
     cols = ["bucket", "band", "doc_id", "component", "outside", "parts", "ask_parts"]
     sent = others.filter("outside = 1").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("ask_parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(*cols, "mine", "other", F.lit(0).alias("half"))
     seen = others.withColumn("other", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("mine", F.explode(F.expr("sequence(0, ask_parts - 1)"))).select(*cols, "mine", "other", F.lit(1).alias("half"))
-    small = F.pmod("bucket", F.lit(n_buckets(spark))).cast("string")
+    small = F.pmod("bucket", F.lit(buckets)).cast("string")
     group = F.when((F.col("parts") == 1) & (F.col("ask_parts") == 1), small).otherwise(F.concat_ws("|", "bucket", "mine", "other"))
     met = sent.unionByName(seen).withColumn("group", group).join(feats, "doc_id")
     met = met.select("group", "bucket", "band", "doc_id", "half", F.col("outside").alias("part"), "component", "keys", "weights", "private", "bands")
