@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,24 @@ def test_a_word_that_all_documents_hold_scores_few(spark):
     scored, unpruned = word_search.scored_postings(terms, posts).count(), asked.join(posts, "token").count()
     assert unpruned > 40 * n * 4 and scored < unpruned / 20
     assert terms.filter("token in ('the', 'common', 'words', 'of') and essential").count() == 0
+
+
+def test_sums_of_a_block_leave_what_can_reach_its_ranks(monkeypatch):
+    monkeypatch.setattr(word_search, "SLICE", 300)  # queries then fall into several parts
+    rng = random.Random(5)
+    rows = sorted({(f"t{rng.randrange(12)}", rng.randrange(40)) for _ in range(250)})
+    weight = {r: rng.randrange(1, 60) / 16 for r in rows}
+    p = word_search.by_token(pa.array([t for t, _ in rows]), pa.array([d * 10 for _, d in rows]), np.array([weight[r] for r in rows]))
+    lists = [[f"t{x}" for x in rng.sample(range(15), rng.randrange(0, 6))] for _ in range(30)] + [["t14"], []]
+    floor, rest = np.array([rng.choice([-math.inf, 2.0, 6.0]) for _ in lists]), np.array([rng.choice([0.0, 1.0]) for _ in lists])
+    got = {(int(i), p.docs[int(j)].as_py()): s for part in word_search.reaching(p, pa.array(lists, pa.list_(pa.string())), floor, rest, 4) for i, j, s in zip(*part, strict=True)}
+    want = {}
+    for q, tokens in enumerate(lists):
+        total = {}
+        for t, d in rows:
+            if t in tokens:
+                total[d] = total.get(d, 0) + weight[t, d]
+        ranked = sorted(total.values(), reverse=True)
+        least = max(floor[q], ranked[3] if len(ranked) >= 4 else -math.inf)
+        want |= {(q, d * 10): s for d, s in total.items() if s + rest[q] >= least}
+    assert got == want and 30 < len(want) < 400

@@ -3,14 +3,22 @@ for each query, and terms and blocks of documents that can't get there by themse
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..checkpoints import written
 from ..settings import DEFAULTS, Settings
 
-BLOCK = 1024  # documents that share a bound
+BLOCK = 8192  # documents that share a bound and are scored together
 SLACK = 1e-6  # beyond the rounding of sums
+SLICE = 1 << 21  # postings, and sums, held at a time
 
 
 def tokens(text: Column) -> Column:
@@ -22,7 +30,8 @@ def weighted_postings(words: DataFrame, docs: DataFrame, fields: tuple[tuple[str
     """(field, token, block, doc_id, w): what each of ``words`` (token) adds to the score of a field that holds it.
 
     Only these tokens are counted: a semi-join prunes postings before the counts. Texts are read once, their
-    lengths among the counts as those of an empty token; counts, then weights, are tables in the shared folder."""
+    lengths among the counts as those of an empty token; counts, then weights, are tables in the shared folder,
+    and so is how many documents hold each token: where that is small, counts meet it without a shuffle."""
     k1, b = settings.bm25_k1, settings.bm25_b
     kind = dict(docs.dtypes)
     text = lambda f: F.array_join(f, " ") if kind[f].startswith("array") else F.col(f)
@@ -33,7 +42,7 @@ def weighted_postings(words: DataFrame, docs: DataFrame, fields: tuple[tuple[str
     totals = tf.filter("token = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = tf.filter("token <> ''")
     df = tf.groupBy("field", "token").agg(F.count("*").alias("df"))
-    known = df.join(F.broadcast(totals), "field")  # a row for each field
+    known = written(df.join(F.broadcast(totals), "field"))  # a row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("boost") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
@@ -48,8 +57,8 @@ def lower_bounds(asked: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     named = asked.join(posts.withColumn("r", heaviest).filter(F.col("r") <= k), "token").groupBy("query_id", "doc_id", "field").agg(F.sum("w").alias("s"))
     per = named.groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id"))
-    first = per.withColumn("r", rank).filter(F.col("r") <= k).select("query_id", "doc_id")
-    whole = first.join(asked, "query_id").join(posts, ["token", "doc_id"]).groupBy("query_id", "doc_id", "field").agg(F.sum("w").alias("s")).groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
+    first = written(per.withColumn("r", rank).filter(F.col("r") <= k).select("query_id", "doc_id").join(asked, "query_id"))
+    whole = first.join(posts, ["token", "doc_id"]).groupBy("query_id", "doc_id", "field").agg(F.sum("w").alias("s")).groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
     return whole.groupBy("query_id").agg(F.count("*").alias("n"), F.min("s").alias("floor")).filter(F.col("n") == k).select("query_id", "floor")
 
 
@@ -73,12 +82,99 @@ def open_blocks(terms: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def scored_postings(terms: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, field, doc_id, w, floor, rest): postings of essential terms in open blocks. Terms meet postings by
-    block as well, so that one which most documents hold isn't a single key."""
+    """(query_id, field, doc_id, w, floor, rest): postings of essential terms in open blocks, which are what
+    :func:`block_sums` adds up, as rows."""
     asked = terms.filter("essential").select("query_id", "field", "token", "floor", "rest").join(open_blocks(terms, posts), ["query_id", "field"])
     return asked.join(posts, ["field", "token", "block"]).select("query_id", "field", "doc_id", "w", "floor", "rest")
 
 
+class Postings(NamedTuple):
+    """A block's postings by token: those of ``words[t]`` are ``start[t]`` up to ``start[t + 1]``."""
+
+    words: pa.Array
+    start: np.ndarray
+    docs: pa.Array
+    doc: np.ndarray
+    w: np.ndarray
+
+
+def by_token(token: pa.Array, doc_id: pa.Array, w: np.ndarray) -> Postings:
+    """Postings given in the order of their tokens."""
+    words, docs = token.dictionary_encode(), doc_id.dictionary_encode()
+    start = np.searchsorted(np.asarray(words.indices), np.arange(len(words.dictionary) + 1))
+    return Postings(words.dictionary, start, docs.dictionary, np.asarray(docs.indices, np.int64), w)
+
+
+def reaching(p: Postings, tokens: pa.ListArray, floor: np.ndarray, rest: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, document, sum) of the documents that hold one of a query's tokens and whose sum, with what other
+    terms could add, reaches both its floor and the block's own ``k``-th sum. Queries are taken so many at a
+    time that a bounded number of postings and sums is held (one query at least)."""
+    code = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), value_set=p.words), -1), np.int64)
+    row = np.repeat(np.arange(len(tokens)), np.asarray(tokens.value_lengths()))[code >= 0]
+    code = code[code >= 0]
+    size = p.start[code + 1] - p.start[code]
+    edge = np.searchsorted(row, np.arange(len(tokens) + 1))
+    upto = np.concatenate([[0], np.cumsum(size)])[edge]
+    n, a = len(p.docs), 0
+    while a < len(tokens):
+        b = max(a + 1, min(a + SLICE // n, int(np.searchsorted(upto, upto[a] + SLICE, "right")) - 1))
+        part = slice(edge[a], edge[b])
+        long = size[part]
+        at = np.arange(long.sum()) + np.repeat(p.start[code[part]] - (np.cumsum(long) - long), long)
+        cell = np.repeat(row[part] - a, long) * n + p.doc[at]
+        total = np.bincount(cell, p.w[at], (b - a) * n).reshape(b - a, n)
+        held = np.zeros(total.size, bool)
+        held[cell] = True
+        total[~held.reshape(total.shape)] = -np.inf
+        least = floor[a:b]
+        if n >= k:
+            least = np.maximum(least, np.partition(total, n - k, axis=1)[:, n - k])
+        i, j = np.nonzero(held.reshape(total.shape) & (total + rest[a:b, None] >= least[:, None] - SLACK))
+        yield a + i, j, total[i, j]
+        a = b
+
+
+def block_sums(terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
+    """(query_id, field, doc_id, s, floor, rest): the sums of essential terms of the documents that can reach the
+    first ``k``. Postings are shuffled once, by block; a task holds those of one block while the queries
+    to which it is open pass by in batches, and returns what :func:`reaching` leaves, so that sums which fall
+    short of their own block's ``k``-th are never shuffled."""
+    named = terms.filter("essential").groupBy("query_id", "field").agg(F.collect_list("token").alias("tokens"), F.max("floor").alias("floor"), F.max("rest").alias("rest"))
+    q = open_blocks(terms, posts).join(named, ["query_id", "field"]).select("field", "block", F.lit(True).alias("asks"), "query_id", "tokens", "floor", "rest")
+    d = posts.join(terms.filter("essential").select("field", "token").distinct(), ["field", "token"], "left_semi").select("field", "block", F.lit(False).alias("asks"), "doc_id", "token", "w")
+    kinds = [terms.schema["query_id"].dataType, posts.schema["doc_id"].dataType]
+    query_type, doc_type = (to_arrow_type(t) for t in kinds)
+    rows = d.unionByName(q, allowMissingColumns=True).select("field", "block", "asks", "query_id", "doc_id", "token", "w", "tokens", "floor", "rest")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, whole = None, [], None
+        for batch in batches:
+            field = batch.column(0).dictionary_encode()
+            keys = np.stack([np.asarray(field.indices, np.int64), np.asarray(batch.column(1)), np.asarray(batch.column(2).cast(pa.uint8()), np.int64)], 1)
+            turn = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.empty(0, int)
+            for a, b in zip(turn.tolist(), np.append(turn[1:], len(keys)).tolist(), strict=True):
+                part, name = batch.slice(a, b - a), field.dictionary[int(keys[a, 0])].as_py()
+                if key != (name, keys[a, 1]):
+                    key, held, whole = (name, keys[a, 1]), [], None
+                if not keys[a, 2]:
+                    held.append(part.select(["doc_id", "token", "w"]))
+                    continue
+                if whole is None and held:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    whole, held = by_token(t.column("token").combine_chunks(), t.column("doc_id").combine_chunks(), np.asarray(t.column("w"))), []
+                if whole is None:
+                    continue
+                floor, rest = np.asarray(part.column("floor").fill_null(-np.inf)), np.asarray(part.column("rest"))
+                for i, j, s in reaching(whole, part.column("tokens"), floor, rest, k):
+                    at = pa.array(i)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("query_id").take(at).cast(query_type), part.column("field").take(at), whole.docs.take(pa.array(j)).cast(doc_type), pa.array(s), part.column("floor").take(at), part.column("rest").take(at)],
+                        ["query_id", "field", "doc_id", "s", "floor", "rest"])
+
+    ordered = rows.repartition("field", "block").sortWithinPartitions("field", "block", "asks", "token")
+    return ordered.mapInArrow(task, f"query_id {kinds[0].simpleString()}, field string, doc_id {kinds[1].simpleString()}, s double, floor double, rest double")
+
+
 def best_words(queries: DataFrame, docs: DataFrame, fields: tuple[tuple[str, float], ...], k: int, settings: Settings = DEFAULTS, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): best-field match, the largest over fields of boost times BM25, terms
     joined by or. ``queries``: (query_id, text); array fields count as joined text; null texts hold nothing.
@@ -90,13 +186,14 @@ def best_words(queries: DataFrame, docs: DataFrame, fields: tuple[tuple[str, flo
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     posts = weighted_postings(asked.select("token").distinct(), docs, fields, settings, block)
     terms = written(split_terms(asked, posts, k))
-    part = written(scored_postings(terms, posts).groupBy("query_id", "field", "doc_id").agg(F.sum("w").alias("s"), F.max("floor").alias("floor"), F.max("rest").alias("rest")))
+    part = written(block_sums(terms, posts, k))
     place = F.row_number().over(Window.partitionBy("query_id", "field").orderBy(F.col("s").desc()))
     raised = part.withColumn("r", place).filter(F.col("r") <= k).filter(F.col("r") == k).groupBy("query_id").agg(F.max("s").alias("raised"))
     floor = F.coalesce(F.greatest("floor", "raised"), F.lit(0.0))
     left = written(part.join(raised, "query_id", "left").filter(F.col("s") + F.col("rest") >= floor - SLACK).select("query_id", "field", "doc_id", "s"))
     others = terms.filter("not essential").select("query_id", "field", "token")
-    added = left.select("query_id", "field", "doc_id").join(others, ["query_id", "field"]).join(posts, ["field", "token", "doc_id"]).select("query_id", "field", "doc_id", F.col("w").alias("s"))
+    lacking = written(left.select("query_id", "field", "doc_id").join(others, ["query_id", "field"]))
+    added = lacking.join(posts, ["field", "token", "doc_id"]).select("query_id", "field", "doc_id", F.col("w").alias("s"))
     per_field = left.unionByName(added).groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("s"))
     best = per_field.groupBy("query_id", "doc_id").agg(F.max("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
