@@ -99,10 +99,11 @@ class Postings(NamedTuple):
 
 
 def by_token(token: pa.Array, doc_id: pa.Array, w: np.ndarray) -> Postings:
-    """Postings given in the order of their tokens."""
     words, docs = token.dictionary_encode(), doc_id.dictionary_encode()
-    start = np.searchsorted(np.asarray(words.indices), np.arange(len(words.dictionary) + 1))
-    return Postings(words.dictionary, start, docs.dictionary, np.asarray(docs.indices, np.int64), w)
+    code = np.asarray(words.indices)
+    order = np.argsort(code, kind="stable")
+    start = np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+    return Postings(words.dictionary, start, docs.dictionary, np.asarray(docs.indices, np.int64)[order], w[order])
 
 
 def reaching(p: Postings, tokens: pa.ListArray, floor: np.ndarray, rest: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,7 +123,7 @@ def reaching(p: Postings, tokens: pa.ListArray, floor: np.ndarray, rest: np.ndar
         long = size[part]
         at = np.arange(long.sum()) + np.repeat(p.start[code[part]] - (np.cumsum(long) - long), long)
         cell = np.repeat(row[part] - a, long) * n + p.doc[at]
-        total = np.bincount(cell, p.w[at], (b - a) * n).reshape(b - a, n)
+        total = np.bincount(cell, p.w[at], (b - a) * n).astype(float).reshape(b - a, n)  # whole numbers where nothing is held
         held = np.zeros(total.size, bool)
         held[cell] = True
         total[~held.reshape(total.shape)] = -np.inf
@@ -134,44 +135,44 @@ def reaching(p: Postings, tokens: pa.ListArray, floor: np.ndarray, rest: np.ndar
         a = b
 
 
-def block_sums(terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
+def block_sums(terms: DataFrame, posts: DataFrame, fields: tuple[str, ...], k: int) -> DataFrame:
     """(query_id, field, doc_id, s, floor, rest): the sums of essential terms of the documents that can reach the
-    first ``k``. Postings are shuffled once, by block; a task holds those of one block while the queries
+    first ``k``. Postings are shuffled once, by block and field; a task holds those of one while the queries
     to which it is open pass by in batches, and returns what :func:`reaching` leaves, so that sums which fall
-    short of their own block's ``k``-th are never shuffled."""
+    short of their own block's ``k``-th are never shuffled. Rows are put in order by one number."""
     named = terms.filter("essential").groupBy("query_id", "field").agg(F.collect_list("token").alias("tokens"), F.max("floor").alias("floor"), F.max("rest").alias("rest"))
-    q = open_blocks(terms, posts).join(named, ["query_id", "field"]).select("field", "block", F.lit(True).alias("asks"), "query_id", "tokens", "floor", "rest")
-    d = posts.join(terms.filter("essential").select("field", "token").distinct(), ["field", "token"], "left_semi").select("field", "block", F.lit(False).alias("asks"), "doc_id", "token", "w")
+    group = (F.col("block") * len(fields) + F.array_position(F.array(*map(F.lit, fields)), F.col("field")) - 1).alias("group")
+    q = open_blocks(terms, posts).join(named, ["query_id", "field"]).select(group, F.lit(True).alias("asks"), "query_id", "tokens", "floor", "rest")
+    d = posts.join(terms.filter("essential").select("field", "token").distinct(), ["field", "token"], "left_semi").select(group, F.lit(False).alias("asks"), "doc_id", "token", "w")
     kinds = [terms.schema["query_id"].dataType, posts.schema["doc_id"].dataType]
     query_type, doc_type = (to_arrow_type(t) for t in kinds)
-    rows = d.unionByName(q, allowMissingColumns=True).select("field", "block", "asks", "query_id", "doc_id", "token", "w", "tokens", "floor", "rest")
+    rows = d.unionByName(q, allowMissingColumns=True).withColumn("turn", F.col("group") * 2 + F.col("asks").cast("long"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, whole = None, [], None
+        at, held, whole = None, [], None
         for batch in batches:
-            field = batch.column(0).dictionary_encode()
-            keys = np.stack([np.asarray(field.indices, np.int64), np.asarray(batch.column(1)), np.asarray(batch.column(2).cast(pa.uint8()), np.int64)], 1)
-            turn = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.empty(0, int)
-            for a, b in zip(turn.tolist(), np.append(turn[1:], len(keys)).tolist(), strict=True):
-                part, name = batch.slice(a, b - a), field.dictionary[int(keys[a, 0])].as_py()
-                if key != (name, keys[a, 1]):
-                    key, held, whole = (name, keys[a, 1]), [], None
-                if not keys[a, 2]:
+            turns = np.asarray(batch.column("turn"))
+            first = np.flatnonzero(np.diff(turns, prepend=-1))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(turns)).tolist(), strict=True):
+                part, own = batch.slice(a, b - a), int(turns[a]) // 2
+                if at != own:
+                    at, held, whole = own, [], None
+                if not turns[a] % 2:
                     held.append(part.select(["doc_id", "token", "w"]))
                     continue
-                if whole is None and held:
+                if held:
                     t = pa.Table.from_batches(held).combine_chunks()
                     whole, held = by_token(t.column("token").combine_chunks(), t.column("doc_id").combine_chunks(), np.asarray(t.column("w"))), []
                 if whole is None:
                     continue
                 floor, rest = np.asarray(part.column("floor").fill_null(-np.inf)), np.asarray(part.column("rest"))
                 for i, j, s in reaching(whole, part.column("tokens"), floor, rest, k):
-                    at = pa.array(i)
+                    row = pa.array(i)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("query_id").take(at).cast(query_type), part.column("field").take(at), whole.docs.take(pa.array(j)).cast(doc_type), pa.array(s), part.column("floor").take(at), part.column("rest").take(at)],
+                        [part.column("query_id").take(row).cast(query_type), pa.array([fields[own % len(fields)]] * len(i), pa.string()), whole.docs.take(pa.array(j)).cast(doc_type), pa.array(s), part.column("floor").take(row), part.column("rest").take(row)],
                         ["query_id", "field", "doc_id", "s", "floor", "rest"])
 
-    ordered = rows.repartition("field", "block").sortWithinPartitions("field", "block", "asks", "token")
+    ordered = rows.repartition("group").sortWithinPartitions("turn")
     return ordered.mapInArrow(task, f"query_id {kinds[0].simpleString()}, field string, doc_id {kinds[1].simpleString()}, s double, floor double, rest double")
 
 
@@ -186,7 +187,7 @@ def best_words(queries: DataFrame, docs: DataFrame, fields: tuple[tuple[str, flo
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     posts = weighted_postings(asked.select("token").distinct(), docs, fields, settings, block)
     terms = written(split_terms(asked, posts, k))
-    part = written(block_sums(terms, posts, k))
+    part = written(block_sums(terms, posts, tuple(f for f, _ in fields), k))
     place = F.row_number().over(Window.partitionBy("query_id", "field").orderBy(F.col("s").desc()))
     raised = part.withColumn("r", place).filter(F.col("r") <= k).filter(F.col("r") == k).groupBy("query_id").agg(F.max("s").alias("raised"))
     floor = F.coalesce(F.greatest("floor", "raised"), F.lit(0.0))
