@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tracewright.checkpoints import checkpointed
 from tracewright.functions import clean
-from tracewright.operators import evaluate, sync
+from tracewright.operators import evaluate, graph, history, sync
 from tracewright.sources import chat
 
 MESSAGE = "message_id string, channel_id string, channel_name string, user_id string, text string, ts_us long, thread_us long"
@@ -30,3 +31,32 @@ def test_capitals_stand_for_one_character_each(spark):
     results = spark.createDataFrame([(1, 4, "c", "", "die straße hier")], "case_id int, rank int, channel_name string, summary string, raw_text string")
     wanted = spark.createDataFrame([(1, "c", "Straße")], "case_id int, channel_name string, marker string").withColumn("marker", clean.upper(F.col("marker")))
     assert evaluate.eval_ranks(results, wanted).first()["rank"] == 4
+
+
+COMMITS = "selection_id long, commits array<struct<sha:string,author:string,ts:double,date:string,lines:long,pr_number:int,dominant:boolean,current:boolean>>"
+
+
+def test_steps_are_kept_as_columns(spark):
+    got = checkpointed(spark.range(10).withColumn("t", F.lit("x")))
+    assert got.count() == 10 and got.inputFiles() and all(f.endswith(".zstd.parquet") for f in got.inputFiles())
+
+
+def test_edges_of_commits_are_told_once_without_meeting(spark):
+    c = lambda sha, author, pr: {"sha": sha, "author": author, "ts": 1.0, "date": "d", "lines": 1, "pr_number": pr, "dominant": False, "current": True}
+    blame = spark.createDataFrame([(1, [c("a", "x", 7), c("b", "x", 7), c("a", "x", None), c("c", None, None)])], COMMITS)
+    tickets = spark.createDataFrame([("T-1", 7), ("T-1", 7)], "key string, pr_number int")
+    incidents = spark.createDataFrame([], "id string, pr_number int")
+    got = sorted((e.source, e.target) for e in graph.commit_chain(blame, None, tickets, incidents).collect())
+    assert got == [("code", "commit:a"), ("code", "commit:b"), ("code", "commit:c"), ("commit:a", "person:x"), ("commit:a", "pr:7"), ("commit:b", "person:x"), ("commit:b", "pr:7"), ("pr:7", "ticket:T-1")]
+    assert "Exchange" not in str(graph._commit_edges(graph.commit_rows(blame).filter("lone"))._jdf.queryExecution().executedPlan())
+
+
+def test_requests_of_the_forge_come_to_where_commits_are(spark):
+    rows = [(s, f"{k:040x}", 1, k, "ann", 1.0, "misc" if k % 2 else "Fix (#5)") for s in (1, 2) for k in (17, 18, 19)]
+    owned = spark.createDataFrame(rows, "selection_id long, sha string, lines long, first_line long, author string, ts double, summary string").repartition("selection_id")
+    prs = spark.createDataFrame([(3, None, [f"{17:040x}"]), (4, "then", [f"{17:040x}"]), (9, None, [f"{18:040x}"])], "number int, merged_at string, commit_shas array<string>")
+    forge = history.pr_from_forge(owned, prs, ("selection_id",))
+    assert sorted((r.selection_id, int(r.sha, 16), r.forge_pr) for r in forge.collect()) == [(1, 17, 4), (1, 18, 9), (2, 17, 4), (2, 18, 9)]
+    assert sorted((int(r.sha, 16), r.forge_pr) for r in history.pr_from_forge(owned, prs).collect()) == [(17, 4), (18, 9)]
+    commits = history.resolve_prs(history.blame_commits(owned), None, forge)
+    assert sorted((r.selection_id, int(r.sha, 16), r.pr_number) for r in commits.collect()) == [(s, k, p) for s in (1, 2) for k, p in ((17, 4), (18, 5), (19, None))]
