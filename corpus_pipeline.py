@@ -64,9 +64,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each pass, and their number: null and empty texts have none, repeated rows stay, and
-    columns besides doc_id, source and lang go."""
-    return encode_pieces(docs.select("doc_id", "source", "lang", "text"), piece_model(), decode=False).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of each pass, their number, and the digest of what the ids decode to: null and empty texts have no
+    ids, repeated rows stay, and columns besides doc_id, source and lang go."""
+    pieces = encode_pieces(docs.select("doc_id", "source", "lang", "text"), piece_model())
+    return pieces.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, mix, runs, slices
+from .shared import STEP, buffers, mix, runs, slices
 
 SPACE = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
@@ -278,7 +278,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", decode: bool
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load_model(raw)
         for batch in batches:
-            for part in slices(batch, place):
+            for part in slices(batch, place, STEP // 2):  # arrays of a part take over a hundred bytes a character
                 ids, bound = encode_batch(m, *buffers(part.column(place)))
                 columns = [*part.columns, pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids, pa.int32()))]
                 names = [*part.schema.names, "ids"]

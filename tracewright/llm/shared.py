@@ -282,12 +282,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded number of bytes in one text column (one row at least)."""
+def slices(batch: pa.RecordBatch, column: int, step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``step`` bytes in one text column (one row at least)."""
     _, offsets = buffers(batch.column(column))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + step, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
     trim()

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, dealt, fresh, hash_spans, n_groups, pack, runs, slices, spread, touched, unpack, windows, word_spans
+from .shared import buffers, dealt, fresh, hash_spans, n_groups, pack, runs, slices, spread, touched, trim, unpack, windows, word_spans
 
-FLUSH = 2_000_000  # windows that a task holds before it passes them on
+FLUSH = 600_000  # windows that a task holds before it passes them on; it takes some 120 bytes each while it sorts and packs them
 BLOBS = pa.schema([("target", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary())])
 BLOB_TYPE = "target long, kind int, docs binary, keys binary"
 
@@ -67,6 +67,7 @@ def ask(size: int, buckets: int, blocks: int):
                     yield flush()
         if sum(len(h) for h, _ in held):
             yield flush()
+        trim()
 
     return task
 
@@ -150,7 +151,7 @@ def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
 
     Each task hashes the windows of its rows, settles repeats among them by itself and asks about each
     distinct window once, with the smallest doc_id that has it, so that a window which a third of all
-    documents hold costs one entry for each couple of million windows. The entries are packed into
+    documents hold costs one entry for each ``FLUSH`` windows. The entries are packed into
     arrays by range of hash, Spark shuffles the arrays, and answers go back by document. Windows count
     as equal by 64-bit hashes: among 10**8 distinct windows a false match has a chance below 0.001.
     Ranges of hashes and blocks of documents follow the bytes of text, so that none grows with the input.
