@@ -1,10 +1,12 @@
 """What only tables larger than the given ones show: several messages at one time, characters without a capital."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.checkpoints import checkpointed
 from tracewright.functions import clean
-from tracewright.operators import evaluate, graph, history, sync
+from tracewright.operators import evaluate, graph, history, retrieve, sync
+from tracewright.plans import answers
 from tracewright.sources import chat
 
 MESSAGE = "message_id string, channel_id string, channel_name string, user_id string, text string, ts_us long, thread_us long"
@@ -60,3 +62,30 @@ def test_requests_of_the_forge_come_to_where_commits_are(spark):
     assert sorted((int(r.sha, 16), r.forge_pr) for r in history.pr_from_forge(owned, prs).collect()) == [(17, 4), (18, 9)]
     commits = history.resolve_prs(history.blame_commits(owned), None, forge)
     assert sorted((r.selection_id, int(r.sha, 16), r.pr_number) for r in commits.collect()) == [(s, k, p) for s in (1, 2) for k, p in ((17, 4), (18, 5), (19, None))]
+
+
+def test_answers_of_many_selections_equal_those_of_each(spark):
+    """Selections that ask the same share one search; their hits are those of a search of their own."""
+    rng = np.random.RandomState(3)
+    vectors = {v: rng.rand(6).tolist() for v in range(5)}
+    docs = spark.createDataFrame(
+        [(f"d{k:02}", k % 5, k * 86_400, k * 86_400 + 9, [f"u{k % 4}"], k % 3 + 1, k % 7 == 0, [k % 9], [], [], [], [], f"alpha w{k % 6} beta" if k % 2 else "gamma", f"w{k % 4}") for k in range(70)],
+        "doc_id string, v long, ts_start long, ts_end long, participants array<string>, channel_tier int, is_bookmarked boolean, pr_refs array<int>, commit_shas array<string>, file_paths array<string>, file_basenames array<string>, symbols array<string>, summary string, raw_text string")
+    asked = spark.createDataFrame([(s, "", [f"w{s % 3}"], s % 5) for s in range(23)], "selection_id long, file_path string, symbols array<string>, v long").withColumn("text", F.array_join("symbols", " "))
+    blame = spark.createDataFrame([(s, [f"u{s % 4}"], s * 86_400.0, [s], []) for s in range(20)], "selection_id long, authors array<string>, commit_ts double, pr_numbers array<int>, all_shas array<string>")
+    vector = spark.createDataFrame(list(vectors.items()), "v long, vector array<double>")
+    fields = ("selection_id", "doc_id", "match_type", "exact_strength", "citation")
+    ask = lambda key: asked.join(vector, "v").select(F.col(key).alias("query_id"), "vector").distinct()
+    words = lambda key: retrieve.bm25(asked.select(F.col(key).alias("query_id"), "text").distinct(), docs)
+    each, _ = retrieve.retrieve(asked, blame, docs, retrieve.knn(ask("selection_id"), docs.join(vector, "v").select("doc_id", "vector")), words("selection_id"))
+    few = retrieve.first_of_equals(docs.select("doc_id", "v"), "v", 30).join(vector, "v").select("doc_id", "vector")
+    lists = retrieve.question_lists(asked.select("v", "text").distinct(), retrieve.knn(ask("v"), few), words("text"), docs)
+    terms = retrieve.selection_terms(asked.join(blame.select("selection_id", "pr_numbers", "all_shas"), "selection_id", "left"))
+    all_ = retrieve.answer_rows(asked.select("selection_id", "v", "text"), lists, retrieve.exact_tier(terms, retrieve.postings(docs)), blame)
+    rows = lambda t: sorted((*(r[c] for c in fields), round(r.score, 9)) for r in t.collect())
+    want = rows(each)
+    assert rows(all_) == want and len({r[0] for r in want}) == 23 and {r[2] for r in want} == {"exact", "semantic"}
+
+
+def test_every_selection_is_answered():
+    assert "selection_id % 100 " not in answers.ORACLES["answers"] and "selection_id % 100 = 0" in answers.ORACLES["answer_prompts"]
