@@ -49,8 +49,14 @@ def remap_text(texts: DataFrame, moved: DataFrame, column: str = "synthesis") ->
 def fuse_graphs(shared_nodes: DataFrame, shared_edges: DataFrame, private_nodes: DataFrame, private_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): a node of both planes keeps the shared copy; edges are unique by ends and type."""
     nodes = shared_nodes.withColumn("plane", F.lit(0)).unionByName(private_nodes.withColumn("plane", F.lit(1)))
-    rn = F.row_number().over(Window.partitionBy("selection_id", "id").orderBy("plane", "place"))
     edges = shared_edges.withColumn("plane", F.lit(0)).unionByName(private_edges.withColumn("plane", F.lit(1)))
+    return fuse_planes(nodes, edges)
+
+
+def fuse_planes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``fuse_graphs`` of rows that tell their ``plane`` (shared 0, private 1); nodes without a place are single in a plane.
+    Rows that are dealt by selection aren't shuffled again."""
+    rn = F.row_number().over(Window.partitionBy("selection_id", "id").orderBy("plane", *[c for c in ("place",) if c in nodes.columns]))
     en = F.row_number().over(Window.partitionBy("selection_id", "source", "target", "type").orderBy("plane", "confidence"))
     return nodes.withColumn("rn", rn).filter("rn = 1").drop("rn", "plane"), edges.withColumn("rn", en).filter("rn = 1").drop("rn", "plane")
 
