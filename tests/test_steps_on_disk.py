@@ -38,3 +38,11 @@ def test_what_was_met_tells_the_reason(spark):
     got = rows.select(retrieve.why().alias("whole"), retrieve.named_why(person).alias("told"), "strength").collect()
     assert all(r.whole == r.told for r in got) and {r.strength for r in got} == {1, 2, 3, 4, 5}
     assert "mentions pull request 7" in {r.told for r in got}
+
+
+def test_steps_small_on_disk_are_not_broadcast(spark):
+    """Rows that pack well are many; the driver would hold all of them."""
+    step = checkpoints.written(spark.range(400_000).select((F.col("id") % 7).alias("k"), F.repeat(F.lit("x"), 90).alias("t"), F.sha1((F.col("id") % 9000).cast("string").cast("binary")).alias("u")))
+    of = lambda t: t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    files = sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in step.inputFiles())
+    assert files < 5_000_000 and of(step) >= 10 * files
